@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring
+from . import packing, substring
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,18 @@ def query(f):
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup_substrings(docs, text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # a document has one token at least, and squared lengths sum to no more than
+    # the squared sum: neither of these two capacities costs a sequence
+    capacity = packing.Capacity(tokens=4096, documents=4096, cost=4096**2)
+    return packing.pack(docs, tokenizer_path(), capacity)
