@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substring
+from . import chat, packing, substring
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,30 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the squared sum: neither of these two capacities costs a sequence
     capacity = packing.Capacity(tokens=4096, documents=4096, cost=4096**2)
     return packing.pack(docs, tokenizer_path(), capacity)
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+SQL["op4_chat_formatting"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *,
+    length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\||<s>|</s>|\[INST\]|\[/INST\]')) AS text_chars,
+    length(replace(role, '\', '\\')) + len(regexp_extract_all(role, '<\||<s>|</s>|\[INST\]|\[/INST\]')) + length(role) - length(replace(role, chr(10), '')) AS role_chars
+  FROM rows_
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(role_chars + text_chars + 8 + 1 + 8) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
