@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ngram_join, packing, substring
+from . import chat, ngram_join, packing, quality, substring
 from .common import read
+from .learn import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +71,10 @@ FROM escaped GROUP BY conv_id
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
