@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngram_join, packing, quality, substring, toxicity
+from . import chat, decontaminate, itq, ngram_join, packing, quality, substring, toxicity
 from .common import read
 from .learn import held_out
 
@@ -91,3 +91,8 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
