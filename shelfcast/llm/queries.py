@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, itq, ngram_join, packing, quality, substring, toxicity
+from . import chat, decontaminate, itq, lm, ngram_join, packing, quality, substring, toxicity
 from .common import read
 from .learn import held_out
 
@@ -96,3 +96,9 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return lm.cross_entropy_difference(docs, F.col("source") == "src0")
