@@ -279,5 +279,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a benchmark item, each judged by itself.
+
+    Rows are dropped where they are read: nothing is shuffled.
+    """
+    prepare(docs.sparkSession)
+
+    def dropper(ix: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not leaks_in(ix, t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        return run
+
+    for ix in indexes(benchmark):
+        docs = docs.mapInArrow(dropper(ix), docs.schema)
+    return docs

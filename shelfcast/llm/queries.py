@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, itq, lm, ngram_join, packing, quality, substring, toxicity
-from .common import read
+from . import chat, compaction, decontaminate, itq, lm, ngram_join, packing, quality, substring, toxicity
+from .common import read, shared_dir
 from .learn import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,24 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return lm.cross_entropy_difference(docs, F.col("source") == "src0")
+
+
+#: Arrivals that the table comes in, in the query below.
+ARRIVALS = 4
+
+
+@query
+def op10_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read back from the last version after every arrival and compaction."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    store = compaction.ShardStore(spark, f"{shared_dir(spark)}/shelfcast/store-{uuid.uuid4().hex}")
+    for k in range(ARRIVALS):
+        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+SQL["op10_size_tiered_compaction"] = """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM documents
+"""
