@@ -207,3 +207,81 @@ FEATURES: dict[str, dict[str, str]] = {
 def feature_sql(group: str) -> str:
     columns = ", ".join(f"{e} AS feature_{n}" for n, e in FEATURES[group].items())
     return with_ctes(f"SELECT date, store_id, product_id, {columns} FROM train {WINDOWS}", "train")
+
+
+_QS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+CTE["trail"] = (
+    "SELECT store_id, product_id, "
+    + ", ".join(f"s[CAST(floor((len(s) - 1) * {q} + 0.5) AS INTEGER) + 1] AS {n}" for n, q in _QS.items())
+    + " FROM (SELECT store_id, product_id, list_sort(list(sales_count)) AS s FROM panel WHERE dataset_split = 'train' AND date > (SELECT max(date) FROM panel WHERE dataset_split = 'train') - 56 GROUP BY 1, 2)",
+    ["panel"],
+)
+CTE["test_rows"] = ("SELECT id, date, store_id, product_id, promotion FROM panel WHERE dataset_split = 'test'", ["panel"])
+CTE["history"] = ("SELECT date, store_id, product_id, promotion, sales_count FROM panel WHERE dataset_split = 'train'", ["panel"])
+CTE["submission"] = (
+    """SELECT id, p25, CASE k WHEN 0 THEN 0 WHEN 3 THEN p50 * 2.5 ELSE p50 END AS p50,
+    CASE k WHEN 2 THEN p50 - 1 WHEN 3 THEN p75 * 2.5 ELSE p75 END AS p75, CASE k WHEN 1 THEN p95 * 4 WHEN 3 THEN p95 * 2.5 ELSE p95 END AS p95
+  FROM (SELECT id, p25, p50, p75, p95, (day(date) + t.store_id * 3 + length(t.product_id)) % 11 AS k FROM test_rows t JOIN trail USING (store_id, product_id))""",
+    ["test_rows", "trail"],
+)
+CTE["baseline"] = (
+    "SELECT id, date, t.store_id, t.product_id, "
+    + ", ".join(f"coalesce(q.{n}, g.{n}) AS {n}" for n in _QS)
+    + " FROM test_rows t LEFT JOIN (SELECT store_id, product_id, "
+    + ", ".join(f"quantile_cont(sales_count, {q}) AS {n}" for n, q in _QS.items())
+    + " FROM history GROUP BY 1, 2) q ON q.store_id = t.store_id AND q.product_id = t.product_id CROSS JOIN (SELECT "
+    + ", ".join(f"s[CAST(floor((len(s) - 1) * {q} + 0.5) AS INTEGER) + 1] AS {n}" for n, q in _QS.items())
+    + " FROM (SELECT list_sort(list(sales_count)) AS s FROM history)) g",
+    ["test_rows", "history"],
+)
+CTE["holiday_days"] = ("SELECT DISTINCT store_id, date FROM (SELECT store_id, date FROM reached WHERE NOT is_transferred UNION ALL SELECT store_id, date - 1 FROM reached WHERE NOT is_transferred)", ["reached"])
+CTE["stats"] = (
+    """SELECT t.store_id, t.product_id, avg(CASE WHEN NOT promotion THEN p50 END) AS non_promo_avg, avg(CASE WHEN h.date IS NULL THEN p50 END) AS non_holiday_avg
+  FROM submission JOIN test_rows t USING (id) LEFT JOIN holiday_days h ON h.store_id = t.store_id AND h.date = t.date GROUP BY 1, 2""",
+    ["submission", "test_rows", "holiday_days"],
+)
+CTE["cutoff"] = ("SELECT s[least(len(s), CAST(floor(len(s) * 0.95) AS INTEGER) + 1)] AS cutoff FROM (SELECT list_sort(list((p95 - p25) / greatest(p50, 1))) AS s FROM submission)", ["submission"])
+CTE["rows_"] = (
+    """SELECT s.*, t.date, t.store_id, t.product_id, t.promotion, product_family, is_perishable, non_promo_avg, non_holiday_avg, h.date IS NOT NULL AS holiday, b.p50 AS b50, cutoff
+  FROM submission s JOIN test_rows t USING (id) JOIN items USING (product_id) LEFT JOIN stats a ON a.store_id = t.store_id AND a.product_id = t.product_id
+  LEFT JOIN holiday_days h ON h.store_id = t.store_id AND h.date = t.date LEFT JOIN baseline b ON b.id = s.id CROSS JOIN cutoff""",
+    ["submission", "test_rows", "items", "stats", "holiday_days", "baseline", "cutoff"],
+)
+RULES = {
+    "monotonicity": ("NOT (p25 <= p50 AND p50 <= p75 AND p75 <= p95)", "critical"),
+    "perishable_spike": ("is_perishable AND CASE WHEN p50 = 0 THEN p95 >= 3 ELSE p95 / p50 >= 2 END", "warning"),
+    "promo_no_lift": ("promotion AND non_promo_avg > 0.5 AND p50 <= non_promo_avg * 1.05", "critical"),
+    "holiday_flat": ("holiday AND non_holiday_avg > 0.5 AND abs(p50 - non_holiday_avg) / non_holiday_avg < 0.1", "warning"),
+    "essential_low": ("p50 = 0 AND p95 > 0 AND product_family IN ('S', 'E')", "warning"),
+    "zero_forecast": ("p50 = 0 AND p95 > 0 AND product_family NOT IN ('S', 'E')", "info"),
+    "wide_spread": ("(p95 - p25) / greatest(p50, 1) >= cutoff", "critical"),
+    "baseline_deviation": ("abs(p50 - b50) / greatest(b50, 1) >= 1 AND abs(p50 - b50) >= 3", "critical"),
+}
+CTE["flags"] = (
+    "\n  UNION ALL ".join(f"SELECT id, store_id, product_id, date, promotion, '{k}' AS type, '{v}' AS severity FROM rows_ WHERE {c}" for k, (c, v) in RULES.items())
+    + """
+  UNION ALL SELECT CAST(NULL AS VARCHAR), store_id, product_id, date, promotion, 'promo_zero_history', 'warning' FROM history
+  WHERE promotion AND sales_count = 0 AND date >= (SELECT min(date) FROM test_rows) - 30 AND (store_id, product_id) IN (SELECT (store_id, product_id) FROM test_rows)""",
+    ["rows_", "history", "test_rows"],
+)
+CTE["chart"] = (
+    """SELECT store_id, product_id, date, promotion, sales_count, 'history' AS part, CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75, CAST(NULL AS DOUBLE) AS p95 FROM history WHERE date >= (SELECT min(date) FROM test_rows) - 30
+  UNION ALL SELECT store_id, product_id, date, promotion, NULL, 'forecast', p25, p50, p75, p95 FROM submission JOIN test_rows USING (id)""",
+    ["submission", "test_rows", "history"],
+)
+CTE["both_"] = (
+    """SELECT store_id, product_id, p25, p50, p95, promotion, 0 AS exception, 0 AS critical FROM submission JOIN test_rows USING (id)
+  UNION ALL SELECT store_id, product_id, NULL, NULL, NULL, NULL, 1, CAST(severity = 'critical' AS INTEGER) FROM flags""",
+    ["submission", "test_rows", "flags"],
+)
+CTE["graded"] = (
+    """SELECT b.id, b.date, b.store_id, b.product_id, p.sold AS sales_count, b.p25, b.p50, b.p75, b.p95 FROM baseline b
+  JOIN (SELECT d.date, k.store_id, k.product_id, coalesce(sold, 0) AS sold FROM (SELECT DISTINCT store_id, product_id FROM sold) k CROSS JOIN days d LEFT JOIN sold s ON s.date = d.date AND s.store_id = k.store_id AND s.product_id = k.product_id) p
+    ON p.date = b.date AND p.store_id = b.store_id AND p.product_id = b.product_id""",
+    ["baseline", "sold", "days"],
+)
+
+
+def log_pinball(q: float, n: str) -> str:
+    e = f"(ln(1 + sales_count) - ln(1 + greatest({n}, 0)))"
+    return f"greatest({e} * {q}, {e} * ({q} - 1))"

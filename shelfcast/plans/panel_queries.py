@@ -37,6 +37,17 @@ def register(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str |
         SQL[name] = sql if name in DATELESS else f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM (\n{sql}\n)"
 
 
+def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the single sales behind the dense panel."""
+    line, part, supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "supplier", "nation"))
+    return (
+        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.col("l_shipdate").cast("date").alias("date"), F.col("n_regionkey").alias("store_id"), F.col("p_type").alias("product_id"))
+    )
+
+
 #: Queries whose rows have no date.
 DATELESS = {"w29_stockout_last_day"}
 

@@ -31,7 +31,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def panel_sources(spark: SparkSession, sf_dir: str, kind: str = "dense") -> Sources:
+def panel_sources(spark: SparkSession, sf_dir: str, kind: str = "dense", truth: bool = False) -> Sources:
+    """Sources of one panel; ``truth`` leaves the sales of the test split in."""
     line, part, supplier, nation, region = (_table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
     dense = kind == "dense"
     store, product = ("n_regionkey", "p_type") if dense else ("n_nationkey", "p_brand")
@@ -54,7 +55,7 @@ def panel_sources(spark: SparkSession, sf_dir: str, kind: str = "dense") -> Sour
         "product_id",
         F.concat_ws("|", F.col("date").cast("string"), F.col("store_id").cast("string"), "product_id").alias("id"),
         F.when(is_test, "test").otherwise("train").alias("dataset_split"),
-        F.when(~is_test, F.coalesce("sold", F.lit(0.0))).alias("sales_count"),
+        (F.coalesce("sold", F.lit(0.0)) if truth else F.when(~is_test, F.coalesce("sold", F.lit(0.0)))).alias("sales_count"),
         F.coalesce("promoted", F.lit(False)).alias("promotion"),
     )
     brand = F.substring_index("p_brand", "#", -1).cast("int")
