@@ -8,8 +8,9 @@ Each document is left out of the counts it is scored with.
   p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU),  p(w) = (c(w) + 1) / (n + |V|)
 
 Layout for scale
-  * The vocabulary is the VOCABULARY most frequent words; all others, and words
-    of over 64 characters, are one unknown word. So unigram tables have a fixed
+  * The vocabulary is all words above the lowest count that leaves at most
+    VOCABULARY of them; all others, and words of over 64 characters, are one
+    unknown word. So unigram tables have a fixed
     bound and are sent to all executors; bigram counts are not.
   * Bigrams go to reducers by a hash of the pair, five bytes each, in one row a
     (batch, bucket). A reducer counts its bigrams and returns partial sums a
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, mixed, prepare, reducers, stored
@@ -261,7 +262,12 @@ def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(target, F.lit(False)).alias("flag"))
     words = stored(source.mapInArrow(_unigrams, "word string, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "unigrams")
     totals = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
-    u = Unigrams(words.filter("word != ''").orderBy(F.desc("every"), "word").limit(VOCABULARY).collect(), tuple(totals))
+    # the lowest count that leaves the vocabulary within its bound; only words above it are collected
+    by_count = words.filter("word != ''").groupBy("every").agg(F.count("*").alias("n"))
+    upto = by_count.select("every", F.sum("n").over(Window.orderBy(F.desc("every"))).alias("upto"))
+    least = upto.filter(F.col("upto") > VOCABULARY).agg(F.coalesce(F.max("every"), F.lit(0))).first()[0]
+    known = words.filter("word != ''").filter(F.col("every") > least).collect()
+    u = Unigrams(sorted(known, key=lambda r: (-r.every, r.word)), tuple(totals))
     hot = np.zeros((len(u.hot) ** 2, 2))
     for r in source.mapInArrow(_hot_pairs(u), "pair long, target long, every long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).collect():
         hot[r.pair] = r.target, r.every
