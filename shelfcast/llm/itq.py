@@ -9,6 +9,8 @@ link is missed only if no chain of candidates connects its ends.
 
 Layout for scale
   * The rotations are fitted on a bounded sample; every vector is indexed.
+    Codes are taken about the origin, as the cosine is: about a mean, close
+    vectors on either side of it would get opposite bits.
   * A table key has about log2(n) bits, so a bucket has a few chance members,
     and the number of tables is the smallest whose measured recall at the
     threshold reaches the target (pairs at exactly that cosine, made from the
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import first_by_hash, prepare, stored
 from .graph import components, groups, link_groups, roots
 
 THRESHOLD, RECALL = 0.9, 0.97
@@ -62,7 +64,6 @@ def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) ->
 class Coder:
     """Codes of unit vectors of one length."""
 
-    centre: np.ndarray
     rotations: np.ndarray
     tables: int
     bits: int
@@ -70,8 +71,7 @@ class Coder:
     near: int
 
     def signs(self, x: np.ndarray) -> np.ndarray:
-        y = x - self.centre
-        return np.concatenate([y @ r >= 0 for r in self.rotations], axis=1)
+        return np.concatenate([x @ r >= 0 for r in self.rotations], axis=1)
 
     def keys(self, bits: np.ndarray) -> np.ndarray:
         used = bits[:, : self.tables * self.bits].reshape(len(bits), self.tables, self.bits)
@@ -86,7 +86,6 @@ def make_coder(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
     rng = np.random.default_rng(SEED)
     d = x.shape[1]
     s = int(min(30, max(8, round(math.log2(max(n, 2))))))
-    centre = x.mean(axis=0)
     # pairs at the threshold itself: the hardest that must be found
     base = x[rng.integers(0, len(x), 4000)]
     side = rng.normal(size=base.shape)
@@ -98,16 +97,16 @@ def make_coder(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
     tables, found = 0, np.zeros(len(base), bool)
     a, b = np.empty((len(base), 0), bool), np.empty((len(base), 0), bool)
     while True:
-        r = learn_rotation(x - centre, rng)
+        r = learn_rotation(x, rng)
         rotations.append(r)
-        a, b = (np.concatenate([m, (y - centre) @ r >= 0], axis=1) for m, y in ((a, base), (b, other)))
+        a, b = (np.concatenate([m, y @ r >= 0], axis=1) for m, y in ((a, base), (b, other)))
         while (tables + 1) * s <= a.shape[1] and found.mean() < recall and tables < TABLES:
             found |= (a[:, tables * s : (tables + 1) * s] == b[:, tables * s : (tables + 1) * s]).all(axis=1)
             tables += 1
         if (found.mean() >= recall or tables >= TABLES) and a.shape[1] >= CODE:
             break
     apart = (a[:, :CODE] != b[:, :CODE]).sum(axis=1)
-    return Coder(centre, np.array(rotations), tables, s, int(np.quantile(apart, 0.999)))
+    return Coder(np.array(rotations), tables, s, int(np.quantile(apart, 0.999)))
 
 
 def _units(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray | None]:
@@ -218,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     sizes = {r.d: r.n for r in source.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     coders = {}
     for d, n in sizes.items():
-        picked = source.filter(F.size("embedding") == d).orderBy(F.xxhash64("vec_id"), "hash").limit(SAMPLE).select("embedding").toArrow()
+        picked = first_by_hash(source.filter(F.size("embedding") == d), SAMPLE, "vec_id", "hash").select("embedding").toArrow()
         units = [u for u in _units(picked.column(0)) if u is not None]
         if units:
             coders[d] = make_coder(np.array(units), n, threshold, recall)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, prepare
+from .common import arrow_schema, first_by_hash, prepare
 
 #: Labelled documents a model is fitted on, at most: the first by a hash of the id.
 SAMPLE = 20_000
@@ -32,9 +32,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE)
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
+    picked = first_by_hash(picked, rows, "doc_id")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
 
 
