@@ -11,7 +11,8 @@ scoring is one pass over whole texts without a shuffle.
 
 Defined results
   Null and empty texts have the statistics of no words and are scored like any
-  other. Columns called score or predicted are replaced.
+  other. Columns called score or predicted are replaced. Without labelled rows
+  nothing speaks against a text, and every text is accepted.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def shrunk(z: np.ndarray, pooled: np.ndarray, towards_pooled: float) -> np.ndarr
 def fit(x: np.ndarray, y: np.ndarray, towards_pooled: float = 0.1) -> Discriminant:
     """Fit on statistics ``x`` and labels ``y``; a class without rows has the pooled Gaussian."""
     if not len(x):
-        x, y = np.zeros((1, len(statistics(None)))), np.zeros(1, int)
+        x, y = np.zeros((1, len(statistics(None)))), np.ones(1, int)
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.clip((x - centre) / scale, -12, 12)
     pooled = np.cov(z.T, bias=True) + 1e-3 * np.eye(z.shape[1])
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Discriminan
     prepare(docs.sparkSession)
     sample = add_columns(labelled(docs, labels, "quality", rows), lambda texts: {"stats": [statistics(t) for t in texts]}, "stats array<double>")
     got = sample.select("doc_id", "label", "stats").toPandas().sort_values("doc_id")
-    x = np.array(got.stats.tolist(), float).reshape(len(got), -1)
+    x = np.array(got.stats.tolist(), float).reshape(len(got), len(statistics(None)))
     return fit(x, got.label.to_numpy(int))
 
 
