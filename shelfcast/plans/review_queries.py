@@ -39,11 +39,25 @@ def derived_submission(panel: DataFrame) -> DataFrame:
     )
 
 
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel, kept for the session: a review reads it under five roles.
+
+    It spills to disk where memory is short; finished panels are files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PANELS:
+        _PANELS[key] = panel_sources(spark, sf_dir).panel.persist()
+    return _PANELS[key]
+
+
 def derived_review(spark: SparkSession, sf_dir: str) -> review.Review:
-    s = panel_sources(spark, sf_dir)
-    test = _test(s.panel)
-    base = baseline.historical_quantiles(_history(s.panel), test)
-    return review.Review(derived_submission(s.panel), test, s.items, s.stores, s.events, base.select("id", *metrics.NAMES), _history(s.panel), STAPLES)
+    s, panel = panel_sources(spark, sf_dir), kept_panel(spark, sf_dir)
+    test = _test(panel)
+    base = baseline.historical_quantiles(_history(panel), test)
+    return review.Review(derived_submission(panel), test, s.items, s.stores, s.events, base.select("id", *metrics.NAMES), _history(panel), STAPLES)
 
 
 FLAG = "id, store_id, product_id, date, promotion, type, severity"
