@@ -18,24 +18,43 @@ def union_splits(history: DataFrame, test: DataFrame) -> DataFrame:
     return train.unionByName(test.withColumn("dataset_split", F.lit("test")).withColumn("sales_count", F.lit(None).cast("double")))
 
 
-def enrich(s: Sources) -> DataFrame:
+#: What each feature group reads besides the panel itself.
+NEEDS = {
+    "calendar": {"calendar"}, "payday": {"calendar"}, "product": {"items"}, "store": {"stores"}, "external": {"traffic", "oil", "events"},
+    "sales_history": {"stockout"}, "intermittency": {"stockout"}, "promotion_regime": {"items", "events"}, "holiday_regime": {"items", "events"},
+    "oil_trend": {"oil"}, "hierarchy": {"items"},
+}
+ALL = frozenset().union(*NEEDS.values())
+
+
+def enrich(s: Sources, parts: frozenset[str] | set[str] = ALL) -> DataFrame:
     """The panel with dimensions, traffic, oil, events and calendar columns.
 
     Every right side is one row a product, store, day or store-day and is
-    broadcast only while small.
+    broadcast only while small. Parts that nothing reads are not joined.
     """
-    traffic = context.traffic_context(s.traffic, s.stores, s.span)
-    oil = context.oil_context(s.oil, s.span)
-    events = context.event_context(s.events, s.stores, s.span)
-    out = (
-        s.panel.join(small(unique_by(s.items, ["product_id"], "items")), "product_id", "left")
-        .join(small(unique_by(s.stores, ["store_id"], "stores")), "store_id", "left")
-        .join(traffic, ["date", "store_id"], "left")
-        .join(oil, "date", "left")
-        .join(events, ["date", "store_id"], "left")
-    )
-    return context.with_event_defaults(out.withColumns(context.calendar_parts(F.col("date"))))
+    out = s.panel
+    if "items" in parts:
+        out = out.join(small(unique_by(s.items, ["product_id"], "items")), "product_id", "left")
+    if "stores" in parts:
+        out = out.join(small(unique_by(s.stores, ["store_id"], "stores")), "store_id", "left")
+    if "traffic" in parts:
+        out = out.join(context.traffic_context(s.traffic, s.stores, s.span), ["date", "store_id"], "left")
+    if "oil" in parts:
+        out = out.join(context.oil_context(s.oil, s.span), "date", "left")
+    if "calendar" in parts:
+        out = out.withColumns(context.calendar_parts(F.col("date")))
+    if "events" in parts:
+        out = context.with_event_defaults(out.join(context.event_context(s.events, s.stores, s.span), ["date", "store_id"], "left"))
+    return out
 
 
 def merged_panel(s: Sources) -> DataFrame:
     return add_stockout_flag(enrich(s)).select(MERGED)
+
+
+def panel_for(s: Sources, groups: tuple[str, ...]) -> DataFrame:
+    """The panel with what the chosen feature groups read, and no more."""
+    parts = set().union(*(NEEDS.get(g, set()) for g in groups))
+    out = enrich(s, parts)
+    return add_stockout_flag(out) if "stockout" in parts else out

@@ -186,7 +186,7 @@ def w29_stockout_last_day(spark, sf_dir):
 
 def _feature_query(group: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        train = dataset.merged_panel(panel_sources(spark, sf_dir)).filter("dataset_split = 'train'")
+        train = dataset.panel_for(panel_sources(spark, sf_dir), (group,)).filter("dataset_split = 'train'")
         return tidy(features.features(train, (group,), ["date", "store_id", "product_id"]))
 
     register(f"fg_{group}", run, oracle.feature_sql(group))
@@ -211,7 +211,7 @@ def _level_sql() -> str:
 
 @query(_level_sql())
 def fg_hierarchy(spark, sf_dir):
-    train = dataset.merged_panel(panel_sources(spark, sf_dir)).filter("dataset_split = 'train'")
+    train = dataset.panel_for(panel_sources(spark, sf_dir), ("hierarchy",)).filter("dataset_split = 'train'")
     return tidy(features.features(train, ("hierarchy",), ["date", "store_id", "product_id"]))
 
 
