@@ -46,8 +46,20 @@ _CLASS[[*range(65, 91), *range(97, 123), *range(192, 256)], len(_BYTES)] = 1  #
 _CLASS[:128, len(_BYTES) + 1] = _CLASS[192:, len(_BYTES) + 1] = 1  # characters
 
 
+#: The shares that make up a vector, each with its weight before
+#: the logarithm and the units of typical text it starts from.
+SHARES = [
+    ("letters of words", 1, 20), ("spread of word lengths", 1, 20), ("distinct words", 20, 20), ("capitals", 50, 100),
+    ("digits", 100, 100), ("sentence ends", 20, 20), ("exclamation marks", 50, 20), ("bars", 50, 20), ("signs", 50, 20),
+    ("commas", 20, 20), ("lines", 100, 20), ("repeated lines", 50, 3), ("most frequent word", 50, 20),
+    ("words said twice", 100, 20), ("letters", 1, 100),
+]
+_WEIGHT = np.array([w for _, w, _ in SHARES], float)
+_UNITS = np.array([u for _, _, u in SHARES], float)
+
+
 def statistics(text: str | None) -> list[float]:
-    """Transformed statistics of a whole text."""
+    """Counts of a whole text: its words, then what each share is a share of and how much."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS
@@ -56,32 +68,32 @@ def statistics(text: str | None) -> list[float]:
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip()]
     seen = Counter(words)
-    top = max(seen.values(), default=0)
     same = sum(map(eq, words, words[1:]))
     lengths = np.fromiter(map(len, words), np.float64, n)
-    share = lambda a, b, k: np.log1p(k * a / max(b, 1))
-    return [
-        np.log1p(n),
-        np.log1p(lengths.mean() if n else 0),
-        np.log1p(lengths.std() if n else 0),
-        share(upper, letters, 50),
-        share(digit, chars, 100),
-        share(stop, n, 20),
-        share(bang, n, 50),
-        share(bar, n, 50),
-        share(sign, n, 50),
-        share(comma, n, 20),
-        share(len(lines), n, 100),
-        share(len(lines) - len(set(lines)), len(lines), 50),
-        np.log(max(len(seen), 1) / max(n, 1)) * np.sqrt(np.log1p(n)),
-        share(top, n, 50),
-        share(same, n, 100),
-        share(letters, chars, 1),
-    ]
+    parts = [
+        (lengths.sum(), n), (lengths.var() * n if n else 0.0, n), (len(seen), n), (upper, letters), (digit, chars), (stop, n), (bang, n), (bar, n), (sign, n),
+        (comma, n), (len(lines), n), (len(lines) - len(set(lines)), len(lines)), (max(seen.values(), default=0), n), (same, n), (letters, chars),
+    ]
+    return [float(n), *(float(a) for a, _ in parts), *(float(b) for _, b in parts)]
+
+
+def rates_of(raw: np.ndarray) -> np.ndarray:
+    """Shares of all texts together."""
+    k = len(SHARES)
+    return raw[:, 1 : k + 1].sum(axis=0) / np.maximum(raw[:, k + 1 :].sum(axis=0), 1)
+
+
+def transformed(raw: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Vectors of texts. A share starts from some units of typical text, so a few
+    words say little; it goes through a logarithm, as does the length."""
+    k = len(SHARES)
+    shares = (raw[:, 1 : k + 1] + _UNITS * rates) / (raw[:, k + 1 :] + _UNITS)
+    return np.c_[np.log1p(raw[:, 0] + 20), np.log1p(_WEIGHT * shares)]
 
 
 @dataclass(frozen=True)
 class Discriminant:
+    rates: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     means: np.ndarray
@@ -95,7 +107,9 @@ class Discriminant:
         density = [-0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) - h for m, f, h in zip(self.means, self.factors, self.half_logdet, strict=True)]
         return density[1] - density[0]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, raw: np.ndarray) -> np.ndarray:
+        """Scores from counts as :func:`statistics` gives them."""
+        x = transformed(raw, self.rates)
         return sigmoid(_squeezed(self.log_ratio(x)) @ self.calibration[:-1] + self.calibration[-1])
 
 
@@ -119,10 +133,8 @@ def shrunk(z: np.ndarray, pooled: np.ndarray, towards_pooled: float) -> np.ndarr
     return (1 - rho) * s + rho * mu * np.eye(d) + 1e-3 * np.eye(d)
 
 
-def fit(x: np.ndarray, y: np.ndarray, towards_pooled: float = 0.1) -> Discriminant:
-    """Fit on statistics ``x`` and labels ``y``; a class without rows has the pooled Gaussian."""
-    if not len(x):
-        x, y = np.zeros((1, len(statistics(None)))), np.ones(1, int)
+def fit(x: np.ndarray, y: np.ndarray, towards_pooled: float = 0.1, rates: np.ndarray | None = None) -> Discriminant:
+    """Fit on vectors ``x`` and labels ``y``; a class without rows has the pooled Gaussian."""
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.clip((x - centre) / scale, -12, 12)
     pooled = np.cov(z.T, bias=True) + 1e-3 * np.eye(z.shape[1])
@@ -133,17 +145,21 @@ def fit(x: np.ndarray, y: np.ndarray, towards_pooled: float = 0.1) -> Discrimina
         low = np.linalg.cholesky(shrunk(own - means[-1], pooled, towards_pooled))
         factors.append(np.linalg.inv(low))
         half.append(np.log(np.diag(low)).sum())
-    raw = Discriminant(centre, scale, np.array(means), np.array(factors), np.array(half), np.zeros(2))
+    rates = np.zeros(len(SHARES)) if rates is None else rates
+    raw = Discriminant(rates, centre, scale, np.array(means), np.array(factors), np.array(half), np.zeros(2))
     w = fit_logistic(_squeezed(raw.log_ratio(x)), y)
-    return Discriminant(centre, scale, raw.means, raw.factors, raw.half_logdet, w)
+    return Discriminant(rates, centre, scale, raw.means, raw.factors, raw.half_logdet, w)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Discriminant:
     prepare(docs.sparkSession)
     sample = add_columns(labelled(docs, labels, "quality", rows), lambda texts: {"stats": [statistics(t) for t in texts]}, "stats array<double>")
     got = sample.select("doc_id", "label", "stats").toPandas().sort_values("doc_id")
-    x = np.array(got.stats.tolist(), float).reshape(len(got), len(statistics(None)))
-    return fit(x, got.label.to_numpy(int))
+    raw, y = np.array(got.stats.tolist(), float).reshape(len(got), len(statistics(None))), got.label.to_numpy(int)
+    if not len(raw):
+        raw, y = np.array([statistics(None)]), np.ones(1, int)
+    rates = rates_of(raw[y == 1] if (y == 1).any() else raw)
+    return fit(transformed(raw, rates), y, rates=rates)
 
 
 def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
