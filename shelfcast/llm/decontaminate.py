@@ -20,9 +20,10 @@ retrieved pair is a leak if the passage holds enough of the item's question and
 of its answer (the last sentence; all of an item of one sentence), by shares of
 their word 5-grams.
 
-The index is sent to the executors only if the items' text is below a bound;
-a larger benchmark is cut into parts by a hash of the id, each of which is
-indexed and queried in turn, with term statistics taken over all items.
+The index is sent to the executors only if the items' text and its table of
+block bounds (terms x blocks) are below a bound; a larger benchmark is cut into
+parts by a hash of the id, each of which is indexed and queried in turn, with
+term statistics taken over all items.
 
 Defined results
   Words are runs of letters and digits, lower-cased. Null and empty texts are
@@ -44,14 +45,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stored
 
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Share of its own score from which an item is retrieved; share of 5-grams from which it has leaked.
 RETRIEVE, OVERLAP, N = 0.6, 0.8, 5
-#: Items in a block, blocks in a coarse one; characters of item text in one part of the index.
-BLOCK, FINE, PART_CHARS = 2, 4, 8_000_000
+#: Items in a block, blocks in a coarse one.
+BLOCK, FINE = 2, 4
+#: Characters of item text and entries of the table of block bounds in one part of the index (64 MB).
+PART_CHARS, PART_BOUNDS = 8_000_000, 16_000_000
+#: Entries of the bounds of passages that are worked out at a time.
+WORK = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -176,6 +181,16 @@ def wand(ix: Index, terms: list[int], lo: int, hi: int) -> list[tuple[int, float
     return out
 
 
+def _near_blocks(ix: Index, terms: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(passage, coarse block) pairs whose bound reaches the block's lowest threshold."""
+    many = max(1, min(256, WORK // max(1, ix.passage * ix.coarse.shape[1])))
+    for s in range(0, len(edge) - 1, many):
+        e = min(s + many, len(edge) - 1)
+        bound = np.add.reduceat(ix.coarse[terms[edge[s] : edge[e]]], edge[s:e] - edge[s], axis=0)
+        for at, c in zip(*np.nonzero(bound >= ix.coarse_lowest), strict=True):
+            yield s + at, c
+
+
 def leaks_in(ix: Index, text: str | None) -> list[tuple[int, float, float, float, int, int]]:
     """(item, best score, question overlap, answer overlap, first word, end word) of a text."""
     if not text or not ix.items:
@@ -197,10 +212,8 @@ def leaks_in(ix: Index, text: str | None) -> list[tuple[int, float, float, float
     keys = np.unique(np.concatenate([np.minimum(last, len(starts) - 1), np.maximum(last - 1, 0)]) * (unknown + 1) + np.tile(ids[known], 2))
     at, terms = keys // (unknown + 1), keys % (unknown + 1)
     edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-    total = np.zeros((len(starts), ix.bounds.shape[1]), np.float32)
-    coarse = np.concatenate([np.add.reduceat(ix.coarse[terms[edge[s] : edge[e]]], edge[s:e] - edge[s], axis=0) for s in range(0, len(edge) - 1, 256) for e in [min(s + 256, len(edge) - 1)]])
     best: dict[int, tuple] = {}
-    for e, c in zip(*np.nonzero(coarse >= ix.coarse_lowest), strict=True):
+    for e, c in _near_blocks(ix, terms, edge):
         mine = terms[edge[e] : edge[e + 1]]
         a = int(starts[at[edge[e]]])
         z = min(n, a + size)
@@ -215,6 +228,13 @@ def leaks_in(ix: Index, text: str | None) -> list[tuple[int, float, float, float
     return [best[k] for k in sorted(best)]
 
 
+def _built(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int], longest: int) -> Iterator[Index]:
+    """Indexes of ``items``, so many at a time that the table of bounds keeps to its size."""
+    many = BLOCK * max(1, PART_BOUNDS // (len(document_count) + 1))
+    for s in range(0, len(items), many):
+        yield build(items[s : s + many], n_items, mean_length, document_count, longest)
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Index parts of the benchmark, each of bounded size, one after another."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
@@ -226,7 +246,7 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
         bags = [b for b in bags if b]
         counts = Counter(w for b in bags for w in set(b))
         if bags:
-            yield build(got, len(bags), sum(map(len, bags)) / len(bags), counts, max(map(len, bags)))
+            yield from _built(got, len(bags), sum(map(len, bags)) / len(bags), counts, max(map(len, bags)))
         return
 
     def split(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +257,12 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     prepare(benchmark.sparkSession)
     bags = items.mapInArrow(split, "item_id long, words array<string>").filter(F.size("words") > 0)
     n, mean, longest = bags.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    counts = stored(bags.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "terms")
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    counts = bags.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     for k in range(parts):
         got = [(r.item_id, r.text) for r in items.filter(part == k).toLocalIterator()]
         there = bags.filter(part == k).select(F.explode("words").alias("w")).distinct()
-        yield build(got, n, mean, {r.w: r.n for r in counts.join(there, "w").toLocalIterator()}, longest)
+        yield from _built(got, n, mean, {r.w: r.n for r in counts.join(there, "w").toLocalIterator()}, longest)
 
 
 _LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long, end_word long"

@@ -299,7 +299,14 @@ def test_leaks_are_found_and_clean_documents_left(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
     kept = decontaminate.without_leaks(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} - {None}
-    monkeypatch.setattr(decontaminate, "PART_CHARS", 2000)
+    with monkeypatch.context() as m:
+        m.setattr(decontaminate, "PART_CHARS", 2000)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == want
+    # a table of bounds over its limit is cut into parts too; long texts go in small steps
+    monkeypatch.setattr(decontaminate, "PART_BOUNDS", 5000)
+    monkeypatch.setattr(decontaminate, "WORK", 500)
+    built = list(decontaminate.indexes(bench))
+    assert len(built) > 1 and all(ix.bounds.size <= 5000 for ix in built)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == want
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
