@@ -25,8 +25,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
     """doc_id, text, label of a bounded sample of training rows.
 
-    The sample has at most ``rows`` ids, so its broadcast is bounded. Null ids
-    and labels teach nothing; an id with several labels has their maximum.
+    The sample has at most ``rows`` ids, so its broadcast is bounded, and one
+    row an id: the smallest text, however many rows repeat the id. Null ids and
+    labels teach nothing; an id with several labels has their maximum.
     """
     picked = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
@@ -34,7 +35,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE)
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     )
     picked = first_by_hash(picked, rows, "doc_id")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def add_columns(docs: DataFrame, make: Callable[[list], dict[str, list]], added: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import compaction, graph, itq, lm, quality, toxicity
+from shelfcast.llm import compaction, graph, itq, learn, lm, quality, toxicity
 
 DOC = "doc_id long, text string"
 LAB = "doc_id long, quality int, toxic int"
@@ -52,6 +52,15 @@ def test_quality(spark):
     assert quality.score(docs, quality.train(docs, labels.limit(0))).count() == 405
 
 
+def test_rows_that_repeat_an_id_are_one_sample_row(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")] + [(4, "d")] * 500, DOC).repartition(3)
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 0, 0), (4, 1, 0)], LAB)
+    ids = [r.doc_id for r in docs.select("doc_id").distinct().filter(~learn.held_out()).collect()]
+    want = {(i, t, y) for i, t, y in [(1, "a", 1), (2, None, 0), (4, "d", 1)] if i in ids}
+    got = [tuple(r) for r in learn.labelled(docs, labels, "quality").collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
 def test_discriminant_is_the_gaussian_log_ratio():
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(0, 1, (300, 3)), rng.normal(1, 2, (200, 3))]
