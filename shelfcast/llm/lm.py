@@ -8,13 +8,18 @@ Each document is left out of the counts it is scored with.
   p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU),  p(w) = (c(w) + 1) / (n + |V|)
 
 Layout for scale
-  * The vocabulary is all words above the lowest count that leaves at most
-    VOCABULARY of them; all others, and words of over 64 characters, are one
-    unknown word. So unigram tables have a fixed
-    bound and are sent to all executors; bigram counts are not.
-  * Bigrams go to reducers by a hash of the pair, five bytes each, in one row a
-    (batch, bucket). A reducer counts its bigrams and returns partial sums a
-    document, again in packed rows.
+  * The vocabulary is all words, each known by a 62-bit hash. The counts of the
+    HELD most frequent ones are sent to all executors, which changes no result:
+    a held word is only written shorter, as a number.
+  * Bigrams of held words go to reducers by a hash of the pair, five bytes each,
+    in one row a (batch, bucket). A reducer counts its bigrams and returns
+    partial sums a document, again in packed rows.
+  * log p is the log of its numerator, which needs c(v, w) and p(w), less that of
+    its denominator, which needs c(v). A bigram that ends in a word that isn't
+    held goes to that word's bucket, where the numerator is known, as all of the
+    word's occurrences meet there; one that begins with such a word goes to
+    that word's bucket for the denominator. What concerns a held word is known
+    in both. So no table of all words is joined, sent or collected.
   * Pairs of words that each make up 1/HOT of the corpus are few (HOT**2 at
     most) and may be a large share of all; their counts are summed in the
     mappers and sent to all executors, so no bucket holds a hot pair.
@@ -23,7 +28,10 @@ Defined results
   Words are runs of non-white-space, lower-cased; a text is framed by an end
   sign on both sides, so null and empty texts have one token, the end. Rows that
   repeat an id are scored as one document. Rows with a null id are left out. A
-  null target flag is false. An empty target leaves the smoothed prior.
+  null target flag is false. An empty target leaves the smoothed prior. |V| counts
+  the distinct words and the end sign. Only where VOCABULARY is set to a number,
+  words at or below the lowest count that leaves at most that many are one unknown
+  word; by default there is no such bound.
 """
 
 from __future__ import annotations
@@ -33,20 +41,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, mixed, prepare, reducers, stored
 from .substring import _deal, _pack, _unpack
 
-VOCABULARY, HOT, MU = 65_000, 256, 20.0
+#: None: all words.
+VOCABULARY: int | None = None
+#: Words whose counts all executors hold; the others' are counted in their buckets.
+HELD = 65_000
+HOT, MU = 256, 20.0
+#: Codes of words that have no number are hashes from here on.
+HASHED = 1 << 62
 #: Bigrams a mapper gathers before it sends them.
 FLUSH = 1_500_000
 
 
+def _code(word: str) -> int:
+    return HASHED | xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2
+
+
+END = _code("\n")
+
+
 class _Ids(dict):
+    """word -> its number, else 0 or its code; misses are kept, up to a bound."""
+
+    def __init__(self, held: dict[int, int], bounded: bool):
+        super().__init__()
+        self.held, self.bounded = held, bounded
+
     def __missing__(self, word: str) -> int:
-        return 0
+        code = _code(word)
+        value = self.held.get(code, 0 if self.bounded else code)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = value
+        return value
 
 
 def _words(text: str | None) -> list[str]:
@@ -58,7 +93,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> pa.RecordBatch:
         words = list(counts[0].keys() | counts[1].keys())
-        out = pa.record_batch([pa.array([w if len(w) <= 64 else "" for w in words], pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] + counts[1][w] for w in words], pa.int64())], ["word", "target", "every"])
+        out = pa.record_batch([pa.array(map(_code, words), pa.int64()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] + counts[1][w] for w in words], pa.int64())], ["word", "target", "every"])
         for c in counts:
             c.clear()
         return out
@@ -73,21 +108,32 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Unigrams:
-    """Counts by word number: 0 is the unknown word, 1 the end sign."""
+    """Counts by word number: 0 is the unknown word, 1 the end sign.
+
+    ``rows`` are the words with a number; ``distinct`` is the number of all words,
+    or None if those without a number are the unknown word.
+    """
 
-    def __init__(self, rows: list, totals: tuple[int, int]):
-        self.ids = _Ids({r.word: k for k, r in enumerate(rows, 2)} | {"\n": 1})
-        ends = next(((r.target, r.every) for r in rows if r.word == "\n"), (0, 0))
+    def __init__(self, rows: list, ends: tuple[int, int], totals: tuple[int, int], distinct: int | None):
+        self.ids = _Ids({r.word: k for k, r in enumerate(rows, 2)} | {END: 1}, distinct is None)
         # the end sign has its own number; its row stands for nothing
-        known = np.array([[0, 0], list(ends), *[[0, 0] if r.word == "\n" else [r.target, r.every] for r in rows]], np.float64)
-        known[0] = np.maximum(np.array(totals) - known.sum(axis=0), 0)
+        known = np.array([[0, 0], list(ends), *[[0, 0] if r.word == END else [r.target, r.every] for r in rows]], np.float64)
+        if distinct is None:
+            known[0] = np.maximum(np.array(totals) - known.sum(axis=0), 0)
         self.counts = known
-        self.prior = (known + 1) / (known.sum(axis=0) + len(known))
-        share = known[:, 1] / max(known[:, 1].sum(), 1)
+        #: What is added up under a prior.
+        self.mass = (known.sum(axis=0) if distinct is None else np.array(totals, np.float64)) + (len(known) if distinct is None else max(distinct, 1))
+        self.prior = (known + 1) / self.mass
+        share = known[:, 1] / max(totals[1], 1)
         self.hot = np.flatnonzero(share >= 1 / HOT)
         self.place = np.full(len(known), -1)
         self.place[self.hot] = np.arange(len(self.hot))
 
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Place of each code among the hot words, -1 for others."""
+        there = x < len(self.counts)
+        return np.where(there, self.place[np.where(there, x, 0)], -1)
+
     def encode(self, text: str | None) -> np.ndarray:
         words = _words(text)
         out = np.ones(len(words) + 2, np.int64)
@@ -100,6 +146,36 @@ class Unigrams:
         top = np.maximum(pairs - less, 0) + MU * self.prior[w]
         return -np.log(top / (np.maximum(self.counts[v] - less, 0) + MU))
 
+    def parts(self, ends_in: bool, a: np.ndarray, b: np.ndarray, d: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, [row, model] loss, tokens) of all bigrams of words ``a`` without a number.
+
+        They end in ``a`` or begin with it; ``b`` is the other word. Of two words
+        without a number, the numerator is told where the bigram ends in ``a``, the
+        denominator where it begins.
+        """
+        order = np.lexsort((d, b, a))
+        a, b, d, f = a[order], b[order], d[order], f[order]
+        word = np.r_[True, a[1:] != a[:-1]]
+        pair = word | np.r_[True, b[1:] != b[:-1]]
+        edge = np.flatnonzero(pair | np.r_[True, d[1:] != d[:-1]])
+        own = np.diff(np.r_[edge, len(d)]).astype(float)
+        less = np.stack([np.add.reduceat(f.astype(float), edge), own], axis=1)
+        word, pair, b, d = word[edge], pair[edge], b[edge], d[edge]
+
+        def summed(first: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(first)
+            return np.repeat(np.add.reduceat(less, at, axis=0), np.diff(np.r_[at, len(first)]), axis=0)
+
+        known = b < len(self.counts)
+        at, words, pairs = np.where(known, b, 0), summed(word), np.maximum(summed(pair) - less, 0)
+        if ends_in:
+            loss = -np.log(pairs + MU * (words + 1) / self.mass)
+            loss += np.where(known[:, None], np.log(np.maximum(self.counts[at] - less, 0) + MU), 0)
+            return d, loss * own[:, None], own
+        loss = np.log(np.maximum(words - less, 0) + MU)
+        loss -= np.where(known[:, None], np.log(pairs + MU * self.prior[at]), 0)
+        return d, loss * own[:, None], np.where(known, own, 0)
+
 
 def _hot_pairs(u: Unigrams):
     n = len(u.hot)
@@ -108,7 +184,7 @@ def _hot_pairs(u: Unigrams):
         sums = np.zeros((2, n * n), np.int64)
         for batch in batches:
             for text, flag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                p = u.place[u.encode(text)]
+                p = u.places(u.encode(text))
                 k = (p[:-1] >= 0) & (p[1:] >= 0)
                 c = np.bincount(p[:-1][k] * n + p[1:][k], minlength=n * n) if k.sum() > n * n // 8 else None
                 if c is not None:
@@ -147,7 +223,18 @@ def _unpack_sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.c_[np.frombuffer(data, "<f8", 2 * n, 4 + 8 * n).reshape(n, 2), np.frombuffer(data, "<u4", n, 4 + 24 * n)]
 
 
-_SENT = "k int, flag boolean, bigrams binary, sums binary"
+def _squeeze(x: np.ndarray) -> bytes:
+    """Codes, byte by byte of all, as those of numbers are mostly zeros."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+#: Routes of a bigram: its words have numbers; it ends in a word without; it begins with one.
+NUMBERED, ENDS, BEGINS = 0, 1, 2
+_SENT = "k int, flag boolean, route int, bigrams binary, others binary, sums binary"
 
 
 def _sender(u: Unigrams, hot: np.ndarray, bits: int):
@@ -155,11 +242,11 @@ def _sender(u: Unigrams, hot: np.ndarray, bits: int):
 
     def flush(held: list[tuple[int, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ks: list[int] = []
-        fs, bs, ss = [], [], []
+        fs, rs, bs, os, ss = [], [], [], [], []
         docs = np.repeat(np.array([d for d, _, _ in held]), [len(x) - 1 for _, _, x in held])
         flags = np.repeat(np.array([f for _, f, _ in held]), [len(x) - 1 for _, _, x in held])
         v, w = np.concatenate([x[:-1] for _, _, x in held]), np.concatenate([x[1:] for _, _, x in held])
-        pv, pw = u.place[v], u.place[w]
+        pv, pw = u.places(v), u.places(w)
         is_hot = (pv >= 0) & (pw >= 0)
         # hot pairs: counts are known here
         d, pair, f = docs[is_hot], pv[is_hot] * n + pw[is_hot], flags[is_hot]
@@ -173,22 +260,30 @@ def _sender(u: Unigrams, hot: np.ndarray, bits: int):
         ids, sums = _partial(np.r_[d, zero], np.r_[loss, np.zeros((len(zero), 2))], np.r_[own, np.zeros(len(zero))])
         at, data = _pack_sums(ids, sums, 1 << bits)
         ks += [(1 << bits) + x for x in at]
-        fs += [None] * len(at)
-        bs += [None] * len(at)
+        for x in (fs, rs, bs, os):
+            x += [None] * len(at)
         ss += data
-        for flag in (False, True):
-            k = ~is_hot & (flags == flag)
-            key, d = v[k] * size + w[k], docs[k]
-            b = (mixed(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
-            order = np.lexsort((d, b))
-            key, d, b = key[order], d[order], b[order]
-            edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                ks.append(int(b[lo]))
-                fs.append(flag)
-                bs.append(_pack(d[lo:hi], key[lo:hi], 5))
-                ss.append(None)
-        yield pa.record_batch([pa.array(ks, pa.int32()), pa.array(fs, pa.bool_()), pa.array(bs, pa.binary()), pa.array(ss, pa.binary())], ["k", "flag", "bigrams", "sums"])
+        far_v, far_w = v >= size, w >= size
+        for route, there in ((NUMBERED, ~is_hot & ~far_v & ~far_w), (ENDS, far_w), (BEGINS, far_v)):
+            for flag in (False, True):
+                k = np.flatnonzero(there & (flags == flag))
+                key = v[k] * size + w[k] if route == NUMBERED else w[k] if route == ENDS else v[k]
+                b = (mixed(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
+                order = np.lexsort((docs[k], b))
+                k, key, b = k[order], key[order], b[order]
+                d, other = docs[k], v[k] if route == ENDS else w[k]
+                edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    ks.append(int(b[lo]))
+                    fs.append(flag)
+                    rs.append(route)
+                    bs.append(_pack(d[lo:hi], key[lo:hi], 5 if route == NUMBERED else 8))
+                    os.append(None if route == NUMBERED else _squeeze(other[lo:hi]))
+                    ss.append(None)
+        yield pa.record_batch(
+            [pa.array(ks, pa.int32()), pa.array(fs, pa.bool_()), pa.array(rs, pa.int32()), pa.array(bs, pa.binary()), pa.array(os, pa.binary()), pa.array(ss, pa.binary())],
+            ["k", "flag", "route", "bigrams", "others", "sums"],
+        )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bool, np.ndarray]] = []
@@ -210,18 +305,7 @@ def _sender(u: Unigrams, hot: np.ndarray, bits: int):
 def _judge(u: Unigrams, bits: int):
     size = np.int64(len(u.counts))
 
-    def judge(table: pa.Table) -> pa.Table:
-        key = table.column("k")[0].as_py()
-        if key >= 1 << bits:
-            sums = [x for x in table.column("sums").to_pylist() if x]
-            return pa.table({"k": pa.array([key - (1 << bits)] * len(sums), pa.int32()), "sums": pa.array(sums, pa.binary())})
-        docs, keys, flags = [], [], []
-        for data, flag in zip(table.column("bigrams").to_pylist(), table.column("flag").to_pylist(), strict=True):
-            d, k = _unpack(data, 5)
-            docs.append(d)
-            keys.append(k.astype(np.int64))
-            flags.append(np.full(len(d), flag))
-        d, k, f = np.concatenate(docs), np.concatenate(keys), np.concatenate(flags)
+    def numbered(d: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((d, k))
         d, k, f = d[order], k[order], f[order]
         # one entry per (bigram, document)
@@ -233,7 +317,29 @@ def _judge(u: Unigrams, bits: int):
         new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         many = np.diff(np.r_[new, len(k)])
         pairs = np.stack([np.repeat(np.add.reduceat(x, new), many) for x in (mine, own)], axis=1)
-        loss = u.losses(k // size, k % size, pairs, own, mine / own) * own[:, None]
+        return d, u.losses(k // size, k % size, pairs, own, mine / own) * own[:, None], own
+
+    def judge(table: pa.Table) -> pa.Table:
+        key = table.column("k")[0].as_py()
+        if key >= 1 << bits:
+            sums = [x for x in table.column("sums").to_pylist() if x]
+            return pa.table({"k": pa.array([key - (1 << bits)] * len(sums), pa.int32()), "sums": pa.array(sums, pa.binary())})
+        held = {route: ([], [], [], []) for route in (NUMBERED, ENDS, BEGINS)}
+        for data, other, route, flag in zip(*(table.column(c).to_pylist() for c in ("bigrams", "others", "route", "flag")), strict=True):
+            d, k = _unpack(data, 5 if route == NUMBERED else 8)
+            docs, keys, others, flags = held[route]
+            docs.append(d)
+            keys.append(k.astype(np.int64))
+            if route != NUMBERED:
+                others.append(_unsqueeze(other))
+            flags.append(np.full(len(d), flag))
+        made = []
+        for route, (docs, keys, others, flags) in held.items():
+            if docs and route == NUMBERED:
+                made.append(numbered(np.concatenate(docs), np.concatenate(keys), np.concatenate(flags)))
+            elif docs:
+                made.append(u.parts(route == ENDS, np.concatenate(keys), np.concatenate(others), np.concatenate(docs), np.concatenate(flags)))
+        d, loss, own = (np.concatenate(x) for x in zip(*made, strict=True))
         at, data = _pack_sums(*_partial(d, loss, own), 1 << bits)
         return pa.table({"k": pa.array(at, pa.int32()), "sums": pa.array(data, pa.binary())})
 
@@ -260,14 +366,15 @@ def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
     prepare(spark)
     bits = max(5, (reducers(spark) - 1).bit_length())
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(target, F.lit(False)).alias("flag"))
-    words = stored(source.mapInArrow(_unigrams, "word string, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "unigrams")
-    totals = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
-    # the lowest count that leaves the vocabulary within its bound; only words above it are collected
-    by_count = words.filter("word != ''").groupBy("every").agg(F.count("*").alias("n"))
+    words = stored(source.mapInArrow(_unigrams, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "unigrams")
+    *totals, distinct = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0)), F.count("*")).first()
+    # the lowest count that leaves the held words within their bound; only words above it are collected
+    by_count = words.groupBy("every").agg(F.count("*").alias("n"))
     upto = by_count.select("every", F.sum("n").over(Window.orderBy(F.desc("every"))).alias("upto"))
-    least = upto.filter(F.col("upto") > VOCABULARY).agg(F.coalesce(F.max("every"), F.lit(0))).first()[0]
-    known = words.filter("word != ''").filter(F.col("every") > least).collect()
-    u = Unigrams(sorted(known, key=lambda r: (-r.every, r.word)), tuple(totals))
+    least = upto.filter(F.col("upto") > (VOCABULARY or HELD)).agg(F.coalesce(F.max("every"), F.lit(0))).first()[0]
+    known = words.filter((F.col("every") > least) | (F.col("word") == END)).collect()
+    ends = next(((r.target, r.every) for r in known if r.word == END), (0, 0))
+    u = Unigrams(sorted((r for r in known if r.every > least), key=lambda r: (-r.every, r.word)), ends, tuple(totals), distinct if VOCABULARY is None else None)
     hot = np.zeros((len(u.hot) ** 2, 2))
     for r in source.mapInArrow(_hot_pairs(u), "pair long, target long, every long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).collect():
         hot[r.pair] = r.target, r.every

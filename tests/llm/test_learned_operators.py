@@ -197,6 +197,35 @@ def test_language_models_match_brute_force(spark, monkeypatch):
     assert lm.cross_entropy_difference(df.limit(0), F.col("flag")).count() == 0
 
 
+@pytest.mark.parametrize("held", [4, None])
+def test_language_models_cover_every_word(spark, monkeypatch, held):
+    monkeypatch.setattr(lm, "HOT", 8)
+    if held:
+        monkeypatch.setattr(lm, "HELD", held)
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(words[min(r.randrange(30), r.randrange(30))] for _ in range(r.randint(0, 30))), i % 3 == 0) for i in range(40)]
+    # more words that occur once than executors hold, and two long ones
+    rows += [(100, " ".join(f"h{i}" for i in range(66_000)), True), (101, "w1 " + "x" * 100 + " w2", True), (102, "y" * 100 + " w1 w29", False), (103, None, False)]
+    got = {x.doc_id: x for x in lm.cross_entropy_difference(spark.createDataFrame(rows, DOC + ", flag boolean").repartition(3), F.col("flag")).collect()}
+    enc = [(i, ["\n", *(t or "").split(), "\n"], f) for i, t, f in rows]
+    uni, bi = (Counter(), Counter()), (Counter(), Counter())
+    for _, w, f in enc:
+        for k in (0, 1) if f else (1,):
+            uni[k].update(w[1:])
+            bi[k].update(zip(w, w[1:], strict=False))
+    mass = [sum(c.values()) + len(uni[1]) for c in uni]
+    assert len(got) == len(rows)
+    for i, w, f in enc:
+        own = Counter(zip(w, w[1:], strict=False))
+        loss = [0.0, 0.0]
+        for (v, x), n in own.items():
+            for k, less in enumerate((n * f, n)):
+                loss[k] -= n * math.log((bi[k][v, x] - less + lm.MU * (uni[k][x] + 1) / mass[k]) / (uni[k][v] - less + lm.MU))
+        assert got[i].n_tokens == len(w) - 1
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(x / (len(w) - 1) for x in loss))
+
+
 def test_shards(spark, tmp_path):
     store = compaction.ShardStore(spark, "file://" + str(tmp_path / "store"))
     assert store.manifest()["version"] == 0
