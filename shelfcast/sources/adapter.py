@@ -67,7 +67,7 @@ def panel_sources(spark: SparkSession, sf_dir: str, kind: str = "dense", truth:
         items = part.select(F.col("p_brand").alias("product_id"), (brand % 6).cast("string").alias("product_family"), brand.alias("product_class"), (brand % 4 == 0).alias("is_perishable")).distinct()
         k = F.col("n_nationkey")
         stores = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(k.alias("store_id"), F.col("n_name").alias("city"), F.col("r_name").alias("department"), F.chr(65 + k % 4).alias("store_type"), (k % 7).alias("store_cluster"))
-    ev = _table(spark, sf_dir, "events").filter(F.col("event_id") % 97 == 0)
+    ev = _table(spark, sf_dir, "events")
     u = (F.col("user_id") / 3).cast("int")
     kind_of = F.when(F.col("event_type").isin("view", "signup"), "Holiday").when(F.col("event_type") == "click", "Transfer").when(F.col("event_type") == "purchase", "Additional").otherwise("Event")
     place = F.col("user_id") % 3

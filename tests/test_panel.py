@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.operators import context, features, joins, stockout, validation
+from shelfcast.sources.adapter import panel_sources
 
 D = date(2026, 1, 1)
 
@@ -138,3 +139,20 @@ def test_positions_number_all_rows(spark):
     df = spark.range(1000).withColumn("id", F.hash("id"))
     got = [r.position for r in validation.positions(df, ["id"]).orderBy("id").collect()]
     assert got == list(range(1000))
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse"])
+def test_all_events_are_mapped(spark, tmp_path, kind):
+    for t, columns in {
+        "lineitem": "'2026-01-01' AS l_shipdate, 1 AS l_partkey, 1 AS l_suppkey, 1.0D AS l_quantity, 0.0D AS l_discount",
+        "part": "1 AS p_partkey, 'SMALL' AS p_type, 'Brand#11' AS p_brand",
+        "supplier": "1 AS s_suppkey, 1 AS s_nationkey",
+        "nation": "1 AS n_nationkey, 1 AS n_regionkey, 'N' AS n_name",
+        "region": "1 AS r_regionkey, 'AMERICA' AS r_name",
+        "orders": "'2026-01-01' AS o_orderdate, 1 AS o_custkey, 1.0D AS o_totalprice",
+        "customer": "1 AS c_custkey, 1 AS c_nationkey",
+    }.items():
+        spark.sql(f"SELECT {columns}").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.range(200).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    events = panel_sources(spark, str(tmp_path), kind).events
+    assert events.count() == 200 and events.filter("is_transferred").count() == 100
