@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecaster, shap
 from ..operators.learner import BoostConfig
-from ..sources.adapter import panel_sources
+from ..sources.adapter import HORIZON, panel_sources
 from .oracle import with_ctes
 from .panel_queries import DATELESS, query, tidy
 
@@ -41,7 +41,7 @@ def m13_recursive_forecast(spark, sf_dir):
 
 @query()
 def m14_direct_forecast(spark, sf_dir):
-    p, leads = _panel(spark, sf_dir), [1, 7, 14, 28]
+    p, leads = _panel(spark, sf_dir), list(range(1, HORIZON + 1))
     columns = ["sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28", *X]
     rows = forecaster.direct_rows(p, leads, X).filter("sales_count is not null")
     rows = rows.select("date", "store_id", "product_id", "sales_count", "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..operators import baseline, review, validation
 from ..operators.context import unmatched_events
-from ..sources.adapter import panel_sources
+from ..sources.adapter import HORIZON, panel_sources
 from . import oracle, panel_queries
 from .oracle import _QS, with_ctes
 from .panel_queries import DATELESS, query, register, tidy
@@ -257,7 +257,7 @@ LEADS = [1, 7, 28]
     )
 )
 def m9_direct_supervised(spark, sf_dir):
-    return baseline.direct_supervised(_history(panel_sources(spark, sf_dir).panel), LEADS)
+    return baseline.direct_supervised(_history(panel_sources(spark, sf_dir).panel), list(range(1, HORIZON + 1)))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import math
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions import metrics
 from shelfcast.operators import baseline, forecaster, review, shap
 from shelfcast.operators.learner import BoostConfig, fit
-from shelfcast.plans import cache, stages
+from shelfcast.plans import cache, model_queries, review_queries, stages
 from shelfcast.sources import files
 
 D = date(2026, 1, 1)
@@ -84,6 +85,25 @@ def test_recursive_and_direct_forecasts(spark):
         shap.buckets(told, ["date"])
 
 
+@pytest.fixture
+def month(spark, monkeypatch):
+    """Queries of fitted models on a small panel whose test split is the whole horizon."""
+    p = _panel(spark, 100, 28).withColumn("day_of_week", F.weekday("date") + 1).withColumn("id", F.concat_ws("|", "date", "store_id", "product_id"))
+    p = p.persist()
+    monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: p)
+    monkeypatch.setattr(model_queries, "CONFIG", BoostConfig(rounds=4, depth=2, min_leaf=2))
+    monkeypatch.setattr(review_queries, "panel_sources", lambda spark, sf_dir: SimpleNamespace(panel=p))
+    yield p
+    p.unpersist()
+
+
+def test_every_lead_of_the_horizon_is_forecast(spark, month):
+    got = model_queries.m14_direct_forecast(spark, "").select("date", "store_id", "product_id")
+    assert got.count() == 4 * 28
+    assert got.exceptAll(month.filter("dataset_split = 'test'").select(got.columns)).count() == 0
+    assert {r.lead for r in review_queries.m9_direct_supervised(spark, "").select("lead").distinct().collect()} == set(range(1, 29))
+
+
 def test_features_for_next():
     h = np.arange(40.0)
     assert forecaster.features_for_next(h)[:4] == [39, 33, 26, 12]
