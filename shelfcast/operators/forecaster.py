@@ -116,12 +116,14 @@ def coherent(raw: np.ndarray, log_sales: bool = True) -> tuple[np.ndarray, np.nd
 _OUT = "date date, store_id int, product_id string, " + ", ".join(f"{n} double" for n in NAMES)
 
 
-def recursive_forecast(panel: DataFrame, models: list[Boosted], context: list[str], log_sales: bool = True) -> DataFrame:
-    """Forecast the days without sales, feeding each day's median to the next.
+def recursive_rows(panel: DataFrame, models: list[Boosted], context: list[str], log_sales: bool = True) -> DataFrame:
+    """Forecasts of the days without sales and the features that each was made from.
 
-    Series depend on their own past only, so each is one group: its last days
-    and its horizon. The dependent steps loop inside the group.
+    Each day's median feeds the next. Series depend on their own past only, so each
+    is one group: its last days and its horizon. The dependent steps loop inside the
+    group. A feature that is a key stays the key.
     """
+    features = [c for c in SALES + context if c not in SERIES]
     rows = panel.select("date", *SERIES, "sales_count", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in context])
     last = panel.filter("sales_count is not null").agg(F.max("date").alias("_last"))
     near = rows.crossJoin(F.broadcast(last)).filter(C("date") > F.date_sub("_last", 2 * HISTORY + 1)).drop("_last")
@@ -132,16 +134,23 @@ def recursive_forecast(panel: DataFrame, models: list[Boosted], context: list[st
         history = part["sales_count"].to_numpy(float)[known].tolist()
         history = [0.0] * max(0, HISTORY - len(history)) + history
         ahead = part[~known]
-        out = []
+        out, seen = [], []
         for x in ahead[[f"x_{c}" for c in context]].to_numpy(float) if context else np.empty((len(ahead), 0)):
             row = np.array([features_for_next(np.array(history[-2 * HISTORY - 1 :])) + list(x)])
             values, _ = coherent(np.array([[m.predict(row)[0] for m in models]]), log_sales)
             out.append(values[0])
+            seen.append(row[0])
             history.append(values[0][1])
         made = ahead[["date", *SERIES]].reset_index(drop=True)
-        return pd.concat([made, pd.DataFrame(np.array(out).reshape(-1, len(NAMES)), columns=list(NAMES))], axis=1)
+        told = pd.DataFrame(np.array(seen).reshape(-1, len(SALES + context)), columns=SALES + context)[features]
+        return pd.concat([made, pd.DataFrame(np.array(out).reshape(-1, len(NAMES)), columns=list(NAMES)), told], axis=1)
+
+    return near.groupBy(*SERIES).applyInPandas(run, _OUT + "".join(f", `{c}` double" for c in features))
 
-    return near.groupBy(*SERIES).applyInPandas(run, _OUT)
+
+def recursive_forecast(panel: DataFrame, models: list[Boosted], context: list[str], log_sales: bool = True) -> DataFrame:
+    """Forecast the days without sales, feeding each day's median to the next."""
+    return recursive_rows(panel, models, context, log_sales).select("date", *SERIES, *NAMES)
 
 
 def direct_rows(panel: DataFrame, leads: list[int], context: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import QUANTILES
-from .forecaster import CONTEXT, SALES
+from .forecaster import CONTEXT, SALES, coherent
 from .learner import Boosted
 
 C = F.col
@@ -23,21 +24,26 @@ BUCKETS = {
 }
 
 
-def shap_long(rows: DataFrame, models: list[Boosted], columns: list[str], keys: list[str]) -> DataFrame:
-    """Four rows a key: quantile, model value, base and a contribution a feature."""
-    spec = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys).dtypes) + ", quantile double, raw_model double, base_value double, " + ", ".join(f"shap_{c} double" for c in columns)
+def shap_long(rows: DataFrame, models: list[Boosted], columns: list[str], keys: list[str], log_sales: bool = True) -> DataFrame:
+    """Four rows a key: quantile, the quantile whose model it comes from after sorting,
+    that model's value, base and contribution a feature, and the value submitted."""
+    spec = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys).dtypes) + ", quantile double, source_quantile double, raw_model double, base_value double, submitted double, " + ", ".join(f"shap_{c} double" for c in columns)
 
     def run(parts):
         import pandas as pd
 
         for part in parts:
             x = part[columns].to_numpy(float)
-            out = []
-            for q, m in zip(QUANTILES, models, strict=True):
-                base, shap = m.explain(x)
+            raw = np.stack([m.predict(x) for m in models], axis=1)
+            told = [m.explain(x) for m in models]
+            bases, shaps = np.array([base for base, _ in told]), np.stack([shap for _, shap in told])
+            values, sources = coherent(raw, log_sales)
+            out, row = [], np.arange(len(x))
+            for k, q in enumerate(QUANTILES):
+                of = np.searchsorted(QUANTILES, sources[:, k])
                 made = part[keys].copy()
-                made["quantile"], made["raw_model"], made["base_value"] = q, m.predict(x), base
-                out.append(pd.concat([made, pd.DataFrame(shap, columns=[f"shap_{c}" for c in columns], index=part.index)], axis=1))
+                made["quantile"], made["source_quantile"], made["raw_model"], made["base_value"], made["submitted"] = q, sources[:, k], raw[row, of], bases[of], values[:, k]
+                out.append(pd.concat([made, pd.DataFrame(shaps[of, row], columns=[f"shap_{c}" for c in columns], index=part.index)], axis=1))
             yield pd.concat(out)
 
     return rows.select(*keys, *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns if c not in keys]).mapInPandas(run, spec)

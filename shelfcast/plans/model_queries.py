@@ -49,12 +49,16 @@ def m14_direct_forecast(spark, sf_dir):
     return tidy(forecaster.direct_forecast(p, leads, models, columns))
 
 
+def _told(panel: DataFrame) -> DataFrame:
+    """Explanations of every step of the recursive forecast: each test id and quantile."""
+    models, keys = _models(panel), ["date", "store_id", "product_id"]
+    rows = forecaster.recursive_rows(panel, models, X).join(panel.select("id", *keys), keys)
+    return shap.shap_long(rows, models, forecaster.SALES + X, ["id", *keys])
+
+
 @query()
 def m18_shap_long(spark, sf_dir):
-    p = _panel(spark, sf_dir)
-    rows = forecaster.supervised(p, X)
-    last = rows.crossJoin(F.broadcast(rows.agg(F.max("date").alias("_last")))).filter("date = _last").drop("_last")
-    return tidy(shap.shap_long(last, _models(p), forecaster.SALES + X, ["date", "store_id", "product_id"]))
+    return tidy(_told(_panel(spark, sf_dir)))
 
 
 FEATURES = [c for cols in shap.BUCKETS.values() for c in cols]

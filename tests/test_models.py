@@ -104,6 +104,24 @@ def test_every_lead_of_the_horizon_is_forecast(spark, month):
     assert {r.lead for r in review_queries.m9_direct_supervised(spark, "").select("lead").distinct().collect()} == set(range(1, 29))
 
 
+def test_every_forecast_is_explained(spark, month):
+    told = model_queries.m18_shap_long(spark, "").persist()
+    assert told.count() == 4 * 4 * 28 and told.select("id", "quantile").distinct().count() == 4 * 4 * 28
+    made = {(r.date, r.store_id, r.product_id): r for r in model_queries.m13_recursive_forecast(spark, "").collect()}
+    for r in told.collect():
+        value = made[r.date, r.store_id, r.product_id][f"p{round(r.quantile * 100)}"]
+        assert r.submitted == pytest.approx(value, abs=1e-5) == max(math.expm1(r.raw_model), 0)
+    assert shap.additivity(told).first().off == 0
+
+
+def test_the_source_of_a_crossed_quantile_is_told(spark):
+    x = np.arange(80.0)[:, None]
+    models = [fit(x, x[:, 0] / 40 + b, 0.5, BoostConfig(rounds=3, depth=2, min_leaf=2)) for b in (0.0, 2.0, 1.0, 3.0)]
+    told = shap.shap_long(spark.createDataFrame([(1, 10.0), (2, 70.0)], "id int, x double"), models, ["x"], ["id"])
+    assert {(r.quantile, r.source_quantile) for r in told.collect()} == {(0.25, 0.25), (0.5, 0.75), (0.75, 0.5), (0.95, 0.95)}
+    assert shap.additivity(told).first().off == 0
+
+
 def test_features_for_next():
     h = np.arange(40.0)
     assert forecaster.features_for_next(h)[:4] == [39, 33, 26, 12]
