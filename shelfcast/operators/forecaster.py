@@ -75,15 +75,16 @@ def _bounded(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("date", *SERIES), "date", *SERIES).limit(most)
 
 
-def train_models(rows: DataFrame, columns: list[str], config: BoostConfig = BoostConfig(), most: int = MAX_ROWS) -> DataFrame:
+def train_models(rows: DataFrame, columns: list[str], config: BoostConfig = BoostConfig(), most: int | None = MAX_ROWS) -> DataFrame:
     """(lead, quantile, rows, model): one task a model, on a bounded sample a lead.
 
-    ``rows`` may have a lead column; without one the lead is 0.
+    ``rows`` may have a lead column; without one the lead is 0. With ``most`` None
+    all rows are fitted, and a task holds those of its lead.
     """
     if "lead" not in rows.columns:
         rows = rows.withColumn("lead", F.lit(0))
-    leads = [r.lead for r in rows.select("lead").distinct().orderBy("lead").collect()]
-    sample = None
+    sample = rows if most is None else None
+    leads = [] if most is None else [r.lead for r in rows.select("lead").distinct().orderBy("lead").collect()]
     for lead in leads:
         part = _bounded(rows.filter(C("lead") == lead), most)
         sample = part if sample is None else sample.unionByName(part)

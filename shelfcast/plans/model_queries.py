@@ -12,7 +12,7 @@ from .oracle import with_ctes
 from .panel_queries import DATELESS, query, tidy
 
 C = F.col
-CONFIG = BoostConfig(rounds=20, depth=3)
+CONFIG = BoostConfig()
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,12 @@ X = ["promotion", "day_of_week"]
 
 @query()
 def m10_quantile_boosting(spark, sf_dir):
-    models = forecaster.train_models(forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG, 20_000)
+    models = forecaster.train_models(forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG, None)
     return models.select("lead", "quantile", "n_rows", F.length("model").cast("long").alias("bytes"))
 
 
 def _models(panel):
-    return forecaster.collected(forecaster.train_models(forecaster.supervised(panel, X), forecaster.SALES + X, CONFIG, 20_000))[0]
+    return forecaster.collected(forecaster.train_models(forecaster.supervised(panel, X), forecaster.SALES + X, CONFIG, None))[0]
 
 
 @query()
@@ -45,7 +45,7 @@ def m14_direct_forecast(spark, sf_dir):
     columns = ["sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28", *X]
     rows = forecaster.direct_rows(p, leads, X).filter("sales_count is not null")
     rows = rows.select("date", "store_id", "product_id", "sales_count", "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    models = forecaster.collected(forecaster.train_models(rows, columns, CONFIG, 20_000))
+    models = forecaster.collected(forecaster.train_models(rows, columns, CONFIG, None))
     return tidy(forecaster.direct_forecast(p, leads, models, columns))
 
 

@@ -104,6 +104,15 @@ def test_every_lead_of_the_horizon_is_forecast(spark, month):
     assert {r.lead for r in review_queries.m9_direct_supervised(spark, "").select("lead").distinct().collect()} == set(range(1, 29))
 
 
+def test_registered_models_are_fitted_on_all_rows_as_the_learner_does(spark, monkeypatch):
+    assert model_queries.CONFIG == BoostConfig()
+    monkeypatch.setattr(model_queries, "CONFIG", BoostConfig(rounds=1, depth=1))
+    # 5,500 days of four series: 22,000 rows, less the first 28 days of each
+    p = _panel(spark, 5_500, 0).withColumn("day_of_week", F.weekday("date") + 1)
+    monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: p)
+    assert {r.n_rows for r in model_queries.m10_quantile_boosting(spark, "").collect()} == {22_000 - 4 * 28}
+
+
 def test_every_forecast_is_explained(spark, month):
     told = model_queries.m18_shap_long(spark, "").persist()
     assert told.count() == 4 * 4 * 28 and told.select("id", "quantile").distinct().count() == 4 * 4 * 28
