@@ -89,7 +89,7 @@ def m19_shap_buckets(spark, sf_dir):
 
 @query(with_ctes(f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS off FROM ({_ROWS})", "test_rows"))
 def v13_additivity(spark, sf_dir):
-    return shap.additivity(derived_contributions(spark, sf_dir))
+    return shap.additivity(_told(_panel(spark, sf_dir)))
 
 
 _PAIRS = "\nUNION ALL ".join(f"SELECT id, quantile, '{b}' AS factor, contrib_{b} AS value FROM b" for b in shap.BUCKETS)

@@ -324,9 +324,8 @@ def v7_final_audit(spark, sf_dir):
 
 @query(with_ctes("SELECT count(*) AS n_rows, 0 AS misplaced FROM test_rows", "test_rows").replace("0 AS misplaced", "CAST(0 AS BIGINT) AS misplaced"))
 def j16_ordered_ids(spark, sf_dir):
-    p = _test(panel_sources(spark, sf_dir).panel)
-    w = validation.positions(p.select("id"), ["id"])
-    return validation.ordered_equality(w, w)
+    p = panel_sources(spark, sf_dir).panel
+    return validation.ordered_equality(validation.positions(derived_submission(p).select("id"), ["id"]), validation.positions(_test(p).select("id"), ["id"]))
 
 
 @query(with_ctes("SELECT date, event_type, scope, location, CAST(is_transferred AS INTEGER) AS transferred, 'unmatched' AS state FROM event e WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.event_id = e.event_id)", "event", "reached"))

@@ -113,6 +113,18 @@ def test_registered_models_are_fitted_on_all_rows_as_the_learner_does(spark, mon
     assert {r.n_rows for r in model_queries.m10_quantile_boosting(spark, "").collect()} == {22_000 - 4 * 28}
 
 
+def test_checks_find_faults(spark, month, monkeypatch):
+    real = review_queries.derived_submission
+    assert review_queries.j16_ordered_ids(spark, "").first().asDict() == {"n_rows": 4 * 28, "misplaced": 0}
+    monkeypatch.setattr(review_queries, "derived_submission", lambda p: real(p).filter("NOT id LIKE '%|1|a'"))
+    assert review_queries.j16_ordered_ids(spark, "").first().misplaced > 0
+    models = model_queries._models(month)
+    assert model_queries.v13_additivity(spark, "").first().asDict() == {"n_rows": 4 * 4 * 28, "off": 0}
+    models[0].trees[0].base += 1
+    monkeypatch.setattr(model_queries, "_models", lambda p: models)
+    assert model_queries.v13_additivity(spark, "").first().off > 0
+
+
 def test_every_forecast_is_explained(spark, month):
     told = model_queries.m18_shap_long(spark, "").persist()
     assert told.count() == 4 * 4 * 28 and told.select("id", "quantile").distinct().count() == 4 * 4 * 28
