@@ -141,6 +141,16 @@ def test_embeddings(spark):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keys_get_shorter_until_the_recall_is_reached(monkeypatch):
+    monkeypatch.setattr(itq, "TABLES", 4)
+    x = np.random.default_rng(0).normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coder = itq.make_coder(x, 1 << 20, 0.9, 0.97)
+    # four keys of n bits that agree with chance p each miss a pair with (1 - p**n)**4
+    p = 1 - math.acos(0.9) / math.pi
+    assert coder.tables <= 4 and 1 - (1 - p**coder.bits) ** 4 > 0.9
+
+
 def test_rotation_is_orthogonal_and_balanced():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 8)) * np.array([5, 1, 1, 1, 1, 1, 1, 1])
