@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents in one Arrow batch: a Python worker holds this many texts at once.
-BATCH_ROWS = 512
+#: Documents and bytes in one Arrow batch, at most: what a Python worker holds at
+#: once. A single text above the bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 32 * 2**20
 #: Words kept in a worker's cache before it starts anew, so memory is bounded.
 CACHE_WORDS = 400_000
 
@@ -24,7 +26,9 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and keep Arrow batches small.
 
     On a cluster the package is shipped with ``--py-files``; where driver and
-    workers share a file system the path below is enough.
+    workers share a file system the path below is enough. The rows are
+    only ever lowered and the bytes set only where nobody has; plans read both
+    when they run, so they stay for the session.
     """
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
@@ -32,15 +36,20 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (path, _HOME) if x)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (unit tests on one machine) a local one is made.
+    Where it is unset, a session in one process (unit tests) gets a folder of its
+    own; on a cluster no folder can be guessed that all machines see.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="shelfcast-")
@@ -89,6 +98,33 @@ def first_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.orderBy(place, *keys).limit(rows)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` column names, lengthened where ``df`` has them already."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
+def dealt(keys: np.ndarray, n: int) -> np.ndarray:
+    """Task of 0 .. n-1 for each key: a mixed hash of the key, modulo n."""
+    h = keys.astype(np.uint64) * BASE
+    h ^= h >> np.uint64(32)
+    return (h % np.uint64(n)).astype(np.int32)
+
+
+def runs_of(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, stop) of each run of equal values."""
+    if not len(at):
+        return []
+    edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]).tolist()
+    return [(int(at[lo]), lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -120,8 +156,9 @@ def hashed(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-#: Odd multiplier of the rolling hash and of its finishing mix.
+#: Odd multipliers of the rolling hash, of a second one, and of the finishing mix.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_2 = np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -131,7 +168,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def rolling(x: np.ndarray, width: int) -> np.ndarray:
+def rolling(x: np.ndarray, width: int, base: np.uint64 = BASE) -> np.ndarray:
     """Rabin-Karp hash of every window of ``width`` values, modulo 2**64.
 
     The polynomial of a window is put together from those of its power-of-two
@@ -140,7 +177,7 @@ def rolling(x: np.ndarray, width: int) -> np.ndarray:
     """
     if len(x) < width:
         return np.empty(0, np.uint64)
-    part, size, power = x, 1, int(BASE)
+    part, size, power = x, 1, int(base)
     out, done = None, 0
     while True:
         if width & size:

@@ -12,23 +12,26 @@ Layout for scale
     HELD most frequent ones are sent to all executors, which changes no result:
     a held word is only written shorter, as a number.
   * Bigrams of held words go to reducers by a hash of the pair, five bytes each,
-    in one row a (batch, bucket). A reducer counts its bigrams and returns
-    partial sums a document, again in packed rows.
+    in one row a (mapper, task). A task counts its bigrams and returns partial
+    sums a document, in one row a document task: what mappers know already goes
+    through the same task and is added in, so the rows of the second shuffle
+    depend neither on the mappers nor on repeats.
   * log p is the log of its numerator, which needs c(v, w) and p(w), less that of
     its denominator, which needs c(v). A bigram that ends in a word that isn't
-    held goes to that word's bucket, where the numerator is known, as all of the
+    held goes to that word's task, where the numerator is known, as all of the
     word's occurrences meet there; one that begins with such a word goes to
-    that word's bucket for the denominator. What concerns a held word is known
+    that word's task for the denominator. What concerns a held word is known
     in both. So no table of all words is joined, sent or collected.
   * Pairs of words that each make up 1/HOT of the corpus are few (HOT**2 at
     most) and may be a large share of all; their counts are summed in the
-    mappers and sent to all executors, so no bucket holds a hot pair.
+    mappers and sent to all executors, so no task holds a hot pair.
 
 Defined results
   Words are runs of non-white-space, lower-cased; a text is framed by an end
   sign on both sides, so null and empty texts have one token, the end. Rows that
-  repeat an id are scored as one document. Rows with a null id are left out. A
-  null target flag is false. An empty target leaves the smoothed prior. |V| counts
+  repeat an id are scored as one document, however long. Rows with a null id are
+  left out; columns besides doc_id and text are ignored, so names can't clash. A
+  null target flag is false. An empty table gives no rows. An empty target leaves the smoothed prior. |V| counts
   the distinct words and the end sign. Only where VOCABULARY is set to a number,
   words at or below the lowest count that leaves at most that many are one unknown
   word; by default there is no such bound.
@@ -46,12 +49,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, mixed, prepare, reducers, stored
-from .substring import _deal, _pack, _unpack
+from .common import CACHE_WORDS, dealt, mixed, prepare, reducers, runs_of, stored
+from .substring import pack, unpack
 
 #: None: all words.
 VOCABULARY: int | None = None
-#: Words whose counts all executors hold; the others' are counted in their buckets.
+#: Words whose counts all executors hold; the others' are counted in their tasks.
 HELD = 65_000
 HOT, MU = 256, 20.0
 #: Codes of words that have no number are hashes from here on.
@@ -206,14 +209,14 @@ def _partial(docs: np.ndarray, losses: np.ndarray, tokens: np.ndarray) -> tuple[
     return ids, np.stack([np.bincount(at, losses[:, 0], len(ids)), np.bincount(at, losses[:, 1], len(ids)), np.bincount(at, tokens, len(ids))], axis=1)
 
 
-def _pack_sums(ids: np.ndarray, sums: np.ndarray, deal: int) -> tuple[list[int], list[bytes]]:
-    at = _deal(ids, deal)
+def _pack_sums(ids: np.ndarray, sums: np.ndarray, tasks: int) -> tuple[list[int], list[bytes]]:
+    at = dealt(ids, tasks)
     order = np.lexsort((ids, at))
     ids, sums, at = ids[order], sums[order], at[order]
-    edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else [0]
-    return [int(at[lo]) for lo in edges[:-1]], [
+    found = runs_of(at)
+    return [k for k, _, _ in found], [
         len(ids[lo:hi]).to_bytes(4, "little") + np.diff(ids[lo:hi], prepend=np.int64(0)).astype("<i8").tobytes() + sums[lo:hi, :2].astype("<f8").tobytes() + sums[lo:hi, 2].astype("<u4").tobytes()
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True)
+        for _, lo, hi in found
     ]
 
 
@@ -237,8 +240,8 @@ NUMBERED, ENDS, BEGINS = 0, 1, 2
 _SENT = "k int, flag boolean, route int, bigrams binary, others binary, sums binary"
 
 
-def _sender(u: Unigrams, hot: np.ndarray, bits: int):
-    size, n, shift = np.int64(len(u.counts)), len(u.hot), np.uint64(64 - bits)
+def _sender(u: Unigrams, hot: np.ndarray, tasks: int):
+    size, n = np.int64(len(u.counts)), len(u.hot)
 
     def flush(held: list[tuple[int, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ks: list[int] = []
@@ -258,8 +261,8 @@ def _sender(u: Unigrams, hot: np.ndarray, bits: int):
         loss = u.losses(u.hot[pair // n], u.hot[pair % n], hot[pair], own, f) * own[:, None] if len(pair) else np.empty((0, 2))
         zero = np.array([x for x, _, _ in held])  # every document has a row
         ids, sums = _partial(np.r_[d, zero], np.r_[loss, np.zeros((len(zero), 2))], np.r_[own, np.zeros(len(zero))])
-        at, data = _pack_sums(ids, sums, 1 << bits)
-        ks += [(1 << bits) + x for x in at]
+        at, data = _pack_sums(ids, sums, tasks)
+        ks += at
         for x in (fs, rs, bs, os):
             x += [None] * len(at)
         ss += data
@@ -268,16 +271,15 @@ def _sender(u: Unigrams, hot: np.ndarray, bits: int):
             for flag in (False, True):
                 k = np.flatnonzero(there & (flags == flag))
                 key = v[k] * size + w[k] if route == NUMBERED else w[k] if route == ENDS else v[k]
-                b = (mixed(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
+                b = dealt(mixed(key.astype(np.uint64)), tasks)
                 order = np.lexsort((docs[k], b))
                 k, key, b = k[order], key[order], b[order]
                 d, other = docs[k], v[k] if route == ENDS else w[k]
-                edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    ks.append(int(b[lo]))
+                for at, lo, hi in runs_of(b):
+                    ks.append(at)
                     fs.append(flag)
                     rs.append(route)
-                    bs.append(_pack(d[lo:hi], key[lo:hi], 5 if route == NUMBERED else 8))
+                    bs.append(pack(d[lo:hi], key[lo:hi], 5 if route == NUMBERED else 8))
                     os.append(None if route == NUMBERED else _squeeze(other[lo:hi]))
                     ss.append(None)
         yield pa.record_batch(
@@ -302,7 +304,7 @@ def _sender(u: Unigrams, hot: np.ndarray, bits: int):
     return send
 
 
-def _judge(u: Unigrams, bits: int):
+def _judge(u: Unigrams, tasks: int):
     size = np.int64(len(u.counts))
 
     def numbered(d: np.ndarray, k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,41 +321,66 @@ def _judge(u: Unigrams, bits: int):
         pairs = np.stack([np.repeat(np.add.reduceat(x, new), many) for x in (mine, own)], axis=1)
         return d, u.losses(k // size, k % size, pairs, own, mine / own) * own[:, None], own
 
-    def judge(table: pa.Table) -> pa.Table:
-        key = table.column("k")[0].as_py()
-        if key >= 1 << bits:
-            sums = [x for x in table.column("sums").to_pylist() if x]
-            return pa.table({"k": pa.array([key - (1 << bits)] * len(sums), pa.int32()), "sums": pa.array(sums, pa.binary())})
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {route: ([], [], [], []) for route in (NUMBERED, ENDS, BEGINS)}
-        for data, other, route, flag in zip(*(table.column(c).to_pylist() for c in ("bigrams", "others", "route", "flag")), strict=True):
-            d, k = _unpack(data, 5 if route == NUMBERED else 8)
+        made: list[tuple] = []
+        for batch in batches:
+            for data, other, route, flag, sums in zip(*(batch.column(c).to_pylist() for c in ("bigrams", "others", "route", "flag", "sums")), strict=True):
+                if sums:  # worked out by the mapper: passed on with what is found here
+                    ids, x = _unpack_sums(sums)
+                    made.append((ids, x[:, :2], x[:, 2]))
+                    if len(made) >= 256:
+                        made = [_merged(made)]
+                    continue
+                d, k = unpack(data, 5 if route == NUMBERED else 8)
+                docs, keys, others, flags = held[route]
+                docs.append(d)
+                keys.append(k.astype(np.int64))
+                if route != NUMBERED:
+                    others.append(_unsqueeze(other))
+                flags.append(np.full(len(d), flag))
+        for route in held:
             docs, keys, others, flags = held[route]
-            docs.append(d)
-            keys.append(k.astype(np.int64))
-            if route != NUMBERED:
-                others.append(_unsqueeze(other))
-            flags.append(np.full(len(d), flag))
-        made = []
-        for route, (docs, keys, others, flags) in held.items():
+            held[route] = ([], [], [], [])
             if docs and route == NUMBERED:
                 made.append(numbered(np.concatenate(docs), np.concatenate(keys), np.concatenate(flags)))
             elif docs:
                 made.append(u.parts(route == ENDS, np.concatenate(keys), np.concatenate(others), np.concatenate(docs), np.concatenate(flags)))
-        d, loss, own = (np.concatenate(x) for x in zip(*made, strict=True))
-        at, data = _pack_sums(*_partial(d, loss, own), 1 << bits)
-        return pa.table({"k": pa.array(at, pa.int32()), "sums": pa.array(data, pa.binary())})
+        if made:
+            d, loss, own = _merged(made)
+            at, data = _pack_sums(d, np.c_[loss, own], tasks)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["k", "sums"])
 
     return judge
 
 
-def _total(table: pa.Table) -> pa.Table:
-    got = [_unpack_sums(x) for x in table.column("sums").to_pylist()]
-    ids, at = np.unique(np.concatenate([i for i, _ in got]), return_inverse=True)
-    s = np.concatenate([x for _, x in got])
-    sums = np.stack([np.bincount(at, s[:, c], len(ids)) for c in range(3)], axis=1)
-    n = np.maximum(sums[:, 2], 1)
-    t, b = sums[:, 0] / n, sums[:, 1] / n
-    return pa.table({"doc_id": ids, "n_tokens": sums[:, 2].astype(np.int64), "target_loss": t, "background_loss": b, "score": t - b})
+def _merged(made: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, losses, tokens) of parts that name a document many times."""
+    ids, sums = _partial(*(np.concatenate(x) for x in zip(*made, strict=True)))
+    return ids, sums[:, :2], sums[:, 2]
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a document task: the sums of its documents, as they come in."""
+    made: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for x in batch.column("sums").to_pylist():
+            ids, sums = _unpack_sums(x)
+            made.append((ids, sums[:, :2], sums[:, 2]))
+            size += len(ids)
+            if size > 4 * len(made[0][0]) + 100_000:
+                made = [_merged(made)]
+                size = 0
+    if not made:
+        return
+    ids, loss, own = _merged(made)
+    n = np.maximum(own, 1)
+    t, b = loss[:, 0] / n, loss[:, 1] / n
+    for lo in range(0, len(ids), 10_000):
+        hi = lo + 10_000
+        cols = [ids[lo:hi], own[lo:hi].astype(np.int64), t[lo:hi], b[lo:hi], (t - b)[lo:hi]]
+        yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
@@ -364,7 +391,7 @@ def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    bits = max(5, (reducers(spark) - 1).bit_length())
+    tasks = reducers(spark)
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(target, F.lit(False)).alias("flag"))
     words = stored(source.mapInArrow(_unigrams, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "unigrams")
     *totals, distinct = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0)), F.count("*")).first()
@@ -378,6 +405,6 @@ def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
     hot = np.zeros((len(u.hot) ** 2, 2))
     for r in source.mapInArrow(_hot_pairs(u), "pair long, target long, every long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).collect():
         hot[r.pair] = r.target, r.every
-    sent = source.mapInArrow(_sender(u, hot, bits), _SENT)
-    sums = sent.groupBy("k").applyInArrow(_judge(u, bits), "k int, sums binary")
-    return sums.groupBy("k").applyInArrow(_total, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    sent = source.mapInArrow(_sender(u, hot, tasks), _SENT)
+    sums = sent.repartitionById(tasks, "k").mapInArrow(_judge(u, tasks), "k int, sums binary")
+    return sums.repartitionById(tasks, "k").mapInArrow(_total, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -72,15 +72,44 @@ def test_substrings_match_brute_force(spark):
         assert sum(x.stop - x.start for x in r.removed) == r.n_removed
     assert {r.doc_id: r.kept_text for r in got}[100] is None
     assert substring.dedup_substrings(spark.createDataFrame([], DOC)).count() == 0
+    # the texts alone are cut; columns of any name keep their values
+    odd = spark.createDataFrame([(i, t, "kept", 7, "row", "id") for i, t in rows], DOC + ", n_words string, __lang int, row string, id string").repartition(3)
+    cut = substring.cut_texts(odd)
+    assert cut.schema == odd.schema
+    assert sorted((r.doc_id or -1, r.text or "") for r in cut.collect()) == sorted((r.doc_id or -1, r.kept_text or "") for r in got)
+    assert {tuple(r)[2:] for r in cut.collect()} == {("kept", 7, "row", "id")}
 
 
 def test_substring_packing_of_hashes():
     d = np.array([-5, -5, 3, 2**40], np.int64)
     v = np.array([1, 2**50, 7, 2**56 - 1], np.uint64)
-    a, b = substring._unpack(substring._pack(d, v, 7), 7)
+    a, b = substring.unpack(substring.pack(d, v, 7), 7)
     assert a.tolist() == d.tolist() and b.tolist() == v.tolist()
 
 
+def test_windows_are_told_apart_by_their_checks():
+    name = np.array([7, 7, 3, 7, 7], np.uint64)
+    check = np.array([1, 2, 1, 1, 2], np.uint8)
+    order, start = substring.same_windows(name, check)
+    assert [sorted(x.tolist()) for x in np.split(order, start[1:])] == [[2], [0, 3], [1, 4]]
+
+
+@pytest.mark.parametrize("copies", [40, 400])
+def test_answers_follow_tasks_and_documents_not_mappers_or_copies(spark, copies):
+    """The rows between hash tasks and document tasks, for few and many of each."""
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"own{i}", *base[30:]])) for i in range(copies)] + [(5000 + i, " ".join(f"u{i}x{k}" for k in range(60))) for i in range(50)]
+
+    def answers(mappers, tasks):
+        sent = spark.createDataFrame(rows, DOC).repartition(mappers).mapInArrow(substring._sender(13, tasks), substring._SENT)
+        return sent.repartitionById(tasks, "task").mapInArrow(substring._judge(tasks), substring._SENT).count()
+
+    few, many = answers(2, 4), answers(32, 4)
+    assert few <= 16 and many <= 16
+    pairs = copies * 61
+    assert answers(2, 64) <= min(64 * 64, pairs)
+
+
 def brute_join(rows, n=5, threshold=0.8):
     sets = {}
     for i, t in rows:
