@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept. What a stage decides takes effect: rejected documents go, one document of
 each near-duplicate class stays, repeated windows are cut out of the texts,
 documents that hold benchmark items go, and the rest is packed.
+
+Defined results, for every stage
+  An empty table gives an empty one. Null and empty texts are kept by all stages
+  but the classifier, which scores them like any other text; packed, they are the
+  end token alone. Columns of ``documents`` keep their values whatever their
+  names, but text and n_chars where windows are cut. Rows without an id are
+  neither near-duplicates nor cut. Rows that repeat an id are judged by their own
+  texts; those that repeat the text too stay or go together. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -29,11 +37,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows that a document with a smaller id has too."""
-    cut = substring.dedup_substrings(docs).withColumn("text", F.col("kept_text"))
+    """Texts without the windows that a document with a smaller id has too.
+
+    ``n_chars``, where there is one, follows the text; all other columns stay.
+    """
+    cut = substring.cut_texts(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    return cut
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
