@@ -26,7 +26,7 @@ CTE: dict[str, tuple[str, list[str]]] = {
         CASE user_id % 3 WHEN 0 THEN 'National' WHEN 1 THEN 'Regional' ELSE 'Local' END AS scope,
         CASE user_id % 3 WHEN 0 THEN 'Country' WHEN 1 THEN ['NORTH', 'SOUTH', 'EAST'][(user_id // 3) % 3 + 1]
           ELSE ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'ATLANTIS'][(user_id // 3) % 6 + 1] END AS location
-      FROM events WHERE event_id % 97 = 0))""",
+      FROM events))""",
         [],
     ),
     "reached": ("SELECT s.store_id, e.* FROM event e JOIN stores s ON e.scope = 'National' OR (e.scope = 'Regional' AND e.location = s.department) OR (e.scope = 'Local' AND e.location = s.city)", ["event", "stores"]),

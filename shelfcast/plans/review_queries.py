@@ -243,7 +243,7 @@ def t10_sorted_quantiles(spark, sf_dir):
     return tidy(metrics.sorted_quantiles(derived_submission(p).join(_test(p).select("id", "date"), "id")))
 
 
-LEADS = [1, 7, 28]
+LEADS = list(range(1, HORIZON + 1))
 
 
 @query(
@@ -257,7 +257,7 @@ LEADS = [1, 7, 28]
     )
 )
 def m9_direct_supervised(spark, sf_dir):
-    return baseline.direct_supervised(_history(panel_sources(spark, sf_dir).panel), list(range(1, HORIZON + 1)))
+    return baseline.direct_supervised(_history(panel_sources(spark, sf_dir).panel), LEADS)
 
 
 @query(
