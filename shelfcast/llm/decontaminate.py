@@ -2,34 +2,35 @@
 
 The inverted index covers the benchmark items. Every passage of every document
 is a query: passages are windows of words, twice as long as the longest item and
-half overlapping, so each stretch as long as an item lies in one whole. WAND
-runs in two steps that return exactly the items at or above the threshold:
-
-  1. Block bounds. Items are cut into blocks of neighbours by their threshold;
-     per term and block the index keeps the largest contribution. A passage's
-     bound for a block is the sum over its distinct terms, taken for coarse
-     blocks first and for the finer ones in those that remain.
-     Only (passage, block) pairs whose bound reaches the block's lowest
-     threshold go on.
-  2. Document-at-a-time WAND over the postings of the surviving blocks: lists
-     are kept in item order, the pivot is where the bounds first reach the
-     threshold, and only pivots are scored in full.
-
-An item's threshold is a share of the score it gets as a query for itself. A
-retrieved pair is a leak if the passage holds enough of the item's question and
+half overlapping, so each stretch as long as an item lies in one whole. Items are
+indexed in classes of lengths (doubling), each with passages of its own length,
+so one long item does not stretch the passages of the others.
+
+Block-max WAND returns exactly the items at or above the threshold, which is a
+share of the score an item gets as a query for itself. Postings hold what a term
+adds as a share of the item's threshold, so all items are retrieved from a sum
+of 1 and the bounds of terms and blocks are as tight as can be. A passage whose
+terms' bounds do not sum to 1 has no pivot and is left at once.
+
+A retrieved pair is a leak if the passage holds enough of the item's question and
 of its answer (the last sentence; all of an item of one sentence), by shares of
 their word 5-grams.
 
-The index is sent to the executors only if the items' text and its table of
-block bounds (terms x blocks) are below a bound; a larger benchmark is cut into
-parts by a hash of the id, each of which is indexed and queried in turn, with
-term statistics taken over all items.
+Layout for scale
+  Documents are read once and not shuffled. The index is as large as its postings
+  (16 bytes each, and the words) and goes to the executors whole: a benchmark of
+  20,000 items of 60 words is 1.2 million postings. Only a benchmark of over
+  PART_CHARS of text (about 100,000 items) is cut into parts by a hash of the id,
+  each with a reading of the documents; term statistics are over all items.
 
 Defined results
   Words are runs of letters and digits, lower-cased. Null and empty texts are
   no query; items without words cannot leak. Null ids take no part. Rows that
-  repeat an id are searched each and reported together. An empty benchmark
-  gives no leaks.
+  repeat a document's id are searched each and reported together, those that
+  repeat an item's id are items each and reported under it once. Of passages that
+  hold an item equally well the first is told. Texts of any length are searched
+  whole. Other columns are ignored by ``find_leaks``, whatever their names, and
+  kept by ``without_leaks``. An empty table on either side gives no leaks.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +53,14 @@ from .common import prepare, stored
 K1, B = 1.2, 0.75
 #: Share of its own score from which an item is retrieved; share of 5-grams from which it has leaked.
 RETRIEVE, OVERLAP, N = 0.6, 0.8, 5
-#: Items in a block, blocks in a coarse one.
-BLOCK, FINE = 2, 4
-#: Characters of item text and entries of the table of block bounds in one part of the index (64 MB).
-PART_CHARS, PART_BOUNDS = 8_000_000, 16_000_000
-#: Entries of the bounds of passages that are worked out at a time.
-WORK = 4_000_000
+#: Postings in a block.
+BLOCK = 32
+#: Items of up to 2**SHORTEST words are one class.
+SHORTEST = 4
+#: Characters of item text in one part of the index.
+PART_CHARS = 32_000_000
+#: Sums from here on count as 1; no item comes after the last.
+ENOUGH, END = 1 - 1e-9, 2**31
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -93,160 +97,198 @@ def _sized(words: list[str], n: int) -> set:
 
 @dataclass
 class Index:
+    """Inverted index of items of about one length.
+
+    Postings are stored by term in item order, each with what the term adds to
+    the item's score as a share of the item's threshold, so an item is retrieved
+    from a sum of 1. Terms and blocks of BLOCK postings keep their largest share.
+    """
+
     items: list[int]
-    texts: list[str]
-    terms: dict[str, int] = field(default_factory=dict)
-    #: Per term: items in order, and what the term adds to each one's score.
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    #: [term, block] largest addition; the last row belongs to unknown words.
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
-    #: The same for FINE blocks together.
-    coarse: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
-    coarse_lowest: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
-    threshold: np.ndarray = field(default_factory=lambda: np.empty(0))
-    lowest: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
-    parts: list[tuple[list[str], list[str]]] = field(default_factory=list)
-    passage: int = 0
-
-
-def build(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int], longest: int) -> Index:
+    parts: list[tuple[list[str], list[str]]]
+    #: Item's threshold: what a share is a share of.
+    threshold: list[float]
+    terms: dict[str, int]
+    #: Term t has the postings from start[t] to start[t + 1].
+    start: np.ndarray
+    item: np.ndarray
+    share: np.ndarray
+    #: Largest share of a term; unknown words (the last entry) have none.
+    most: np.ndarray
+    #: Largest shares of the blocks of each term's postings, from block_start[t] on.
+    block_start: np.ndarray
+    block_most: np.ndarray
+    #: Words of a passage.
+    passage: int
+
+
+def build(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int]) -> Index:
     """Index ``items``; the statistics are those of all items of the benchmark."""
-    items = sorted((i, t) for i, t in items if words_of(t))
-    idf = {w: float(np.log1p((n_items - document_count[w] + 0.5) / (document_count[w] + 0.5))) for _, t in items for w in words_of(t)}
-
-    def additions(bag: Counter) -> dict[str, float]:
-        norm = K1 * (1 - B + B * sum(bag.values()) / mean_length)
-        return {w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in bag.items()}
-
-    # neighbours have similar thresholds, so a block's lowest is close to all of them
-    items.sort(key=lambda x: sum(additions(Counter(words_of(x[1]))).values()))
-    ix = Index([i for i, _ in items], [t for _, t in items], passage=2 * longest)
-    bags = [Counter(words_of(t)) for t in ix.texts]
-    ix.parts = [question_and_answer(t) for t in ix.texts]
-    for bag in bags:
-        for w in bag:
-            ix.terms.setdefault(w, len(ix.terms))
-    lists: list[list[tuple[int, float]]] = [[] for _ in ix.terms]
-    own = np.zeros(len(bags))
-    blocks = -(-len(bags) // BLOCK)
-    ix.bounds = np.zeros((len(ix.terms) + 1, blocks), np.float32)
+    items = sorted(items)
+    bags = [Counter(words_of(t)) for _, t in items]
+    lists: dict[str, list[tuple[int, float]]] = {}
+    threshold = []
     for k, bag in enumerate(bags):
-        for w, add in additions(bag).items():
-            own[k] += add
-            lists[ix.terms[w]].append((k, add))
-            ix.bounds[ix.terms[w], k // BLOCK] = max(ix.bounds[ix.terms[w], k // BLOCK], add)
-    ix.postings = [(np.array([k for k, _ in x]), np.array([a for _, a in x])) for x in lists]
-    ix.threshold = RETRIEVE * own
-    # a little below, so float32 sums lose nothing
-    ix.lowest = np.array([ix.threshold[b * BLOCK : (b + 1) * BLOCK].min() * (1 - 1e-3) for b in range(blocks)], np.float32)
-    groups = range(0, blocks, FINE)
-    ix.coarse = np.stack([ix.bounds[:, g : g + FINE].max(axis=1) for g in groups], axis=1) if blocks else ix.bounds
-    ix.coarse_lowest = np.array([ix.lowest[g : g + FINE].min() for g in groups], np.float32)
-    return ix
-
-
-def wand(ix: Index, terms: list[int], lo: int, hi: int) -> list[tuple[int, float]]:
-    """Items k in [lo, hi) whose BM25 score for the distinct ``terms`` reaches their threshold."""
-    bound = float(ix.threshold[lo:hi].min())
-    lists = []
-    for t in terms:
-        ks, adds = ix.postings[t]
-        a, b = np.searchsorted(ks, (lo, hi))
-        if b > a:
-            lists.append([ks[a:b].tolist(), adds[a:b].tolist(), 0, float(adds[a:b].max())])
+        norm = K1 * (1 - B + B * sum(bag.values()) / mean_length)
+        adds = {w: np.log1p((n_items - document_count[w] + 0.5) / (document_count[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in bag.items()}
+        threshold.append(RETRIEVE * float(sum(adds.values())))
+        for w, add in adds.items():
+            lists.setdefault(w, []).append((k, float(add) / threshold[-1]))
+    size = np.array([len(x) for x in lists.values()], np.int64)
+    start = np.r_[0, np.cumsum(size)]
+    item = np.array([k for x in lists.values() for k, _ in x], np.int32)
+    share = np.array([s for x in lists.values() for _, s in x])
+    edges = [at for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True) for at in range(lo, hi, BLOCK)]
+    return Index(
+        items=[i for i, _ in items],
+        parts=[question_and_answer(t) for _, t in items],
+        threshold=threshold,
+        terms={w: t for t, w in enumerate(lists)},
+        start=start,
+        item=item,
+        share=share,
+        most=np.r_[np.maximum.reduceat(share, start[:-1]), 0.0],
+        block_start=np.r_[0, np.cumsum(-(-size // BLOCK))],
+        block_most=np.maximum.reduceat(share, edges),
+        passage=2 * max(sum(b.values()) for b in bags),
+    )
+
+
+class _List:
+    """One term's postings in a search: a place in them, and the bounds."""
+
+    __slots__ = ("items", "shares", "at", "now", "most", "blocks")
+
+    def __init__(self, ix: Index, term: int):
+        lo, hi = ix.start[term], ix.start[term + 1]
+        self.items, self.shares = ix.item[lo:hi].tolist(), ix.share[lo:hi].tolist()
+        self.blocks = ix.block_most[ix.block_start[term] : ix.block_start[term + 1]].tolist()
+        self.at, self.now, self.most = 0, self.items[0], float(ix.most[term])
+
+    def go(self, item: int) -> None:
+        """To the first posting at ``item`` or after."""
+        self.at = bisect_left(self.items, item, self.at)
+        self.now = self.items[self.at] if self.at < len(self.items) else END
+
+    def block_at(self, item: int) -> tuple[float, int]:
+        """Bound of the block that holds ``item``'s place, and where the block ends."""
+        at = bisect_left(self.items, item, self.at)
+        if at >= len(self.items):
+            return 0.0, END
+        b = at // BLOCK
+        last = (b + 1) * BLOCK - 1
+        return self.blocks[b], (self.items[last] if last < len(self.items) else END - 1)
+
+
+def wand(ix: Index, terms: list[int]) -> list[tuple[int, float]]:
+    """Items whose BM25 score for the distinct ``terms`` reaches their threshold.
+
+    Block-max WAND over whole lists: lists stand in the order of their current
+    items; the pivot is where the terms' bounds first sum to 1. If the bounds of
+    the blocks at the pivot do not, everything up to the nearest block end is
+    passed over; else the lists meet at the pivot, which is scored in full.
+    """
+    lists = [_List(ix, t) for t in terms]
+    lists.sort(key=_now)
     out = []
     while lists:
-        lists.sort(key=lambda x: x[0][x[2]])
-        total, pivot = 0.0, None
-        for x in lists:
-            total += x[3]
-            if total >= bound - 1e-9:
-                pivot = x[0][x[2]]
+        total, pivot = 0.0, -1
+        for p, x in enumerate(lists):
+            total += x.most
+            if total >= ENOUGH:
+                pivot = x.now
                 break
-        if pivot is None:
+        if pivot < 0:
             break
-        if lists[0][0][lists[0][2]] == pivot:
+        while p + 1 < len(lists) and lists[p + 1].now == pivot:
+            p += 1
+        bound, upto = 0.0, END
+        for x in lists[: p + 1]:
+            most, end = x.block_at(pivot)
+            bound += most
+            upto = min(upto, end)
+        if bound < ENOUGH:
+            # no item up to the nearest block end, or to the next list, can do
+            aim = min(upto + 1, lists[p + 1].now if p + 1 < len(lists) else END)
+            for x in lists[: p + 1]:
+                x.go(aim)
+        elif lists[0].now == pivot:
             score = 0.0
-            for x in lists:
-                if x[0][x[2]] == pivot:
-                    score += x[1][x[2]]
-                    x[2] += 1
-            if score >= ix.threshold[pivot] - 1e-9:
+            for x in lists[: p + 1]:
+                score += x.shares[x.at]
+                x.go(pivot + 1)
+            if score >= ENOUGH:
                 out.append((pivot, score))
         else:
-            for x in lists:
-                if x[0][x[2]] < pivot:
-                    x[2] = bisect_left(x[0], pivot, x[2])
-        lists = [x for x in lists if x[2] < len(x[0])]
+            for x in lists[: p + 1]:
+                if x.now < pivot:
+                    x.go(pivot)
+        lists = [x for x in lists if x.now < END]
+        lists.sort(key=_now)
     return out
 
 
-def _near_blocks(ix: Index, terms: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(passage, coarse block) pairs whose bound reaches the block's lowest threshold."""
-    many = max(1, min(256, WORK // max(1, ix.passage * ix.coarse.shape[1])))
-    for s in range(0, len(edge) - 1, many):
-        e = min(s + many, len(edge) - 1)
-        bound = np.add.reduceat(ix.coarse[terms[edge[s] : edge[e]]], edge[s:e] - edge[s], axis=0)
-        for at, c in zip(*np.nonzero(bound >= ix.coarse_lowest), strict=True):
-            yield s + at, c
+def _now(x: _List) -> int:
+    return x.now
 
 
-def leaks_in(ix: Index, text: str | None) -> list[tuple[int, float, float, float, int, int]]:
-    """(item, best score, question overlap, answer overlap, first word, end word) of a text."""
-    if not text or not ix.items:
-        return []
-    words = words_of(text)
+def _search(ix: Index, words: list[str], best: dict[int, tuple]) -> None:
+    """Leaks of ``ix``'s items among ``words``, the best passage of each into ``best``."""
     n, size = len(words), ix.passage
-    if not n:
-        return []
     unknown = len(ix.terms)
-    get = ix.terms.get
-    ids = np.fromiter((get(w, unknown) for w in words), np.int64, n)
-    known = np.flatnonzero(ids != unknown)
-    if not len(known):
-        return []
+    ids = np.fromiter(map(ix.terms.get, words, repeat(unknown)), np.int64, n)
     step = size // 2
     starts = np.arange(0, max(1, n - step), step)
-    # each passage's distinct terms: word j lies in the passages j // step and before
-    last = known // step
-    keys = np.unique(np.concatenate([np.minimum(last, len(starts) - 1), np.maximum(last - 1, 0)]) * (unknown + 1) + np.tile(ids[known], 2))
-    at, terms = keys // (unknown + 1), keys % (unknown + 1)
-    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-    best: dict[int, tuple] = {}
-    for e, c in _near_blocks(ix, terms, edge):
-        mine = terms[edge[e] : edge[e + 1]]
-        a = int(starts[at[edge[e]]])
+    # a passage whose words' bounds do not sum to 1 holds nothing, repeats counted or not
+    reach = np.r_[0.0, np.cumsum(ix.most[ids])]
+    for a in starts[reach[np.minimum(starts + size, n)] - reach[starts] >= ENOUGH].tolist():
         z = min(n, a + size)
-        b = slice(c * FINE, (c + 1) * FINE)
-        near = np.flatnonzero(ix.bounds[mine, b].sum(axis=0) >= ix.lowest[b]) + c * FINE
-        for k, score in (x for f in near.tolist() for x in wand(ix, mine.tolist(), f * BLOCK, min((f + 1) * BLOCK, len(ix.items)))):
+        mine = np.unique(ids[a:z])
+        if mine[-1] == unknown:
+            mine = mine[:-1]
+        if ix.most[mine].sum() < ENOUGH:
+            continue
+        for k, share in wand(ix, mine.tolist()):
             there = words[a:z]
             question, answer = ix.parts[k]
-            q, r = overlap(question, there), overlap(answer, there)
-            if q >= OVERLAP and r >= OVERLAP and (k not in best or (q + r, score) > (best[k][2] + best[k][3], best[k][1])):
-                best[k] = (ix.items[k], score, q, r, a, z)
-    return [best[k] for k in sorted(best)]
+            q = overlap(question, there)
+            r = overlap(answer, there) if q >= OVERLAP else 0.0
+            score = share * ix.threshold[k]
+            i = ix.items[k]
+            if q >= OVERLAP and r >= OVERLAP and (i not in best or (q + r, score) > (best[i][2] + best[i][3], best[i][1])):
+                best[i] = (i, score, q, r, a, z)
+
+
+def leaks_in(indexes: list[Index], text: str | None) -> list[tuple[int, float, float, float, int, int]]:
+    """(item, best score, question overlap, answer overlap, first word, end word) of a text."""
+    words = words_of(text)
+    best: dict[int, tuple] = {}
+    if words:
+        for ix in indexes:
+            _search(ix, words, best)
+    return [best[i] for i in sorted(best)]
 
 
-def _built(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int], longest: int) -> Iterator[Index]:
-    """Indexes of ``items``, so many at a time that the table of bounds keeps to its size."""
-    many = BLOCK * max(1, PART_BOUNDS // (len(document_count) + 1))
-    for s in range(0, len(items), many):
-        yield build(items[s : s + many], n_items, mean_length, document_count, longest)
+def _built(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int]) -> list[Index]:
+    """An index for each class of item lengths, so passages fit their items."""
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for i, t in items:
+        if n := len(words_of(t)):
+            classes.setdefault(max(SHORTEST, (n - 1).bit_length()), []).append((i, t))
+    return [build(some, n_items, mean_length, document_count) for _, some in sorted(classes.items())]
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Index parts of the benchmark, each of bounded size, one after another."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The benchmark's indexes; one list for each PART_CHARS of item text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     parts = -(-size // PART_CHARS)
     if parts <= 1:
         got = [(r.item_id, r.text) for r in items.collect()]
-        bags = [words_of(t) for _, t in got]
-        bags = [b for b in bags if b]
+        bags = [b for _, t in got if (b := words_of(t))]
         counts = Counter(w for b in bags for w in set(b))
         if bags:
-            yield from _built(got, len(bags), sum(map(len, bags)) / len(bags), counts, max(map(len, bags)))
+            yield _built(got, len(bags), sum(map(len, bags)) / len(bags), counts)
         return
 
     def split(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +297,21 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
             yield pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.list_(pa.string()))], ["item_id", "words"])
 
     prepare(benchmark.sparkSession)
+    items = stored(items, "items")
     bags = items.mapInArrow(split, "item_id long, words array<string>").filter(F.size("words") > 0)
-    n, mean, longest = bags.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    n, mean = bags.agg(F.count("*"), F.avg(F.size("words"))).first()
     counts = stored(bags.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "terms")
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     for k in range(parts):
         got = [(r.item_id, r.text) for r in items.filter(part == k).toLocalIterator()]
         there = bags.filter(part == k).select(F.explode("words").alias("w")).distinct()
-        yield from _built(got, n, mean, {r.w: r.n for r in counts.join(there, "w").toLocalIterator()}, longest)
+        yield _built(got, n, mean, {r.w: r.n for r in counts.join(there, "w").toLocalIterator()})
 
 
 _LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long, end_word long"
 
 
-def _searcher(ix: Index):
+def _searcher(ix: list[Index]):
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in _LEAKS.split(", ")]
 
@@ -305,7 +348,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
 
-    def dropper(ix: Index):
+    def dropper(ix: list[Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not leaks_in(ix, t) for t in batch.column("text").to_pylist()], pa.bool_()))

@@ -292,26 +292,63 @@ def bench_items(n=60):
     return [(i, " ".join(r.choice(words) for _ in range(r.randint(12, 25))) + ". " + " ".join(r.choice(words) for _ in range(8)) + ".") for i in range(n)]
 
 
-def test_wand_returns_what_full_scoring_returns():
-    items = bench_items()
+def full_scores(ix, terms):
+    full = np.zeros(len(ix.items))
+    for t in terms:
+        np.add.at(full, ix.item[ix.start[t] : ix.start[t + 1]], ix.share[ix.start[t] : ix.start[t + 1]])
+    return full
+
+
+@pytest.mark.parametrize("block", [2, 32])
+def test_wand_returns_what_full_scoring_returns(monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    items = bench_items(300)
     bags = [decontaminate.words_of(t) for _, t in items]
     counts = Counter(w for b in bags for w in set(b))
-    ix = decontaminate.build(items, len(bags), sum(map(len, bags)) / len(bags), counts, max(map(len, bags)))
+    ix = decontaminate.build(items, len(bags), sum(map(len, bags)) / len(bags), counts)
     r = random.Random(10)
     found = 0
-    for k in range(150):
-        words = set(r.sample(bags[k % 60], 10) + r.sample(bags[(k * 7) % 60], len(bags[(k * 7) % 60]) - r.randint(0, 9)))
+    for k in range(300):
+        words = set(r.sample(bags[k], 10) + r.sample(bags[(k * 7) % 300], len(bags[(k * 7) % 300]) - r.randint(0, 9)))
         terms = sorted(ix.terms[w] for w in words)
-        full = np.zeros(len(ix.items))
-        for t in terms:
-            np.add.at(full, ix.postings[t][0], ix.postings[t][1])
-        want = {k for k in range(len(full)) if full[k] >= ix.threshold[k] - 1e-9}
-        got = dict(decontaminate.wand(ix, terms, 0, len(ix.items)))
-        assert set(got) == want and all(abs(full[k] - s) < 1e-9 for k, s in got.items())
-        found += len(want)
-        sums = ix.bounds[terms].sum(axis=0)
-        assert all(sums[k // decontaminate.BLOCK] >= ix.lowest[k // decontaminate.BLOCK] for k in want)
-    assert found > 30
+        full = full_scores(ix, terms)
+        got = dict(decontaminate.wand(ix, terms))
+        assert set(got) == set(np.flatnonzero(full >= decontaminate.ENOUGH).tolist())
+        assert all(abs(full[k] - s) < 1e-9 for k, s in got.items())
+        found += len(got)
+    assert found > 100
+    # a share of 1 is the threshold on the plain BM25 score
+    k, bag = 5, Counter(bags[5])
+    norm = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(bags[5]) / (sum(map(len, bags)) / len(bags)))
+    own = sum(np.log1p((300 - counts[w] + 0.5) / (counts[w] + 0.5)) * tf * (decontaminate.K1 + 1) / (tf + norm) for w, tf in bag.items())
+    assert ix.threshold[k] == pytest.approx(decontaminate.RETRIEVE * own)
+
+
+def brute_leaks(docs, items):
+    """(doc, item) pairs: every passage against every item, in full."""
+    items = [(i, t) for i, t in items if i is not None and decontaminate.words_of(t)]
+    bags = [decontaminate.words_of(t) for _, t in items]
+    df, mean = Counter(w for b in bags for w in set(b)), sum(map(len, bags)) / len(bags)
+    out = set()
+    size = {}
+    for b in bags:
+        c = max(4, (len(b) - 1).bit_length())
+        size[c] = max(size.get(c, 0), 2 * len(b))
+    for d, t in docs:
+        words = decontaminate.words_of(t)
+        if d is None or not words:
+            continue
+        for (i, text), bag in zip(items, bags, strict=True):
+            norm = 1.2 * (0.25 + 0.75 * len(bag) / mean)
+            add = {w: np.log1p((len(items) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + norm) for w, tf in Counter(bag).items()}
+            n = size[max(4, (len(bag) - 1).bit_length())]
+            for a in range(0, max(1, len(words) - n // 2), n // 2):
+                there = words[a : a + n]
+                if sum(add[w] for w in set(there) if w in add) >= 0.6 * sum(add.values()) - 1e-9:
+                    parts = decontaminate.question_and_answer(text)
+                    if all(decontaminate.overlap(p, there) >= 0.8 for p in parts):
+                        out.add((d, i))
+    return out
 
 
 def test_leaks_are_found_and_clean_documents_left(spark, monkeypatch):
@@ -328,14 +365,31 @@ def test_leaks_are_found_and_clean_documents_left(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
     kept = decontaminate.without_leaks(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} - {None}
+    # parts of words changed, of each document in turn
+    r = random.Random(3)
+    noisy = [(300 + k, " ".join(w if r.random() > k / 100 else "zz" for w in t.split())) for k, (_, t) in enumerate(items)]
+    noisy += [(400 + k, t.split(". ")[0] + " qq " * 3 + t.split(". ")[1]) for k, t in items[:9]]
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs + noisy, DOC), bench).collect()} == brute_leaks(docs + noisy, items)
     with monkeypatch.context() as m:
         m.setattr(decontaminate, "PART_CHARS", 2000)
+        assert len(list(decontaminate.indexes(bench))) > 1
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == want
-    # a table of bounds over its limit is cut into parts too; long texts go in small steps
-    monkeypatch.setattr(decontaminate, "PART_BOUNDS", 5000)
-    monkeypatch.setattr(decontaminate, "WORK", 500)
-    built = list(decontaminate.indexes(bench))
-    assert len(built) > 1 and all(ix.bounds.size <= 5000 for ix in built)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == want
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
+    # an item of many words has passages of its own; those of the others stay short
+    lengths = [ix.passage for ix in next(decontaminate.indexes(spark.createDataFrame([*items, (500, LONG[:60_000])], ITEM)))]
+    assert len(lengths) > 1 and min(lengths) < 100 < 5000 < max(lengths)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame([(1, LONG)], DOC), spark.createDataFrame([(500, LONG[:60_000])], ITEM)).collect()} == {(1, 500)}
+
+
+def test_a_benchmark_of_20000_items_is_one_pass(spark):
+    r = random.Random(6)
+    words = [f"k{i}" for i in range(30_000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(50)) + ". " + " ".join(r.choice(words) for _ in range(8))) for i in range(20_000)]
+    bench = spark.createDataFrame(items, ITEM)
+    (built,) = decontaminate.indexes(bench)
+    assert sum(len(ix.items) for ix in built) == 20_000 and sum(len(ix.item) for ix in built) < 20_000 * 58
+    docs = [(k, " ".join(r.choice(words) for _ in range(150)) + " " + items[k * 400][1] + " " + " ".join(r.choice(words) for _ in range(150))) for k in range(40)]
+    docs += [(100 + k, " ".join(r.choice(words) for _ in range(500))) for k in range(20)]
+    got = {(x[0], y[0]) for x in docs for y in decontaminate.leaks_in(built, x[1])}
+    assert got == {(k, k * 400) for k in range(40)}
