@@ -9,8 +9,9 @@ so one long item does not stretch the passages of the others.
 Block-max WAND returns exactly the items at or above the threshold, which is a
 share of the score an item gets as a query for itself. Postings hold what a term
 adds as a share of the item's threshold, so all items are retrieved from a sum
-of 1 and the bounds of terms and blocks are as tight as can be. A passage whose
-terms' bounds do not sum to 1 has no pivot and is left at once.
+of 1 and the bounds of terms and blocks are as tight as can be. The first pivot
+test is made for all passages of a document together; most have no pivot, the
+others go through their lists one by one.
 
 A retrieved pair is a leak if the passage holds enough of the item's question and
 of its answer (the last sentence; all of an item of one sentence), by shares of
@@ -39,8 +40,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,8 @@ BLOCK = 32
 SHORTEST = 4
 #: Characters of item text in one part of the index.
 PART_CHARS = 32_000_000
+#: Passages whose pivots are looked for at a time.
+TOGETHER = 1024
 #: Sums from here on count as 1; no item comes after the last.
 ENOUGH, END = 1 - 1e-9, 2**31
 _WORD = re.compile(r"[^\W_]+")
@@ -108,6 +112,7 @@ class Index:
     parts: list[tuple[list[str], list[str]]]
     #: Item's threshold: what a share is a share of.
     threshold: list[float]
+    #: Words of the items of all classes.
     terms: dict[str, int]
     #: Term t has the postings from start[t] to start[t + 1].
     start: np.ndarray
@@ -120,64 +125,79 @@ class Index:
     block_most: np.ndarray
     #: Words of a passage.
     passage: int
-
-
-def build(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int]) -> Index:
+    #: Lists that searches have met, as Python lists; no more than the postings.
+    seen: dict[int, tuple] = field(default_factory=dict)
+
+    def lists(self, terms: list[int]) -> list[list]:
+        """Each term's current item, place, bound, items, shares and block bounds."""
+        out = []
+        for t in terms:
+            x = self.seen.get(t)
+            if x is None:
+                at = slice(int(self.start[t]), int(self.start[t + 1]))
+                x = self.item[at].tolist(), self.share[at].tolist(), self.block_most[self.block_start[t] : self.block_start[t + 1]].tolist(), float(self.most[t])
+                self.seen[t] = x
+            items, shares, blocks, most = x
+            out.append([items[0], 0, most, items, shares, blocks])
+        return out
+
+
+def build(items: list[tuple[int, str]], n_items: int, mean_length: float, document_count: dict[str, int], terms: dict[str, int] | None = None) -> Index:
     """Index ``items``; the statistics are those of all items of the benchmark."""
     items = sorted(items)
     bags = [Counter(words_of(t)) for _, t in items]
-    lists: dict[str, list[tuple[int, float]]] = {}
+    if terms is None:
+        terms = {w: t for t, w in enumerate(dict.fromkeys(w for b in bags for w in b))}
+    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
     threshold = []
     for k, bag in enumerate(bags):
         norm = K1 * (1 - B + B * sum(bag.values()) / mean_length)
         adds = {w: np.log1p((n_items - document_count[w] + 0.5) / (document_count[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in bag.items()}
         threshold.append(RETRIEVE * float(sum(adds.values())))
         for w, add in adds.items():
-            lists.setdefault(w, []).append((k, float(add) / threshold[-1]))
-    size = np.array([len(x) for x in lists.values()], np.int64)
-    start = np.r_[0, np.cumsum(size)]
-    item = np.array([k for x in lists.values() for k, _ in x], np.int32)
-    share = np.array([s for x in lists.values() for _, s in x])
-    edges = [at for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True) for at in range(lo, hi, BLOCK)]
+            lists[terms[w]].append((k, float(add) / threshold[-1]))
+    size = np.array([len(x) for x in lists], np.int64)
+    blocks = -(-size // BLOCK)
+    block_start = np.r_[0, np.cumsum(blocks)]
+    share = np.array([s for x in lists for _, s in x])
+    block = np.concatenate([block_start[t] + np.arange(len(x)) // BLOCK for t, x in enumerate(lists)])
+    most, block_most = np.zeros(len(terms) + 1), np.zeros(block_start[-1])
+    np.maximum.at(block_most, block, share)
+    np.maximum.at(most, np.repeat(np.arange(len(terms)), size), share)
     return Index(
         items=[i for i, _ in items],
         parts=[question_and_answer(t) for _, t in items],
         threshold=threshold,
-        terms={w: t for t, w in enumerate(lists)},
-        start=start,
-        item=item,
+        terms=terms,
+        start=np.r_[0, np.cumsum(size)],
+        item=np.array([k for x in lists for k, _ in x], np.int64),
         share=share,
-        most=np.r_[np.maximum.reduceat(share, start[:-1]), 0.0],
-        block_start=np.r_[0, np.cumsum(-(-size // BLOCK))],
-        block_most=np.maximum.reduceat(share, edges),
+        most=most,
+        block_start=block_start,
+        block_most=block_most,
         passage=2 * max(sum(b.values()) for b in bags),
     )
 
 
-class _List:
-    """One term's postings in a search: a place in them, and the bounds."""
+NOW, AT, MOST, ITEMS, SHARES, BLOCKS = range(6)
+_by_item = itemgetter(NOW)
 
-    __slots__ = ("items", "shares", "at", "now", "most", "blocks")
 
-    def __init__(self, ix: Index, term: int):
-        lo, hi = ix.start[term], ix.start[term + 1]
-        self.items, self.shares = ix.item[lo:hi].tolist(), ix.share[lo:hi].tolist()
-        self.blocks = ix.block_most[ix.block_start[term] : ix.block_start[term + 1]].tolist()
-        self.at, self.now, self.most = 0, self.items[0], float(ix.most[term])
+def _go(x: list, item: int) -> None:
+    """To the first posting at ``item`` or after."""
+    items = x[ITEMS]
+    x[AT] = at = bisect_left(items, item, x[AT])
+    x[NOW] = items[at] if at < len(items) else END
 
-    def go(self, item: int) -> None:
-        """To the first posting at ``item`` or after."""
-        self.at = bisect_left(self.items, item, self.at)
-        self.now = self.items[self.at] if self.at < len(self.items) else END
 
-    def block_at(self, item: int) -> tuple[float, int]:
-        """Bound of the block that holds ``item``'s place, and where the block ends."""
-        at = bisect_left(self.items, item, self.at)
-        if at >= len(self.items):
-            return 0.0, END
-        b = at // BLOCK
-        last = (b + 1) * BLOCK - 1
-        return self.blocks[b], (self.items[last] if last < len(self.items) else END - 1)
+def _block_at(x: list, item: int) -> tuple[float, int]:
+    """Bound of the block that holds ``item``'s place in a list, and where the block ends."""
+    items = x[ITEMS]
+    at = bisect_left(items, item, x[AT])
+    if at >= len(items):
+        return 0.0, END
+    last = (at // BLOCK + 1) * BLOCK - 1
+    return x[BLOCKS][at // BLOCK], (items[last] if last < len(items) else END - 1)
 
 
 def wand(ix: Index, terms: list[int]) -> list[tuple[int, float]]:
@@ -188,67 +208,90 @@ def wand(ix: Index, terms: list[int]) -> list[tuple[int, float]]:
     the blocks at the pivot do not, everything up to the nearest block end is
     passed over; else the lists meet at the pivot, which is scored in full.
     """
-    lists = [_List(ix, t) for t in terms]
-    lists.sort(key=_now)
+    lists = ix.lists(terms)
+    left = sum(x[MOST] for x in lists)
+    lists.sort(key=_by_item)
     out = []
-    while lists:
-        total, pivot = 0.0, -1
-        for p, x in enumerate(lists):
-            total += x.most
-            if total >= ENOUGH:
-                pivot = x.now
-                break
-        if pivot < 0:
-            break
-        while p + 1 < len(lists) and lists[p + 1].now == pivot:
+    while left >= ENOUGH - 1e-6:
+        total, p = 0.0, -1
+        while total < ENOUGH:
+            p += 1
+            if p == len(lists):
+                return out
+            total += lists[p][MOST]
+        pivot = lists[p][NOW]
+        while p + 1 < len(lists) and lists[p + 1][NOW] == pivot:
             p += 1
         bound, upto = 0.0, END
         for x in lists[: p + 1]:
-            most, end = x.block_at(pivot)
+            most, end = _block_at(x, pivot)
             bound += most
             upto = min(upto, end)
         if bound < ENOUGH:
             # no item up to the nearest block end, or to the next list, can do
-            aim = min(upto + 1, lists[p + 1].now if p + 1 < len(lists) else END)
-            for x in lists[: p + 1]:
-                x.go(aim)
-        elif lists[0].now == pivot:
+            aim = min(upto + 1, lists[p + 1][NOW] if p + 1 < len(lists) else END)
+        elif lists[0][NOW] == pivot:
             score = 0.0
             for x in lists[: p + 1]:
-                score += x.shares[x.at]
-                x.go(pivot + 1)
+                score += x[SHARES][x[AT]]
             if score >= ENOUGH:
                 out.append((pivot, score))
+            aim = pivot + 1
         else:
-            for x in lists[: p + 1]:
-                if x.now < pivot:
-                    x.go(pivot)
-        lists = [x for x in lists if x.now < END]
-        lists.sort(key=_now)
+            aim = pivot
+        for x in lists[: p + 1]:
+            if x[NOW] < aim:
+                _go(x, aim)
+                if x[NOW] == END:
+                    left -= x[MOST]
+        lists = [x for x in lists if x[NOW] < END]
+        lists.sort(key=_by_item)
     return out
 
 
-def _now(x: _List) -> int:
-    return x.now
-
+def _with_pivots(ix: Index, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """(first word, distinct terms) of the passages in which a pivot can be.
 
-def _search(ix: Index, words: list[str], best: dict[int, tuple]) -> None:
+    The pivot test for many passages at once: lists of one block are summed up at
+    their items, longer ones count with their bounds. What is left out has no item
+    that reaches its threshold.
+    """
+    n, size, unknown = len(ids), ix.passage, len(ix.terms)
+    # bounds of all words, repeats counted, then of the distinct ones
+    reach = np.zeros(n + 1)
+    np.cumsum(ix.most[ids], out=reach[1:])
+    starts = starts[reach[np.minimum(starts + size, n)] - reach[starts] >= ENOUGH]
+    if not len(starts):
+        return
+    padded = np.full(n + size, unknown)
+    padded[:n] = ids
+    length = np.diff(ix.start)
+    for lo in range(0, len(starts), TOGETHER):
+        some = starts[lo : lo + TOGETHER]
+        keys = np.unique(np.arange(len(some))[:, None] * (unknown + 1) + padded[some[:, None] + np.arange(size)])
+        at, terms = np.divmod(keys, unknown + 1)
+        known = ix.most[terms] > 0
+        at, terms = at[known], terms[known]
+        long = length[terms] > BLOCK
+        bound = np.bincount(at[long], ix.most[terms[long]], len(some))
+        a, t = at[~long], terms[~long]
+        many = length[t]
+        where = np.repeat(ix.start[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        pairs, of = np.unique(np.repeat(a, many) * len(ix.items) + ix.item[where], return_inverse=True)
+        best = np.zeros(len(some))
+        np.maximum.at(best, pairs // len(ix.items), np.bincount(of, ix.share[where], len(pairs)))
+        edge = np.searchsorted(at, np.arange(len(some) + 1))
+        for k in np.flatnonzero(bound + best >= ENOUGH).tolist():
+            yield int(some[k]), terms[edge[k] : edge[k + 1]].tolist()
+
+
+def _search(ix: Index, words: list[str], ids: np.ndarray, best: dict[int, tuple]) -> None:
     """Leaks of ``ix``'s items among ``words``, the best passage of each into ``best``."""
     n, size = len(words), ix.passage
-    unknown = len(ix.terms)
-    ids = np.fromiter(map(ix.terms.get, words, repeat(unknown)), np.int64, n)
     step = size // 2
-    starts = np.arange(0, max(1, n - step), step)
-    # a passage whose words' bounds do not sum to 1 holds nothing, repeats counted or not
-    reach = np.r_[0.0, np.cumsum(ix.most[ids])]
-    for a in starts[reach[np.minimum(starts + size, n)] - reach[starts] >= ENOUGH].tolist():
+    for a, mine in _with_pivots(ix, ids, np.arange(0, max(1, n - step), step)):
         z = min(n, a + size)
-        mine = np.unique(ids[a:z])
-        if mine[-1] == unknown:
-            mine = mine[:-1]
-        if ix.most[mine].sum() < ENOUGH:
-            continue
-        for k, share in wand(ix, mine.tolist()):
+        for k, share in wand(ix, mine):
             there = words[a:z]
             question, answer = ix.parts[k]
             q = overlap(question, there)
@@ -263,9 +306,11 @@ def leaks_in(indexes: list[Index], text: str | None) -> list[tuple[int, float, f
     """(item, best score, question overlap, answer overlap, first word, end word) of a text."""
     words = words_of(text)
     best: dict[int, tuple] = {}
-    if words:
+    if words and indexes:
+        terms = indexes[0].terms
+        ids = np.fromiter(map(terms.get, words, repeat(len(terms))), np.int64, len(words))
         for ix in indexes:
-            _search(ix, words, best)
+            _search(ix, words, ids, best)
     return [best[i] for i in sorted(best)]
 
 
@@ -275,7 +320,8 @@ def _built(items: list[tuple[int, str]], n_items: int, mean_length: float, docum
     for i, t in items:
         if n := len(words_of(t)):
             classes.setdefault(max(SHORTEST, (n - 1).bit_length()), []).append((i, t))
-    return [build(some, n_items, mean_length, document_count) for _, some in sorted(classes.items())]
+    terms = {w: t for t, w in enumerate(dict.fromkeys(w for some in classes.values() for _, text in some for w in words_of(text)))}
+    return [build(some, n_items, mean_length, document_count, terms) for _, some in sorted(classes.items())]
 
 
 def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
