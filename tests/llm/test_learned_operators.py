@@ -103,6 +103,47 @@ def test_marginals_are_exact():
         assert np.allclose((each / total)[at], c.marginals_at(at.tolist(), e[at], n))
 
 
+def test_gradients_cover_all_tokens_exactly():
+    """Against all labellings of short documents, and finite differences."""
+    rng = np.random.default_rng(2)
+    column = {"=aaaa": 0, "=bbbb": 1, "aaaa*": 2}
+    docs = [(1, 4, [0, 1, 3], ["aaaa", "bbbb", "aaaa"]), (0, 5, [2, 4], ["bbbb", "bbbb"]), (1, 6, [5], ["aaaa"]), (0, 3, [], []), (1, 1, [0], ["bbbb"]), (0, 0, [], []), (1, 7, [2, 3], ["bbbb", "aaaa"])]
+
+    def value(theta):
+        w, (before, behind), trans, bias, start = theta[:3], theta[3:5], theta[5:9].reshape(2, 2), theta[9], theta[10]
+        total = 0.0
+        for label, n, places, words in docs:
+            if not n:
+                continue
+            e = np.zeros(n)
+            for t, x in zip(places, words, strict=True):
+                e[t] = sum(w[column[f]] for f in toxicity.features(x) if f in column) + before * (t - 1 in places) + behind * (t + 1 in places)
+
+            def path(y, e=e, n=n):
+                return start * y[0] + sum((bias + e[t]) * y[t] for t in range(n)) + sum(trans[y[t], y[t + 1]] for t in range(n - 1))
+
+            want = [int(label and t in places) for t in range(n)]
+            total += path(want) - math.log(sum(math.exp(path(y)) for y in itertools.product((0, 1), repeat=n)))
+        return total
+
+    theta = rng.normal(size=11) * 0.7
+    for split in ([docs], [[x] for x in docs], [docs[:3], docs[3:]]):
+        g = toxicity.Gradient(theta, column)
+        for some in split:
+            g.add(some)
+        assert g.value == pytest.approx(value(theta)) and g.tokens == 26
+        for k in range(11):
+            step = np.zeros(11)
+            step[k] = 1e-5
+            assert g.sums[k] == pytest.approx((value(theta + step) - value(theta - step)) / 2e-5, abs=1e-5)
+
+
+def test_climbing_finds_the_top():
+    a = np.diag([1.0, 10.0, 100.0])
+    got = toxicity.climb(lambda x: (-(x - 1) @ a @ (x - 1), -2 * a @ (x - 1)), np.zeros(3), rounds=60)
+    assert np.allclose(got, 1, atol=1e-3)
+
+
 def test_components(spark):
     r = random.Random(1)
     for n, m in ((60, 40), (200, 30)):
