@@ -2,10 +2,9 @@
 
 Rotations are learned so that the signs of rotated vectors lose little and are
 balanced. Their bits fill a row of tables; vectors equal in one table are
-candidates if their 128-bit codes are near in Hamming distance. Candidates are
-joined to groups, and inside a group every pair is decided on the original
-vectors in double precision. So no link below the threshold is reported, and a
-link is missed only if no chain of candidates connects its ends.
+candidates if their 128-bit codes are near in Hamming distance. Every candidate
+pair is decided on the original vectors in double precision, so no link below the
+threshold is reported, and only links join components.
 
 Layout for scale
   * The rotations are fitted on a bounded sample; every vector is indexed.
@@ -15,15 +14,20 @@ Layout for scale
     and the number of tables is the smallest whose measured recall at the
     threshold reaches the target (pairs at exactly that cosine, made from the
     sample). It grows as a small power of n.
-  * Equal vectors fall together first. Buckets larger than a block are compared
-    block by block by many tasks and give one edge a row, not a row a pair.
-  * Vectors move once, to their group; codes move once a table.
+  * Equal vectors fall together first. Large buckets are compared block by block
+    by many tasks. Pairs are told only where a vector has few near ones in a
+    bucket; a crowd of near copies is told by one edge a row, and decided in
+    blocks (see graph.py). A chain of vectors below the threshold costs its
+    neighbours, however long it is.
+  * Codes move once a table; vectors move to their pairs or blocks.
 
 Defined results
   Vectors that are null, empty, zero, or hold null or non-finite components
   link with nothing. Vectors link only with vectors of their own length. Rows
   with a null id are left out; of rows that repeat an id the smallest vector (by
-  hash) stands. Columns besides vec_id and embedding are ignored.
+  hash) stands. A cosine of the threshold itself, as double precision has it, is a
+  link. An empty table gives no rows. Columns besides vec_id and embedding are
+  ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import first_by_hash, prepare, stored
-from .graph import components, groups, link_groups, roots
+from .graph import candidates, exact_links
 
 THRESHOLD, RECALL = 0.9, 0.97
 #: Vectors the rotations are learned on, at most: the first by a hash of the id.
@@ -67,8 +71,10 @@ class Coder:
     rotations: np.ndarray
     tables: int
     bits: int
-    #: Largest Hamming distance of CODE bits at which a pair is a candidate.
+    #: Largest Hamming distance of CODE bits at which a pair is a candidate, and
+    #: the one that half of the pairs at the threshold have.
     near: int
+    mostly: int
 
     def signs(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ r >= 0 for r in self.rotations], axis=1)
@@ -112,7 +118,7 @@ def make_coder(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
         elif found.mean() >= recall and a.shape[1] >= CODE:
             break
     apart = (a[:, :CODE] != b[:, :CODE]).sum(axis=1)
-    return Coder(np.array(rotations), tables, s, int(np.quantile(apart, 0.999)))
+    return Coder(np.array(rotations), tables, s, int(np.quantile(apart, 0.999)), int(np.quantile(apart, 0.5)))
 
 
 def _units(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray | None]:
@@ -156,55 +162,25 @@ def _coder(coders: dict[int, Coder]):
     return run
 
 
-def _near_edges(near: dict[int, int]):
-    """Edges from rows to the smallest row joined with them in their bucket."""
-    few = 32
+def _near(coders: dict[int, Coder]):
+    def near(table: pa.Table):
+        c0, c1, dim = (table.column(c).to_numpy() for c in ("code0", "code1", "dim"))
+        limits = np.array([(coders[d].mostly, coders[d].near) for d in dim.tolist()]).T
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in groups(batches, ["bucket", "i", "j"], rows=8192):
-            ids, c0, c1, dim, own, bi, bj = (table.column(c).to_numpy() for c in ("rep", "code0", "code1", "dim", "own", "i", "j"))
-            limit = np.array([near[d] for d in dim.tolist()])
-            sizes = np.diff(np.r_[starts, len(ids)])
-            group = np.repeat(np.arange(len(starts)), sizes)
-            small = np.repeat(sizes <= few, sizes)
-            ea, eb = [], []
-
-            def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return (np.bitwise_count(c0[a] ^ c0[b]).astype(np.int64) + np.bitwise_count(c1[a] ^ c1[b]) <= limit[a]) & (dim[a] == dim[b])  # noqa: B023
-
-            for off in range(1, few):
-                a = np.flatnonzero((group[off:] == group[:-off]) & small[off:])
-                if not len(a):
-                    break
-                a = a[close(a, a + off)]
-                ea.append(a)
-                eb.append(a + off)
-            for g in np.flatnonzero(sizes > few).tolist():
-                lo, hi = int(starts[g]), int(starts[g] + sizes[g])
-                x = lo + np.flatnonzero(own[lo:hi] == bi[lo])
-                y = lo + np.flatnonzero(own[lo:hi] == bj[lo])
-                for s in range(0, len(x), 256):
-                    a, b = np.repeat(x[s : s + 256], len(y)), np.tile(y, len(x[s : s + 256]))
-                    k = close(a, b) & (a != b)
-                    ea.append(a[k])
-                    eb.append(b[k])
-            if not ea:
-                continue
-            order = np.argsort(ids, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            r = roots(len(ids), place[np.concatenate(ea)], place[np.concatenate(eb)])
-            a, b = ids[order], ids[order][r]
-            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        def of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = np.bitwise_count(c0[a] ^ c0[b]).astype(np.int64) + np.bitwise_count(c1[a] ^ c1[b])
+            same = dim[a] == dim[b]
+            return same & (apart <= limits[0][a]), same & (apart <= limits[1][a])
 
-    return run
+        return of
+
+    return near
 
 
 class _Cosine:
     def __init__(self, table: pa.Table, threshold: float):
         units = _units(table.column("embedding"))
-        width = max(map(len, units))
+        width = max(map(len, units), default=0)
         self.x = np.zeros((len(units), width))
         self.dim = np.array([len(u) for u in units])
         for k, u in enumerate(units):
@@ -232,13 +208,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     coded = stored(one.mapInArrow(_coder(coders), _CODED), "coded")
     classes = stored(coded.filter("vec_key is not null").groupBy("vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     reps = coded.join(classes.select("rep"), coded.vec_id == F.col("rep"), "left_semi")
-    rows = reps.select(F.col("vec_id").alias("rep"), "dim", "code0", "code1", F.posexplode("keys").alias("t", "key")).withColumn("bucket", F.xxhash64("dim", "t", "key")).drop("t", "key")
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
-    rows = _dealt(rows.join(crowded, "bucket"))
-    edges = rows.mapInArrow(_near_edges({d: c.near for d, c in coders.items()}), "a long, b long")
-    found = components(edges, "near")
-    members = found.join(classes.select(F.col("rep").alias("node"), F.col("copies").alias("weight")), "node").join(one.withColumnRenamed("vec_id", "node"), "node")
-    links, joined = link_groups(members, "root", "node", lambda t: _Cosine(t, threshold), "cosines")
+    rows = reps.select(F.col("vec_id").alias("node"), "dim", "code0", "code1", F.posexplode("keys").alias("t", "key")).withColumn("bucket", F.xxhash64("dim", "t", "key")).drop("t", "key")
+    crowds, pairs = candidates(rows, _near(coders), "tables")
+    wanted = stored(crowds.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    members = classes.select(F.col("rep").alias("node"), F.col("copies").alias("weight")).join(wanted, "node").join(one.withColumnRenamed("vec_id", "node"), "node")
+    links, joined = exact_links(crowds, pairs, stored(members, "members"), lambda t: _Cosine(t, threshold), "cosines")
     told = links.join(joined.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
     out = classes.join(told, classes.rep == told.node, "left").select("vec_key", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (
@@ -247,12 +221,3 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )
-
-
-def _dealt(rows: DataFrame, size: int = 1024) -> DataFrame:
-    """Blocks of crowded buckets, sorted for a stream of groups."""
-    g = F.ceil(F.col("n_rows") / size).cast("int")
-    own = F.pmod(F.xxhash64("rep"), g.cast("long")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n_rows")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

@@ -1,25 +1,32 @@
 """MinHash-banded self join of documents on the Jaccard similarity of word n-grams.
 
 Rows: bands of MinHash values, their number and width chosen for a target recall
-at the threshold. Documents that share a band hash become candidates; within a
-group of candidates every pair is verified on the full n-gram sets, so a link is
-reported exactly when the similarity reaches the threshold.
+at the threshold. Documents that share a band hash are compared by their sketches
+(a byte of each MinHash value); pairs whose sketches do not rule a link out are
+verified on the full n-gram sets, so a link is reported exactly when the similarity
+reaches the threshold. Only verified links join classes.
 
 Layout for scale
   * Documents with equal n-gram sets fall together first (one representative a
     class), so a group of copies costs one signature however large it is.
-  * Bands are shuffled as (band hash, representative). A bucket is joined by
-    edges to its smallest member, one a row, never by pairs. Components of these
-    edges are the candidate groups. Only documents in such a group move texts.
-  * A group is compared in blocks of bounded size by many tasks, which emit one
-    row a member: its number of links and the smallest member joined to it.
+  * Bands are shuffled as (band hash, representative, sketch). Large buckets are
+    compared block by block in many tasks. Pairs are told only where a document
+    has few near ones in a bucket; a crowd of near copies is told by one edge a
+    row, and compared in blocks of bounded size (see graph.py).
+  * Only documents with a near partner move texts: once to a table of their own,
+    and from there to their pairs, or to the blocks of their crowd.
   * Components are found by alternating star rounds in shared tables.
 
 Defined results
   Words are runs of non-white-space (ASCII), unchanged. A text of fewer than n
   words has one n-gram, all its words; a text without words (null, empty) links
-  with nothing and is its own class. Rows with a null id are left out; rows that
-  repeat an id count once, under the smallest of their n-gram set hashes.
+  with nothing and is its own class. An empty table gives no rows. A similarity
+  of the threshold itself is a link. Texts of any length are taken whole. Rows
+  with a null id are left out of ``jaccard_join`` and kept by ``keep_one``.
+  Every distinct (id, text) takes part; a document is reported under the text with
+  the smallest of its n-gram set hashes. Of a class ``keep_one`` keeps the rows of
+  one (id, text), the smallest. Other columns are ignored by ``jaccard_join`` and
+  kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed, prepare, rolling, stored, words_of
-from .graph import components, link_groups
+from ..operators.joins import small
+from .common import WordHashes, free_names, hashed, prepare, rolling, stored, words_of
+from .graph import candidates, exact_links
 
-N, THRESHOLD, RECALL = 5, 0.8, 0.9995
+N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Multipliers and offsets of the MinHash functions come from this seed.
 SEED = 20240501
 
@@ -75,7 +83,7 @@ def _signer(n: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            ids, keys, sigs, hashes = [], [], [], []
+            ids, keys, sigs, hashes, sketches = [], [], [], [], []
             for doc, text, code in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if doc is None:
                     continue
@@ -85,6 +93,7 @@ def _signer(n: int, bands: int, rows: int):
                 if not len(g):
                     keys.append(None)
                     sigs.append(None)
+                    sketches.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()))
                 low = np.full((k, 1), 0xFFFFFFFF, np.uint32)
@@ -93,8 +102,9 @@ def _signer(n: int, bands: int, rows: int):
                     y = a * (x[None, s : s + 8192] ^ b)
                     low = np.minimum(low, (y ^ (y >> np.uint32(15))).min(axis=1, keepdims=True))
                 m = low.reshape(bands, rows)
+                sketches.append((low & np.uint32(255)).astype(np.uint8).tobytes())
                 sigs.append([xxhash.xxh3_64_intdigest(m[t].tobytes(), t) - 2**63 for t in range(bands)])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(hashes, pa.int64())], ["doc_id", "gram_key", "bands", "text_hash"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "gram_key", "bands", "text_hash", "sketch"])
 
     return sign
 
@@ -108,7 +118,7 @@ class _Jaccard:
         self.size = np.array([len(s) for s in sets])
         self.threshold = threshold
         of = np.repeat(np.arange(len(sets)), self.size)
-        values = np.concatenate(sets)
+        values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         order = np.argsort(values, kind="stable")
         values, of = values[order], of[order]
         new = np.r_[True, values[1:] != values[:-1]]
@@ -139,41 +149,84 @@ class _Jaccard:
         return both / union >= self.threshold
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies.
+def sketch_bounds(threshold: float, values: int) -> tuple[int, int]:
+    """Equal bytes that a pair at ``threshold`` mostly has, and almost always has."""
+    p = threshold + (1 - threshold) / 256
+    return math.floor(values * p), math.floor(values * p - 4.5 * math.sqrt(values * p * (1 - p)))
 
-    class_id is the smallest doc_id reachable by links (copies included), and
-    n_links the number of other documents at ``threshold`` or above.
+
+def _near(threshold: float, values: int):
+    mostly, least = sketch_bounds(threshold, values)
+
+    def near(table: pa.Table):
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, values)
+
+        def of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            same = np.empty(len(a), np.int64)
+            for s in range(0, len(a), 32768):
+                same[s : s + 32768] = (sketch[a[s : s + 32768]] == sketch[b[s : s + 32768]]).sum(axis=1)
+            return same >= mostly, same >= least
+
+        return of
+
+    return near
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Every (id, text) with its n-gram set, and every set's class.
+
+    The second table has gram_key, copies, n_links, and keep_doc and keep_hash: the
+    smallest (id, text) reachable by links.
     """
     spark = docs.sparkSession
     prepare(spark)
     bands, rows = bands_for(threshold, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = stored(source.mapInArrow(_signer(n, bands, rows), "doc_id long, gram_key binary, bands array<long>, text_hash long"), "signed")
-    # rows that repeat an id count once
-    member = signed.groupBy("doc_id").agg(F.min(F.struct("gram_key", "text_hash")).alias("m")).select("doc_id", "m.*")
-    classes = stored(
-        member.filter("gram_key is not null").groupBy("gram_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.count("*").alias("copies")).select("gram_key", F.col("m.doc_id").alias("rep"), "m.text_hash", "copies"),
-        "classes",
+    signed = stored(source.mapInArrow(_signer(n, bands, rows), "doc_id long, gram_key binary, bands array<long>, text_hash long, sketch binary"), "signed")
+    member = signed.filter("gram_key is not null").groupBy("doc_id", "gram_key").agg(F.min("text_hash").alias("text_hash"))
+    classes = member.groupBy("gram_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.count("*").alias("copies")).select("gram_key", F.col("m.doc_id").alias("rep"), "m.text_hash", "copies")
+    # a class is known by its smallest id; where that id has other texts too, all but one by a hash
+    first = member.groupBy(F.col("doc_id").alias("rep")).agg(F.min("gram_key").alias("first"))
+    classes = stored(classes.join(first, "rep").withColumn("node", F.when(F.col("gram_key") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("gram_key", "rep"))).drop("first"), "classes")
+    reps = signed.join(classes.select("gram_key", F.col("rep").alias("doc_id"), "text_hash", "node"), ["doc_id", "gram_key", "text_hash"]).dropDuplicates(["node"])
+    banded = reps.select("node", "sketch", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash")).drop("band", "hash")
+    crowds, pairs = candidates(banded, _near(threshold, bands * rows), "bands")
+    wanted = crowds.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(wanted.join(classes, "node").select("node", F.col("copies").alias("weight"), F.col("rep").alias("doc_id"), "text_hash"), "wanted")
+    # of rows that repeat id and text, one stands for them
+    texts = stored(source.join(small(wanted), ["doc_id", "text_hash"]).select("node", "weight", "text").dropDuplicates(["node"]), "texts")
+    links, joined = exact_links(crowds, pairs, texts, lambda t: _Jaccard(t, n, threshold), "verified")
+    linked = classes.join(joined, "node").join(links, "node", "left")
+    keep = linked.groupBy("root").agg(F.min(F.struct("rep", "text_hash")).alias("k"))
+    found = linked.join(keep, "root").select("gram_key", F.col("k.rep").alias("keep_doc"), F.col("k.text_hash").alias("keep_hash"), "links")
+    told = classes.join(found, "gram_key", "left").select(
+        "gram_key",
+        "copies",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("keep_doc", "rep").alias("keep_doc"),
+        F.coalesce("keep_hash", "text_hash").alias("keep_hash"),
     )
-    reps = signed.join(classes, (signed.doc_id == classes.rep) & (signed.gram_key == classes.gram_key), "left_semi")
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "hash"))
-    first = banded.groupBy("band", "hash").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    edges = banded.join(first, ["band", "hash"]).select(F.col("doc_id").alias("a"), "b").filter("a != b").distinct()
-    found = components(edges, "bands")
-    weighed = found.join(classes.select(F.col("rep").alias("node"), F.col("copies").alias("weight"), "text_hash"), "node")
-    texts = source.join(weighed.withColumnRenamed("text_hash", "code"), (source.doc_id == F.col("node")) & (source.text_hash == F.col("code")))
-    # of rows that repeat an id, one that stands for it
-    texts = texts.select("root", "node", "weight", "text").dropDuplicates(["node"])
-    links, joined = link_groups(texts, "root", "node", lambda t: _Jaccard(t, n, threshold), "verified")
-    told = links.join(joined.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
-    out = classes.join(told, classes.rep == told.node, "left").select("gram_key", "copies", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return member.join(out, "gram_key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies")
+    return signed.select("doc_id", "gram_key", "text_hash"), told
+
+
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_copies.
+
+    class_id is the smallest doc_id reachable by links (copies included), and
+    n_links the number of other documents at ``threshold`` or above.
+    """
+    signed, told = _classes(docs, n, threshold, recall)
+    one = signed.groupBy("doc_id").agg(F.min("gram_key").alias("gram_key"))
+    return one.join(told, "gram_key", "left").select(
+        "doc_id", F.coalesce("keep_doc", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies")
     )
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without those that another document of their class stands for."""
-    told = jaccard_join(docs, **settings).filter("class_id != doc_id").select("doc_id")
-    return docs.join(told, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that another row of their class stands for."""
+    settings = {"n": N, "threshold": THRESHOLD, "recall": RECALL} | settings
+    signed, told = _classes(docs, **settings)
+    row, code = free_names(docs, "row", "code")
+    gone = signed.join(told, "gram_key").filter((F.col("doc_id") != F.col("keep_doc")) | (F.col("text_hash") != F.col("keep_hash"))).select(F.col("doc_id").alias(row), F.col("text_hash").alias(code))
+    coded = docs.withColumn(row, F.col("doc_id").cast("long")).withColumn(code, F.xxhash64("text"))
+    return coded.join(small(stored(gone, "gone")), [row, code], "left_anti").select(docs.columns)
