@@ -3,9 +3,9 @@
 From rows (bucket, node, sketch) to exact links, in steps that never compare what
 no bucket brings together:
 
-  1. Crowds. Where a row has more than FEW partners in a bucket whose sketches
-     are as near as linked ones mostly are, it and such partners are a crowd:
-     they are joined by one edge a row. A crowd is what a group of near copies is.
+  1. Crowds. Where a row has more than FEW partners in a bucket whose sketches do
+     not rule a link out, it and such partners are a crowd: they are joined by one
+     edge a row. A crowd is what a group of near copies is.
   2. Pairs. All other near pairs of a bucket are told one by one: a row has few.
   3. Inside a crowd every pair is decided exactly, in blocks dealt to many tasks;
      outside, each pair is. Only links that hold are closed into components, so a
@@ -198,11 +198,11 @@ def link_groups(rows: DataFrame, group: str, node: str, kernel: Callable, name:
     return links, one.unionByName(components(many, name))
 
 
-Near = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
+Near = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def _close(table: pa.Table, starts: np.ndarray, near: Near, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, tight, group) of the near pairs of groups of over ``least`` rows."""
+def _close(table: pa.Table, starts: np.ndarray, near: Near, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of the near pairs of groups of over ``least`` rows."""
     own, bi, bj = (table.column(c).to_numpy() for c in ("own", "i", "j"))
     n = table.num_rows
     sizes = np.diff(np.r_[starts, n])
@@ -213,8 +213,8 @@ def _close(table: pa.Table, starts: np.ndarray, near: Near, least: int) -> Itera
         a = np.flatnonzero((group[off:] == group[:-off]) & little[off:])
         if not len(a):
             break
-        tight, loose = of(a, a + off)
-        yield a[loose], a[loose] + off, tight[loose], group[a[loose]]
+        a = a[of(a, a + off)]
+        yield a, a + off
     for g in np.flatnonzero(sizes > max(LITTLE, least)).tolist():
         lo, hi = int(starts[g]), int(starts[g] + sizes[g])
         x = lo + np.flatnonzero(own[lo:hi] == bi[lo])
@@ -223,14 +223,14 @@ def _close(table: pa.Table, starts: np.ndarray, near: Near, least: int) -> Itera
             a, b = np.repeat(x[s : s + 128], len(y)), np.tile(y, len(x[s : s + 128]))
             if bi[lo] == bj[lo]:
                 a, b = a[a < b], b[a < b]
-            tight, loose = of(a, b)
-            yield a[loose], b[loose], tight[loose], np.full(int(loose.sum()), g)
+            k = of(a, b)
+            yield a[k], b[k]
 
 
 def _crowd_edges(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in groups(batches, ["bucket", "i", "j"], rows=8192):
-            found = [(a[t], b[t]) for a, b, t, _ in _close(table, starts, near, FEW + 1)]
+            found = list(_close(table, starts, near, FEW + 1))
             if not found:
                 continue
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -251,7 +251,7 @@ def _told_pairs(near: Near):
             node = table.column("node").to_numpy()
             crowd = table.column("crowd").to_numpy()
             inside = table.column("in_crowd").to_numpy(zero_copy_only=False)
-            for a, b, _, _ in _close(table, starts, near, 0):
+            for a, b in _close(table, starts, near, 0):
                 k = ~(inside[a] & inside[b] & (crowd[a] == crowd[b]))
                 if k.any():
                     lo, hi = np.minimum(node[a[k]], node[b[k]]), np.maximum(node[a[k]], node[b[k]])
@@ -261,14 +261,15 @@ def _told_pairs(near: Near):
     return run
 
 
-def candidates(rows: DataFrame, near: Near, name: str, size: int = 2 * BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Crowds (node, root) and pairs (a, b) of ``rows`` (bucket, node, sketch columns).
+def candidates(rows: DataFrame, sketches: DataFrame, near: Near, name: str, size: int = 2 * BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Crowds (node, root) and pairs (a, b) of ``rows`` (bucket, node).
 
+    ``sketches`` has a row a node; only rows of buckets with company meet theirs.
     ``near(table)`` gives a function of two index arrays that tells which pairs
-    are near as linked ones mostly are (tight), and which may be linked (loose).
+    may be linked.
     """
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
-    rows = rows.join(crowded, "bucket")
+    rows = rows.join(crowded, "bucket").join(sketches, "node")
     g = F.ceil(F.col("n_rows") / size).cast("int")
     own = F.pmod(F.xxhash64("node"), g.cast("long")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
@@ -285,11 +286,12 @@ def candidates(rows: DataFrame, near: Near, name: str, size: int = 2 * BLOCK) ->
     return crowds, pairs
 
 
-def exact_links(crowds: DataFrame, pairs: DataFrame, members: DataFrame, kernel: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+def exact_links(crowds: DataFrame, pairs: DataFrame, members: DataFrame, kernel: Callable, paired: Callable, name: str) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (node, root) from crowds and pairs, each link decided exactly.
 
     ``members`` has node, weight and what ``kernel`` compares, for every node of
-    either; ``kernel(table).links(x, y)`` is the boolean matrix of links.
+    either; ``kernel(table).links(x, y)`` is the boolean matrix of links, and
+    ``paired(table, table)`` the links of rows side by side.
     """
     links, joined = link_groups(members.join(crowds, "node"), "root", "node", kernel, name)
     rest = [c for c in members.columns if c not in ("node", "weight")]
@@ -301,16 +303,8 @@ def exact_links(crowds: DataFrame, pairs: DataFrame, members: DataFrame, kernel:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            both = pa.concat_tables([pa.Table.from_struct_array(t.column(c).combine_chunks()) for c in ("of_a", "of_b")])
-            n = t.num_rows
-            for s in range(0, n, 64):
-                some = np.arange(s, min(s + 64, n))
-                k = kernel(both.take(pa.array(np.r_[some, some + n])))
-                at = np.arange(len(some))
-                hit = some[np.diagonal(k.links(at, at + len(some)))]
-                if len(hit):
-                    yield batch.select(["a", "b", "weight_a", "weight_b"]).take(pa.array(hit))
+            hit = paired(*(pa.Table.from_struct_array(batch.column(c)) for c in ("of_a", "of_b")))
+            yield batch.select(["a", "b", "weight_a", "weight_b"]).filter(pa.array(hit))
 
     held = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "weight_a", "weight_b", "of_a", "of_b").mapInArrow(decide, "a long, b long, weight_a long, weight_b long"), name)
     ends = held.select(F.col("a").alias("node"), F.col("weight_b").alias("links")).unionByName(held.select(F.col("b").alias("node"), F.col("weight_a").alias("links")))

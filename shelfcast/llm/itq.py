@@ -12,8 +12,8 @@ Layout for scale
     vectors on either side of it would get opposite bits.
   * A table key has about log2(n) bits, so a bucket has a few chance members,
     and the number of tables is the smallest whose measured recall at the
-    threshold reaches the target (pairs at exactly that cosine, made from the
-    sample). It grows as a small power of n.
+    threshold reaches the target (pairs at exactly that cosine, made from the half
+    of the sample that no rotation was learned on). It grows as a small power of n.
   * Equal vectors fall together first. Large buckets are compared block by block
     by many tasks. Pairs are told only where a vector has few near ones in a
     bucket; a crowd of near copies is told by one edge a row, and decided in
@@ -71,10 +71,8 @@ class Coder:
     rotations: np.ndarray
     tables: int
     bits: int
-    #: Largest Hamming distance of CODE bits at which a pair is a candidate, and
-    #: the one that half of the pairs at the threshold have.
+    #: Largest Hamming distance of CODE bits at which a pair is a candidate.
     near: int
-    mostly: int
 
     def signs(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ r >= 0 for r in self.rotations], axis=1)
@@ -88,12 +86,17 @@ class Coder:
 
 
 def make_coder(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
-    """Learn rotations on unit vectors ``x`` and fit the tables to n vectors."""
+    """Learn rotations on one half of the unit vectors ``x`` and fit the tables to n vectors.
+
+    The recall is measured on the other half: signs of the vectors that a rotation
+    was learned on change less than those of others.
+    """
     rng = np.random.default_rng(SEED)
+    x, unseen = (x[::2], x[1::2]) if len(x) > 1 else (x, x)
     d = x.shape[1]
     s = int(min(30, max(8, round(math.log2(max(n, 2))))))
     # pairs at the threshold itself: the hardest that must be found
-    base = x[rng.integers(0, len(x), 4000)]
+    base = unseen[rng.integers(0, len(unseen), 4000)]
     side = rng.normal(size=base.shape)
     side -= (side * base).sum(axis=1, keepdims=True) * base
     norm = np.linalg.norm(side, axis=1, keepdims=True)
@@ -118,7 +121,7 @@ def make_coder(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
         elif found.mean() >= recall and a.shape[1] >= CODE:
             break
     apart = (a[:, :CODE] != b[:, :CODE]).sum(axis=1)
-    return Coder(np.array(rotations), tables, s, int(np.quantile(apart, 0.999)), int(np.quantile(apart, 0.5)))
+    return Coder(np.array(rotations), tables, s, int(np.quantile(apart, 0.999)))
 
 
 def _units(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray | None]:
@@ -164,13 +167,14 @@ def _coder(coders: dict[int, Coder]):
 
 def _near(coders: dict[int, Coder]):
     def near(table: pa.Table):
-        c0, c1, dim = (table.column(c).to_numpy() for c in ("code0", "code1", "dim"))
-        limits = np.array([(coders[d].mostly, coders[d].near) for d in dim.tolist()]).T
+        # bits are counted of unsigned numbers: of a negative one numpy counts those of its size
+        c0, c1 = (table.column(c).to_numpy().view(np.uint64) for c in ("code0", "code1"))
+        dim = table.column("dim").to_numpy()
+        limit = np.array([coders[d].near for d in dim.tolist()])
 
-        def of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             apart = np.bitwise_count(c0[a] ^ c0[b]).astype(np.int64) + np.bitwise_count(c1[a] ^ c1[b])
-            same = dim[a] == dim[b]
-            return same & (apart <= limits[0][a]), same & (apart <= limits[1][a])
+            return (dim[a] == dim[b]) & (apart <= limit[a])
 
         return of
 
@@ -191,6 +195,14 @@ class _Cosine:
         return (self.x[x] @ self.x[y].T >= self.threshold) & (self.dim[x][:, None] == self.dim[y])
 
 
+def _paired(threshold: float):
+    def of(one: pa.Table, other: pa.Table) -> np.ndarray:
+        a, b = _units(one.column("embedding")), _units(other.column("embedding"))
+        return np.array([len(x) == len(y) and float(x @ y) >= threshold for x, y in zip(a, b, strict=True)], bool)
+
+    return of
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per vec_id: n_links, component_id (smallest id reachable), kept."""
     spark = vectors.sparkSession
@@ -208,11 +220,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     coded = stored(one.mapInArrow(_coder(coders), _CODED), "coded")
     classes = stored(coded.filter("vec_key is not null").groupBy("vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     reps = coded.join(classes.select("rep"), coded.vec_id == F.col("rep"), "left_semi")
-    rows = reps.select(F.col("vec_id").alias("node"), "dim", "code0", "code1", F.posexplode("keys").alias("t", "key")).withColumn("bucket", F.xxhash64("dim", "t", "key")).drop("t", "key")
-    crowds, pairs = candidates(rows, _near(coders), "tables")
+    reps = stored(reps.select(F.col("vec_id").alias("node"), "dim", "code0", "code1", "keys"), "reps")
+    rows = reps.select("node", "dim", F.posexplode("keys").alias("t", "key")).select("node", F.xxhash64("dim", "t", "key").alias("bucket"))
+    crowds, pairs = candidates(rows, reps.drop("keys"), _near(coders), "tables")
     wanted = stored(crowds.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
     members = classes.select(F.col("rep").alias("node"), F.col("copies").alias("weight")).join(wanted, "node").join(one.withColumnRenamed("vec_id", "node"), "node")
-    links, joined = exact_links(crowds, pairs, stored(members, "members"), lambda t: _Cosine(t, threshold), "cosines")
+    links, joined = exact_links(crowds, pairs, stored(members, "members"), lambda t: _Cosine(t, threshold), _paired(threshold), "cosines")
     told = links.join(joined.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
     out = classes.join(told, classes.rep == told.node, "left").select("vec_key", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (

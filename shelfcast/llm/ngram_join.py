@@ -149,23 +149,42 @@ class _Jaccard:
         return both / union >= self.threshold
 
 
-def sketch_bounds(threshold: float, values: int) -> tuple[int, int]:
-    """Equal bytes that a pair at ``threshold`` mostly has, and almost always has."""
+def _paired(n: int, threshold: float):
+    """Links of texts side by side; a text in many pairs is cut into n-grams once a batch."""
+
+    def of(one: pa.Table, other: pa.Table) -> np.ndarray:
+        cache, known = WordHashes(), {}
+        out = np.zeros(one.num_rows, bool)
+        for k, pair in enumerate(zip(one.column("text").to_pylist(), other.column("text").to_pylist(), strict=True)):
+            for t in pair:
+                if t not in known:
+                    known[t] = grams(t, n, cache)
+            a, b = known[pair[0]], known[pair[1]]
+            if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out[k] = both / (len(a) + len(b) - both) >= threshold
+        return out
+
+    return of
+
+
+def sketch_bound(threshold: float, values: int) -> int:
+    """Equal bytes that a pair at ``threshold`` has at least, but for 1 in 100,000."""
     p = threshold + (1 - threshold) / 256
-    return math.floor(values * p), math.floor(values * p - 4.5 * math.sqrt(values * p * (1 - p)))
+    return math.floor(values * p - 4.5 * math.sqrt(values * p * (1 - p)))
 
 
 def _near(threshold: float, values: int):
-    mostly, least = sketch_bounds(threshold, values)
+    least = sketch_bound(threshold, values)
 
     def near(table: pa.Table):
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, values)
 
-        def of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             same = np.empty(len(a), np.int64)
             for s in range(0, len(a), 32768):
                 same[s : s + 32768] = (sketch[a[s : s + 32768]] == sketch[b[s : s + 32768]]).sum(axis=1)
-            return same >= mostly, same >= least
+            return same >= least
 
         return of
 
@@ -189,13 +208,14 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     first = member.groupBy(F.col("doc_id").alias("rep")).agg(F.min("gram_key").alias("first"))
     classes = stored(classes.join(first, "rep").withColumn("node", F.when(F.col("gram_key") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("gram_key", "rep"))).drop("first"), "classes")
     reps = signed.join(classes.select("gram_key", F.col("rep").alias("doc_id"), "text_hash", "node"), ["doc_id", "gram_key", "text_hash"]).dropDuplicates(["node"])
-    banded = reps.select("node", "sketch", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash")).drop("band", "hash")
-    crowds, pairs = candidates(banded, _near(threshold, bands * rows), "bands")
+    reps = stored(reps.select("node", "bands", "sketch"), "reps")
+    banded = reps.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    crowds, pairs = candidates(banded, reps.select("node", "sketch"), _near(threshold, bands * rows), "bands")
     wanted = crowds.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(wanted.join(classes, "node").select("node", F.col("copies").alias("weight"), F.col("rep").alias("doc_id"), "text_hash"), "wanted")
     # of rows that repeat id and text, one stands for them
     texts = stored(source.join(small(wanted), ["doc_id", "text_hash"]).select("node", "weight", "text").dropDuplicates(["node"]), "texts")
-    links, joined = exact_links(crowds, pairs, texts, lambda t: _Jaccard(t, n, threshold), "verified")
+    links, joined = exact_links(crowds, pairs, texts, lambda t: _Jaccard(t, n, threshold), _paired(n, threshold), "verified")
     linked = classes.join(joined, "node").join(links, "node", "left")
     keep = linked.groupBy("root").agg(F.min(F.struct("rep", "text_hash")).alias("k"))
     found = linked.join(keep, "root").select("gram_key", F.col("k.rep").alias("keep_doc"), F.col("k.text_hash").alias("keep_hash"), "links")

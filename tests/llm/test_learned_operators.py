@@ -182,6 +182,39 @@ def test_embeddings(spark):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_chain_below_the_threshold_costs_its_neighbours(spark):
+    """Neighbours at 0.85: no links, and no more pairs than a few a vector."""
+    rng = np.random.default_rng(4)
+    v = [rng.normal(size=64)]
+    v[0] /= np.linalg.norm(v[0])
+    for _ in range(9_999):
+        side = rng.normal(size=64)
+        side -= side @ v[-1] * v[-1]
+        v.append(0.85 * v[-1] + math.sqrt(1 - 0.85**2) * side / np.linalg.norm(side))
+    x = np.array(v)
+    coder = itq.make_coder(x[::3], len(x), 0.9, 0.97)
+    bits = coder.signs(x)
+    code, keys = coder.code(bits), coder.keys(bits)
+    nodes = spark.createDataFrame([(i, 64, int(c[0]), int(c[1]), [int(z) for z in k]) for i, (c, k) in enumerate(zip(code, keys, strict=True))], "node long, dim int, code0 long, code1 long, keys array<long>")
+    rows = nodes.select("node", F.posexplode("keys").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("bucket"))
+    crowds, pairs = graph.candidates(rows, nodes.drop("keys"), itq._near({64: coder}), "chain")
+    assert crowds.count() == 0 and pairs.count() < 3 * len(x)
+
+
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(5_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    other = 0.901 * base + math.sqrt(1 - 0.901**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, other])
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()}
+    want = np.concatenate([(x[s : s + 1000] @ x.T >= 0.9).sum(axis=1) - 1 for s in range(0, len(x), 1000)])
+    assert all(got[i] <= want[i] for i in range(len(x))) and sum(got.values()) >= 0.9 * want.sum()
+
+
 def test_keys_get_shorter_until_the_recall_is_reached(monkeypatch):
     monkeypatch.setattr(itq, "TABLES", 4)
     x = np.random.default_rng(0).normal(size=(500, 16))

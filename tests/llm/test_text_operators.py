@@ -170,6 +170,15 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_rows_that_repeat_an_id_are_members_each(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, None), (4, b), (3, c), (5, ""), (None, a)]
+    kept = Counter((x.doc_id, x.text) for x in ngram_join.keep_one(spark.createDataFrame(rows, DOC)).collect())
+    # the near copy of 1 goes, b stays once under its smallest id, rows that repeat id and text stay together
+    assert kept == Counter([(1, a), (2, b), (3, c), (3, c), (3, None), (5, ""), (None, a)])
+
+
 def test_bands_reach_the_recall():
     for t in (0.8, 0.9):
         b, r = ngram_join.bands_for(t, 0.999)
