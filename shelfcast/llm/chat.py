@@ -4,13 +4,18 @@ A template is any function from a list of turns to a string. Successive prefixes
 of a conversation are rendered; where an output starts with the previous one,
 the rest is the new turn's span. Where it does not, the template has rewritten
 history, which is recorded with the place of the first change. Inside a span the
-content is found by probing: the same prefix rendered with two different short
-texts and with an empty one gives the content's place.
+content is found by probing: the same turns rendered with two different short
+texts and with an empty one give the content's place. Probes see the turn behind
+the one before it if that renders the very same span, else the whole prefix, so a
+turn costs one rendering of its prefix and a few of two turns.
 
 Defined results
   A null role or text counts as empty. Turns are ordered by turn, then role,
   then text, nulls first, so ties and repeated rows have one order. A null
-  conv_id is one conversation of its own. An empty table gives no rows.
+  conv_id is one conversation of its own. An empty table gives no rows. Texts of
+  any length are rendered whole; a conversation is one task's, and rendering its
+  prefixes is quadratic in its turns. Other columns are ignored, so names can't
+  clash.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .common import prepare
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
+#: Characters of output gathered before they are passed on.
+FLUSH = 4_000_000
 #: Control strings: what marks turns here and in other common templates.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
@@ -100,8 +107,14 @@ def render_incrementally(turns: list[Turn], template: Template) -> Rendered:
             # spans found so far end at the change
             out.spans = [(min(a, start), min(b, start)) for a, b in out.spans]
             out.content = [(min(a, start), min(b, start)) for a, b in out.content]
-        head = _common(template([*turns[:k], (role, "x")]), template([*turns[:k], (role, "y")]))
-        length = len(now) - len(template([*turns[:k], (role, "")]))
+        shown, at = turns[:k], 0
+        if not out.rewrites and k > 1:
+            base = template(turns[k - 1 : k])
+            alone = template(turns[k - 1 : k + 1])
+            if alone.startswith(base) and alone[len(base) :] == now[start:]:
+                shown, at = turns[k - 1 : k], start - len(base)
+        head = at + _common(template([*shown, (role, "x")]), template([*shown, (role, "y")]))
+        length = len(now) - at - len(template([*shown, (role, "")]))
         out.spans.append((start, len(now)))
         out.content.append((min(head, len(now)), max(head, min(head + length, len(now)))))
         before = now
@@ -128,17 +141,18 @@ def _formatter(template: Template, loss_roles: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        conv, turns, done = none, [], []
+        conv, turns, done, held = none, [], [], 0
         for b in batches:
             for c, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if c != conv or conv is none:
                     if conv is not none:
                         done.append(one(conv, turns))
+                        held += len(done[-1][1])
+                        if held >= FLUSH:
+                            yield batch(done)
+                            done, held = [], 0
                     conv, turns = c, []
                 turns.append((role or "", text or ""))
-            if len(done) >= 200:
-                yield batch(done)
-                done = []
         if conv is not none:
             done.append(one(conv, turns))
         if done:

@@ -10,8 +10,13 @@ and merges runs of neighbours of a tier, oldest first, into files of about the
 target size; the merged files replace them in the next version. A version
 exists once its manifest has been renamed into place, and a rename onto an
 existing version fails, so a lost executor, a crashed driver or a second writer
-leaves the last committed version whole. Files that no kept version names are
-removed by ``vacuum``.
+leaves the last committed version whole. That needs a store whose rename is
+atomic and refuses to overwrite, as HDFS and local file systems do; on an object
+store a committer with a conditional put has to take its place. A writer that
+loses the race lays its change over the version that won and tries again; its
+data files are written once. Files that no kept version names, those of writes
+that never were committed too, are removed by ``vacuum`` once they are old enough
+that no writer can still be about to commit them.
 
 The driver handles manifests only: one entry a file. Data move from file to file
 without a shuffle, one task a merged file.
@@ -19,15 +24,18 @@ without a shuffle, one task a merged file.
 Defined results
   Rows are kept as they are, with nulls, repeats and all columns. An empty
   arrival makes a version without new shards. An arrival with other columns
-  than the store's is refused. A shard above half the target is left alone.
+  than the store's is refused. A shard above half the target is left alone. Texts
+  of any length, ties and repeats are rows like others; no column names are taken.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
+import time
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from urllib.parse import unquote
 
@@ -145,15 +153,20 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Add the rows of ``df`` as small shards; returns the new version."""
-        now = self.manifest()
         schema = json.loads(df.schema.json())
         fields = [(f["name"], f["type"]) for f in schema["fields"]]
-        if now["schema"] and fields != [(f["name"], f["type"]) for f in now["schema"]["fields"]]:
-            raise ValueError("the columns differ from the store's")
-        version = now["version"] + 1
-        new = self._written(df, version)
-        self._commit(version, {"version": version, "schema": schema, "shards": now["shards"] + [asdict(s) for s in new]})
-        return version
+        new: list[Shard] | None = None
+        while True:
+            now = self.manifest()
+            if now["schema"] and fields != [(f["name"], f["type"]) for f in now["schema"]["fields"]]:
+                raise ValueError("the columns differ from the store's")
+            version = now["version"] + 1
+            new = self._written(df, version) if new is None else [replace(s, born=version) for s in new]
+            try:
+                self._commit(version, {"version": version, "schema": schema, "shards": now["shards"] + [asdict(s) for s in new]})
+            except Conflict:
+                continue  # on top of the version that was first
+            return version
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, everything: bool = False) -> int:
         """Merge until no tier has a run to merge; returns the version."""
@@ -170,9 +183,17 @@ class ShardStore:
             gone = {s.path for run in runs for s in run}
             if sum(s.rows for s in new) != sum(s.rows for run in runs for s in run):
                 raise RuntimeError("merged shards do not have the rows of their parts")
-            version = now["version"] + 1
-            kept = [s for s in now["shards"] if s["path"] not in gone]
-            self._commit(version, {"version": version, "schema": now["schema"], "shards": kept + [asdict(s) for s in new]})
+            while True:
+                there = {s["path"] for s in now["shards"]}
+                if not gone <= there:  # another compaction has merged some of these: plan anew
+                    break
+                version = now["version"] + 1
+                kept = [s for s in now["shards"] if s["path"] not in gone]
+                try:
+                    self._commit(version, {"version": version, "schema": now["schema"], "shards": kept + [asdict(s) for s in new]})
+                    break
+                except Conflict:
+                    now = self.manifest()
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -183,15 +204,36 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[s["path"] for s in m["shards"]])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Drop manifests but the last ``keep`` and files that these do not name."""
+    def vacuum(self, keep: int = 1, hours: float = 24.0) -> int:
+        """Drop manifests but the last ``keep``, and files that the kept ones do not name.
+
+        Files that an older version names go at once. Files that no version names
+        may belong to a write under way: they go when older than ``hours``. The
+        last version always stays. Returns the number of files removed.
+        """
+        keep = max(1, keep)
         there = self.versions()
-        kept = {s.path for v in there[-keep:] for s in self.shards(v)}
-        fs, gone = self._fs(), 0
-        for v in there[:-keep]:
-            for s in self.shards(v):
-                if s.path not in kept and fs.delete(self._path(s.path), False):
-                    gone += 1
+        kept = {_plain(s.path) for v in there[-keep:] for s in self.shards(v)}
+        named = {_plain(s.path) for v in there[:-keep] for s in self.shards(v)}
+        fs, gone, folder = self._fs(), 0, self._path(f"{self.root}/shards")
+        oldest = time.time() * 1000 - hours * 3_600_000
+        writes = fs.listStatus(folder) if fs.exists(folder) else []
+        for write in writes:
+            left = 0
+            for f in fs.listStatus(write.getPath()):
+                path = _plain(f.getPath().toString())
+                data = path.endswith(".parquet")
+                if path not in kept and data and (path in named or f.getModificationTime() <= oldest):
+                    gone += fs.delete(f.getPath(), False)
+                else:
+                    left += data
+            if not left and write.getModificationTime() <= oldest:
+                fs.delete(write.getPath(), True)  # markers of a write all of whose shards are gone
         for v in there[:-keep]:
             fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
         return gone
+
+
+def _plain(path: str) -> str:
+    """A path without scheme and host, as listings and readers write those differently."""
+    return re.sub(r"^\w+:(//[^/]*)?", "", unquote(path))

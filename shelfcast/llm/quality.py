@@ -11,19 +11,23 @@ scoring is one pass over whole texts without a shuffle.
 
 Defined results
   Null and empty texts have the statistics of no words and are scored like any
-  other. Columns called score or predicted are replaced. Without labelled rows
-  nothing speaks against a text, and every text is accepted.
+  other; texts of any length are scored whole; an empty table gives no rows.
+  Columns called score or predicted are replaced by ``score`` and kept by
+  ``keep_good``. Rows that repeat an id are scored each; in the sample an id
+  counts once, by its smallest text, and rows with a null id or label not at all.
+  Without labelled rows nothing speaks against a text, and every text is accepted.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import prepare
 from .learn import SAMPLE, add_columns, fit_logistic, labelled, sigmoid
@@ -172,6 +176,14 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
     return add_columns(docs, make, "score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those rejected, with the columns they came with."""
-    return score(docs, train(docs, labels)).filter(F.col("predicted") == 1).select(docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those rejected; all columns keep their values, whatever their names."""
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = model.score(np.array([statistics(t) for t in batch.column("text").to_pylist()]))
+                yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -46,7 +46,9 @@ def test_quality(spark):
     got = quality.score(docs, model).collect()
     assert len(got) == 405 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert np.mean([r.predicted == truth[r.doc_id][0] for r in got if r.doc_id in truth and r.text != "word1 word2"]) > 0.98
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {5}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.predicted)
     empty = quality.score(docs.limit(0), model)
     assert empty.count() == 0 and "predicted" in empty.columns
     assert quality.score(docs, quality.train(docs, labels.limit(0))).count() == 405
@@ -329,6 +331,36 @@ def test_shards(spark, tmp_path):
     assert store.versions() == [1, 2, 3, 4] and store.manifest()["version"] == 4
     assert store.vacuum() > 0 and store.versions() == [4]
     assert store.read().count() == 2 * len(rows)
+    # a write that was never committed: kept while it may still be, removed later
+    lost = store._written(df, 99)
+    assert store.vacuum() == 0
+    # with it goes the file without rows that the empty arrival left
+    assert store.vacuum(keep=0, hours=-1) == len(lost) + 1
+    assert {compaction._plain(str(f)) for f in (tmp_path / "store" / "shards").rglob("*.parquet")} == {compaction._plain(s.path) for s in store.shards()}
+    assert store.versions() == [4] and store.read().count() == 2 * len(rows)
+
+
+def test_writers_that_lose_the_race_try_again(spark, tmp_path):
+    root = "file://" + str(tmp_path / "race")
+    one, other = compaction.ShardStore(spark, root), compaction.ShardStore(spark, root)
+    df = spark.range(40).select(F.col("id").alias("doc_id")).repartition(4)
+    one.append(df)
+    plain = one._written
+
+    def late(*args):
+        found = plain(*args)
+        if one._written is late:  # the other writer comes in between
+            one._written = plain
+            other.append(df)
+        return found
+
+    one._written = late
+    assert one.append(df) == 3 and one.read().count() == 120
+    one._written = late
+    one.compact()
+    assert one.read().count() == 160 and one.versions()[-1] == one.manifest()["version"]
+    empty = compaction.ShardStore(spark, "file://" + str(tmp_path / "empty"))
+    assert empty.vacuum() == 0 and empty.append(df.limit(0)) == 1 and empty.read().count() == 0
 
 
 def test_merge_plans():

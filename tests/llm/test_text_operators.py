@@ -281,6 +281,25 @@ def test_rewritten_history_is_found():
     assert [k for k, _ in got.rewrites] == [2] and got.text == "[user]hi.[think].[assistant]yes."
 
 
+def test_prefixes_are_rendered_once_each():
+    seen = []
+
+    def template(turns):
+        seen.append(len(turns))
+        return chat.turn_template(turns)
+
+    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(300)]
+    got = chat.render_incrementally(turns, template)
+    assert sum(n > 2 for n in seen) == 298 and [got.text[a:b] for a, b in got.content] == [t for _, t in turns]
+
+    # a template whose spans depend on all turns before is probed on whole prefixes
+    def counting(turns):
+        return "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))
+
+    got = chat.render_incrementally(turns[:12], counting)
+    assert [got.text[a:b] for a, b in got.content] == [t for _, t in turns[:12]]
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "x"), (1, 0, "user", None), (1, 1, "assistant", "a"), (2, 0, None, "[INST]"), (None, 0, "user", "q"), (3, 0, "assistant", ""), (1, None, "system", "s"), (1, 0, "user", None)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, spans int")
