@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import features, forecaster
+from .operators import features, forecaster, shap, validation
 from .operators.learner import BoostConfig
-from .plans import cache, stages
+from .plans import cache, forecasting, stages
 from .sources import files
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
@@ -33,16 +34,59 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--context-groups", default="promotion,calendar")
     p.add_argument("--output", default="submission")
     p.add_argument("--force", action="store_true")
+    p.add_argument("--processed-data", help="a merged panel to forecast from, instead of building one")
+    p.add_argument("--forecast-strategy", choices=forecasting.STRATEGIES, default="recursive")
+    p.add_argument("--eval-windows", type=int, default=0, help="rolling windows to judge before the forecast (default: none)")
+    p.add_argument("--eval-holdout-days", type=int, default=14)
+    p.add_argument("--train-days", type=int, help="days before the latest window (default: all but its holdout)")
+    p.add_argument("--skip-holdout", action="store_true", help="forecast only")
+    p.add_argument("--shap", action="store_true", help="write explanations beside the submission")
     args = p.parse_args(argv)
     args.feature_groups = features.parse_groups(args.features)
     args.config = BoostConfig(rounds=args.rounds, learning_rate=args.learning_rate, depth=args.depth, min_leaf=args.min_leaf, seed=args.seed, log_sales=args.log_sales)
+    if args.shap and args.forecast_strategy != "recursive":
+        p.error("--shap explains the recursive strategy only")
     return args
 
 
+def forecast(args: argparse.Namespace, panel: DataFrame) -> dict:
+    """Judge the model on rolling windows if asked, forecast, and write what passes the checks."""
+    groups = forecaster.parse_context(args.context_groups)
+    columns = [c for g in groups for c in forecaster.CONTEXT[g]]
+    # oil and traffic have no value before their first observation
+    validation.validate_forecast_panel(panel, [c for g in groups if g not in ("oil", "traffic") for c in forecaster.CONTEXT[g]])
+    panel = features.with_codes(panel, ("product", "store"))
+    coded = {"product_family", "city", "department", "store_type"}
+    panel = panel.withColumns({c: panel[f"code_{c}"] for c in coded & set(columns)}).withColumn("product_id", panel["product_id"].cast("string"))
+    strategy, days, told = args.forecast_strategy, forecasting.horizon(panel), {}
+    if args.eval_windows and not args.skip_holdout:
+        told["evaluation"] = forecasting.rolling_evaluation(panel, columns, args.eval_windows, args.eval_holdout_days, strategy, args.config, args.train_days)
+        files.write_json(told["evaluation"], os.path.join(args.cache_dir, "holdout_metrics.json"))
+    models = forecasting.fitted(panel, columns, strategy, days, args.config)
+    made = forecasting.forecast(panel, models, columns, strategy, days, args.config).persist()
+    try:
+        test = panel.filter("dataset_split = 'test'").select("id", "date", "store_id", "product_id")
+        whole = forecasting.guarded_submission(made, test)
+        sample = panel.sparkSession.read.option("header", True).csv(f"{args.data_dir}/sample_submission.csv")
+        order = sample.select(F.col("id").cast(dict(test.dtypes)["id"]).alias("id")).withColumn("position", F.monotonically_increasing_id())
+        files.write_submission(whole.join(order, "id").orderBy("position"), args.output)
+    finally:
+        made.unpersist()
+    told["forecast"] = args.output
+    if args.shap:
+        told["shap"] = f"{args.output}.shap.parquet"
+        files.write_shap(forecasting.sidecar(panel, models[0], columns, args.config), told["shap"])
+        if groups == tuple(forecaster.CONTEXT):  # buckets are over all groups
+            told["display"] = f"{args.output}.display"
+            files.write_display(shap.display_rows(panel.sparkSession.read.parquet(told["shap"])), told["display"])
+    return told
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     args = parse(argv)
     spark = spark or SparkSession.builder.getOrCreate()
-    code = [os.path.join(d, f) for d, _, names in os.walk(_HERE) for f in names if f.endswith(".py") and f"{os.sep}llm" not in d]
+    apart = os.path.join(_HERE, "llm")
+    code = [os.path.join(d, f) for d, _, names in os.walk(_HERE) for f in names if f.endswith(".py") and not d.startswith(apart)]
     merged, table = (os.path.join(args.cache_dir, n) for n in ("merged.parquet", "features.parquet"))
     told: dict = {}
 
@@ -52,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     inputs = [os.path.join(args.data_dir, f) for f in sorted(os.listdir(args.data_dir)) if f.endswith(".csv")]
     if args.context_dir:
         inputs.append(os.path.join(args.context_dir, files.TRAFFIC))
-    if args.stage in ("all", "data", "forecast"):
+    if args.stage in ("all", "data", "forecast") and not (args.stage == "forecast" and args.processed_data):
         stage("data", merged, inputs, {}, lambda path: stages.build_merged(stages.sources_from_files(spark, args.data_dir, args.context_dir), path))
     if args.stage in ("all", "features"):
         stage("features", table, [merged], {"groups": args.feature_groups}, lambda path: stages.build_features(spark.read.parquet(merged), path, args.feature_groups))
@@ -64,16 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
 
         stage("train", report, [table], {"model": args.model, "holdout": args.holdout_days, "config": vars(args.config) if hasattr(args.config, "__dict__") else str(args.config)}, build)
     if args.stage == "forecast":
-        panel = spark.read.parquet(merged)
-        columns = [c for g in forecaster.parse_context(args.context_groups) for c in forecaster.CONTEXT[g]]
-        panel = features.with_codes(panel, ("product", "store"))
-        coded = {"product_family", "city", "department", "store_type"}
-        panel = panel.withColumns({c: panel[f"code_{c}"] for c in coded & set(columns)}).withColumn("product_id", panel["product_id"].cast("string"))
-        models = forecaster.collected(forecaster.train_models(forecaster.supervised(panel, columns), forecaster.SALES + columns, args.config))[0]
-        made = forecaster.recursive_forecast(panel, models, columns, args.config.log_sales)
-        ids = panel.filter("dataset_split = 'test'").select("id", "date", "store_id", "product_id")
-        files.write_submission(ids.join(made, ["date", "store_id", "product_id"]), args.output)
-        told["forecast"] = args.output
+        told |= forecast(args, spark.read.parquet(args.processed_data or merged))
     return told
 
 

@@ -64,7 +64,11 @@ def features_for_next(history: np.ndarray) -> list[float]:
 
 
 def supervised(panel: DataFrame, context: list[str]) -> DataFrame:
-    """Rows with a full history: key, target, sales features, context."""
+    """Rows with a full history: key, target, sales features, context.
+
+    A context column that is a key stays the key.
+    """
+    context = [c for c in context if c not in SERIES]
     flagged = add_stockout_flag(panel)
     n = F.row_number().over(Window.partitionBy(*SERIES).orderBy("date"))
     rows = forecaster_features(flagged).join(panel.withColumn("_n", n).filter(C("_n") > HISTORY).select("date", *SERIES, "sales_count", *context), ["date", *SERIES])
@@ -166,7 +170,7 @@ def direct_forecast(panel: DataFrame, leads: list[int], models: dict[int, list[B
     rows = direct_supervised(panel, leads).crossJoin(F.broadcast(last)).filter(F.datediff("date", "_last") == C("lead"))
     others = [c for c in columns if c not in rows.columns]
     rows = rows.join(panel.select("date", *SERIES, *others), ["date", *SERIES]) if others else rows
-    rows = rows.select("date", *SERIES, "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    rows = rows.select("date", *SERIES, "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns if c not in SERIES])
 
     def run(parts):
         for part in parts:

@@ -79,6 +79,30 @@ def buckets(df: DataFrame, keys: list[str], places: int = 2) -> DataFrame:
     return df.select(*keys, "quantile", F.round(F.expm1("base_value"), places).alias("base_units"), *[F.round(total([f"shap_{c}" for c in cols]), places).alias(f"contrib_{b}") for b, cols in BUCKETS.items()])
 
 
+def transform_of(sidecar: DataFrame) -> str:
+    """The one scale that all rows of a sidecar are on; raises if there are several or none."""
+    kinds = sorted(str(r[0]) for r in sidecar.select("target_transform").distinct().limit(3).collect())
+    if len(kinds) != 1:
+        raise ValueError(f"target_transform is not one value: {kinds}")
+    if kinds[0] not in ("log1p", "none", "identity"):
+        raise ValueError(f"unknown target_transform {kinds[0]!r}")
+    return kinds[0]
+
+
+def display_rows(sidecar: DataFrame, places: int = 2) -> DataFrame:
+    """A sidecar as shown: values on the model's scale and in units, and the eight buckets."""
+    summed = buckets(sidecar, ["id", *[C(c).alias(f"_{c}") for c in ("base_value", "raw_model", "submitted")]], places)
+    base = F.expm1("_base_value") if transform_of(sidecar) == "log1p" else C("_base_value")
+    told = {"base_value": C("_base_value"), "prediction": C("_raw_model"), "display_base": base, "display_prediction": C("_submitted")}
+    keep = [F.round(c, places).alias(n) for n, c in told.items()]
+    return summed.select("id", "quantile", *keep, *[c for c in summed.columns if c.startswith("contrib_")])
+
+
+def lookup(points: DataFrame, told: DataFrame) -> DataFrame:
+    """The explanation of each (id, quantile); a point without one keeps nulls."""
+    return points.join(told, ["id", "quantile"], "left")
+
+
 def top_factors(df: DataFrame, keys: list[str], k: int = 4, least: float = 0.05) -> DataFrame:
     """The buckets that move a forecast most, by size, of those above ``least``."""
     names = [c for c in df.columns if c.startswith("contrib_")]

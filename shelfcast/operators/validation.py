@@ -103,6 +103,17 @@ def completeness(panel: DataFrame) -> DataFrame:
     return series.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_series")).crossJoin(days).select("n_rows", "n_days", "n_series", (C("n_rows") == C("n_days") * C("n_series")).alias("complete"))
 
 
+def validate_forecast_panel(panel: DataFrame, context: list[str]) -> None:
+    """Raise unless every series has every day, sales are not negative and context is whole."""
+    if not completeness(panel).first().complete:
+        raise ValueError("the panel does not hold every day of every series")
+    got = panel.agg(F.count_if(C("sales_count") < 0).alias("negative"), F.count_if(any_null(["store_id", "product_id", *context])).alias("nulls")).first()
+    if got.negative:
+        raise ValueError(f"{got.negative} sales are negative")
+    if got.nulls:
+        raise ValueError(f"{got.nulls} rows lack a context value")
+
+
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds position, from 0, in the given order.
 

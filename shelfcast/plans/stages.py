@@ -12,6 +12,7 @@ from ..operators.forecaster import predictor
 from ..operators.learner import BoostConfig
 from ..sources.adapter import Sources
 from ..sources.files import scan_sources, write_json, write_parquet
+from ..sources.schemas import KEY
 
 C = F.col
 
@@ -38,10 +39,11 @@ def sources_from_files(spark: SparkSession, data_dir: str, context_dir: str | No
 
 
 def build_merged(s: Sources, path: str) -> dict:
-    merged = dataset.merged_panel(s)
-    told = write_parquet(merged, path)
+    """Write the merged panel in the order of its key; it has the rows of both splits."""
+    rows = s.panel.count()
+    told = write_parquet(dataset.merged_panel(s).orderBy(*KEY), path, rows)
     back = s.panel.sparkSession.read.parquet(path)
-    got = validation.validate_audit(back, {"null_train_sales": 0, "known_test_sales": 0, "missing_traffic": 0, "n_rows": told["n_rows"]})
+    got = validation.validate_audit(back, {"null_train_sales": 0, "known_test_sales": 0, "missing_traffic": 0, "n_rows": rows})
     if got.unique_keys != got.n_rows or got.matched_products != got.n_rows or got.matched_stores != got.n_rows:
         raise ValueError("merged panel has repeated keys or rows without a product or store")
     return told | {"unmatched_events": unmatched_events(s.events, s.stores).count()}
@@ -80,7 +82,13 @@ def train_and_evaluate(table: DataFrame, report: str | None, model: str, holdout
 
 
 def rolling_backtest(panel: DataFrame, windows: int, holdout: int, model: str = "historical", columns: list[str] | None = None, config: BoostConfig = BoostConfig()) -> DataFrame:
-    """Mean loss of each window and quantile; windows are judged one after another."""
+    """Mean loss of each window and quantile; windows are judged one after another.
+
+    ``columns`` must be known ahead. Features of past sales would have seen the days
+    held out: ``forecasting.rolling_evaluation`` forecasts from each origin instead.
+    """
+    if seen := [c for c in columns or [] if "sales" in c or "stockout" in c or c.startswith(("feature_zero_", "feature_nonzero_", "feature_profile_", "feature_same_"))]:
+        raise ValueError(f"made from sales of the days held out: {', '.join(seen)}")
     if windows < 1 or holdout < 1:
         raise ValueError("windows and holdout are 1 at least")
     dealt = baseline.backtest_windows(panel, windows, holdout)

@@ -94,14 +94,19 @@ def write_shap(df: DataFrame, path: str) -> None:
 def read_shap_csv(spark: SparkSession, path: str) -> DataFrame:
     """id, quantile, base and the contributions found by their prefix."""
     raw = spark.read.option("header", True).option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
-    numbers = [c for c in raw.columns if c.startswith("contrib_") or c in ("quantile", "base_units")]
+    numbers = [c for c in raw.columns if c.startswith("contrib_") or c in ("quantile", "base_units", "base_value", "prediction", "display_base", "display_prediction")]
     return raw.select("id", *[F.col(c).cast("double").alias(c) for c in numbers])
 
 
-def write_exceptions(flags: DataFrame, path: str) -> None:
-    """Nine quoted columns of the exception list."""
-    columns = ["severity", "type", "id", "store_id", "product_id", "date", "promotion", "detail", "action"]
-    flags.select(*[c if c in flags.columns else F.lit("").alias(c) for c in columns]).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def write_exceptions(exported: DataFrame, path: str) -> None:
+    """The nine columns of ``review.exported``, every cell quoted."""
+    columns = ["id", "store_id", "product_id", "date", "promotion", "flag", "severity", "action", "detail"]
+    exported.select(columns).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def write_display(told: DataFrame, path: str) -> None:
+    """Explanations as shown (``shap.display_rows``), as CSV."""
+    told.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(report: dict, path: str) -> None:
