@@ -18,6 +18,17 @@ SEVERITY = {
     "perishable_spike": "warning", "holiday_flat": "warning", "essential_low": "warning", "promo_zero_history": "warning",
     "zero_forecast": "info",
 }
+ACTION = {
+    "monotonicity": "Data problem — fix or reject before using this row",
+    "wide_spread": "Uncertain forecast — use your judgement, not just the number",
+    "baseline_deviation": "Double-check this — it's very different from the usual model",
+    "promo_no_lift": "Check this promotion — no sales boost is expected",
+    "perishable_spike": "Perishable item — double-check you won't overstock",
+    "holiday_flat": "Check holiday staffing & stock — forecast doesn't reflect the holiday",
+    "essential_low": "Everyday item — confirm zero is right before it runs out",
+    "promo_zero_history": "Not a confirmed stockout — flagged for review, check before assuming no demand",
+    "zero_forecast": "Double-check: is zero really expected here?",
+}
 RANK = {"critical": 0, "warning": 1, "info": 2}
 SPREAD_SHARE, LOOKBACK = 0.95, 30
 
@@ -37,13 +48,28 @@ class Review:
     staples: tuple[str, ...] = tuple(STAPLES)
 
 
-def severity(kind: Column) -> Column:
+def _named(kind: Column, values: dict[str, str]) -> Column:
     out = F.when(kind.isNull(), None)
-    for k, v in SEVERITY.items():
+    for k, v in values.items():
         out = out.when(kind == k, v)
     return out
 
 
+def severity(kind: Column) -> Column:
+    return _named(kind, SEVERITY)
+
+
+def action(kind: Column) -> Column:
+    """What a reviewer should do about a flag."""
+    return _named(kind, ACTION)
+
+
+def exported(flags: DataFrame) -> DataFrame:
+    """The nine columns of the exception list, as text in their own order."""
+    kind = C("type")
+    return flags.select("id", "store_id", "product_id", "date", "promotion", kind.alias("flag"), severity(kind).alias("severity"), action(kind).alias("action"), "detail")
+
+
 def holiday_days(r: Review) -> DataFrame:
     """(store_id, date): days of events not transferred, and the days before."""
     reached = expand_events(r.events.filter(~C("is_transferred")), r.stores)
@@ -198,10 +224,12 @@ def sorted_products(rolled: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def chart_rows(r: Review) -> DataFrame:
-    """Recent history and forecast of each series under one another."""
+    """Recent history and forecast of each series under one another, the latter beside its baseline."""
     first = r.test.agg(F.min("date").alias("_first"))
     past = r.history.crossJoin(F.broadcast(first)).filter(C("date") >= F.date_sub("_first", LOOKBACK)).select("store_id", "product_id", "date", "promotion", "sales_count", F.lit("history").alias("part"))
-    ahead = r.submission.join(r.test, "id").select("store_id", "product_id", "date", "promotion", *NAMES, F.lit("forecast").alias("part"))
+    base = [f"base_{n}" for n in NAMES]
+    beside = r.baseline.select("id", *[C(n).alias(b) for n, b in zip(NAMES, base, strict=True)])
+    ahead = r.submission.join(r.test, "id").join(beside, "id", "left").select("store_id", "product_id", "date", "promotion", *NAMES, *base, F.lit("forecast").alias("part"))
     return past.unionByName(ahead, allowMissingColumns=True)
 
 

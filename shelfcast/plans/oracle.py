@@ -218,6 +218,7 @@ CTE["trail"] = (
 )
 CTE["test_rows"] = ("SELECT id, date, store_id, product_id, promotion FROM panel WHERE dataset_split = 'test'", ["panel"])
 CTE["history"] = ("SELECT date, store_id, product_id, promotion, sales_count FROM panel WHERE dataset_split = 'train'", ["panel"])
+CTE["seen"] = ("SELECT * REPLACE (CASE WHEN promotion AND (day(date) + store_id * 3 + length(product_id)) % 11 = 7 THEN 0 ELSE sales_count END AS sales_count) FROM history", ["history"])
 CTE["submission"] = (
     """SELECT id, p25, CASE k WHEN 0 THEN 0 WHEN 3 THEN p50 * 2.5 ELSE p50 END AS p50,
     CASE k WHEN 2 THEN p50 - 1 WHEN 3 THEN p75 * 2.5 ELSE p75 END AS p75, CASE k WHEN 1 THEN p95 * 4 WHEN 3 THEN p95 * 2.5 ELSE p95 END AS p95
@@ -260,14 +261,14 @@ RULES = {
 CTE["flags"] = (
     "\n  UNION ALL ".join(f"SELECT id, store_id, product_id, date, promotion, '{k}' AS type, '{v}' AS severity FROM rows_ WHERE {c}" for k, (c, v) in RULES.items())
     + """
-  UNION ALL SELECT CAST(NULL AS VARCHAR), store_id, product_id, date, promotion, 'promo_zero_history', 'warning' FROM history
+  UNION ALL SELECT CAST(NULL AS VARCHAR), store_id, product_id, date, promotion, 'promo_zero_history', 'warning' FROM seen
   WHERE promotion AND sales_count = 0 AND date >= (SELECT min(date) FROM test_rows) - 30 AND (store_id, product_id) IN (SELECT (store_id, product_id) FROM test_rows)""",
-    ["rows_", "history", "test_rows"],
+    ["rows_", "seen", "test_rows"],
 )
 CTE["chart"] = (
-    """SELECT store_id, product_id, date, promotion, sales_count, 'history' AS part, CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75, CAST(NULL AS DOUBLE) AS p95 FROM history WHERE date >= (SELECT min(date) FROM test_rows) - 30
-  UNION ALL SELECT store_id, product_id, date, promotion, NULL, 'forecast', p25, p50, p75, p95 FROM submission JOIN test_rows USING (id)""",
-    ["submission", "test_rows", "history"],
+    """SELECT store_id, product_id, date, promotion, sales_count, 'history' AS part, CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75, CAST(NULL AS DOUBLE) AS p95, CAST(NULL AS DOUBLE) AS base_p25, CAST(NULL AS DOUBLE) AS base_p50, CAST(NULL AS DOUBLE) AS base_p75, CAST(NULL AS DOUBLE) AS base_p95 FROM seen WHERE date >= (SELECT min(date) FROM test_rows) - 30
+  UNION ALL SELECT t.store_id, t.product_id, t.date, t.promotion, NULL, 'forecast', s.p25, s.p50, s.p75, s.p95, b.p25, b.p50, b.p75, b.p95 FROM submission s JOIN test_rows t ON t.id = s.id LEFT JOIN baseline b ON b.id = s.id""",
+    ["submission", "test_rows", "seen", "baseline"],
 )
 CTE["both_"] = (
     """SELECT store_id, product_id, p25, p50, p95, promotion, 0 AS exception, 0 AS critical FROM submission JOIN test_rows USING (id)

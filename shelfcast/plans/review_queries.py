@@ -9,6 +9,7 @@ from ..functions import metrics
 from ..operators import baseline, review, validation
 from ..operators.context import unmatched_events
 from ..sources.adapter import HORIZON, panel_sources
+from ..sources.shared import written
 from . import oracle, panel_queries
 from .oracle import _QS, with_ctes
 from .panel_queries import DATELESS, query, register, tidy
@@ -39,25 +40,20 @@ def derived_submission(panel: DataFrame) -> DataFrame:
     )
 
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
-
-
-def kept_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel, kept for the session: a review reads it under five roles.
-
-    It spills to disk where memory is short; finished panels are files.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PANELS:
-        _PANELS[key] = panel_sources(spark, sf_dir).panel.persist()
-    return _PANELS[key]
+def derived_history(panel: DataFrame) -> DataFrame:
+    """Past sales in which some promoted days sold nothing, so that rule 9 has work."""
+    k = (F.dayofmonth("date") + C("store_id") * 3 + F.length("product_id")) % 11
+    return _history(panel).withColumn("sales_count", F.when(C("promotion") & (k == 7), 0.0).otherwise(C("sales_count")))
 
 
 def derived_review(spark: SparkSession, sf_dir: str) -> review.Review:
-    s, panel = panel_sources(spark, sf_dir), kept_panel(spark, sf_dir)
-    test = _test(panel)
-    base = baseline.historical_quantiles(_history(panel), test)
-    return review.Review(derived_submission(panel), test, s.items, s.stores, s.events, base.select("id", *metrics.NAMES), _history(panel), STAPLES)
+    """Inputs of a review. Panel, submission and baseline are files, as in practice:
+    a review reads each of them under several roles."""
+    s = panel_sources(spark, sf_dir)
+    panel = written(s.panel, "panel")
+    submission = written(derived_submission(panel), "submission")
+    base = written(baseline.historical_quantiles(_history(panel), _test(panel)).select("id", *metrics.NAMES), "baseline")
+    return review.Review(submission, _test(panel), s.items, s.stores, s.events, base, derived_history(panel), STAPLES)
 
 
 FLAG = "id, store_id, product_id, date, promotion, type, severity"
@@ -165,7 +161,7 @@ def p18_product_search(spark, sf_dir):
     return review.product_search(panel_sources(spark, sf_dir).items, perishable=True, text="s")
 
 
-@query(with_ctes("SELECT store_id, product_id, date, promotion, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("sales_count", *_QS)) + ", part FROM chart", "chart"))
+@query(with_ctes("SELECT store_id, product_id, date, promotion, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("sales_count", *_QS, *(f"base_{n}" for n in _QS))) + ", part FROM chart", "chart"))
 def u2_chart_rows(spark, sf_dir):
     return tidy(review.chart_rows(derived_review(spark, sf_dir)))
 
@@ -189,14 +185,17 @@ def j22_traffic_lookup(spark, sf_dir):
 
 @query(
     with_ctes(
-        "SELECT true AS schema_ok, count(s.id) AS total, count(*) FILTER (WHERE s.id IS NULL) AS missing, count(*) FILTER (WHERE t.id IS NULL) AS extra, count(*) FILTER (WHERE s.id IS NOT NULL AND NOT (p25 <= p50 AND p50 <= p75 AND p75 <= p95)) AS monotonic_violations FROM submission s FULL JOIN test_rows t ON s.id = t.id",
+        "SELECT true AS schema_ok, count(s.id) AS total, count(*) FILTER (WHERE s.id IS NULL) AS missing, count(*) FILTER (WHERE t.id IS NULL) AS extra, count(*) FILTER (WHERE s.id IS NOT NULL AND NOT (p25 <= p50 AND p50 <= p75 AND p75 <= p95)) AS monotonic_violations FROM (SELECT CASE WHEN (day(date) + store_id * 3 + length(product_id)) % 11 = 5 THEN id || '?' ELSE id END AS id, p25, p50, p75, p95 FROM submission JOIN test_rows USING (id)) s FULL JOIN test_rows t ON s.id = t.id",
         "submission",
         "test_rows",
     )
 )
 def v15_submission_check(spark, sf_dir):
+    # some ids are wrong, each of them missing once and once too many
     p = panel_sources(spark, sf_dir).panel
-    return review.submission_check(derived_submission(p), _test(p))
+    k = (F.dayofmonth("date") + C("store_id") * 3 + F.length("product_id")) % 11
+    made = derived_submission(p).join(_test(p), "id")
+    return review.submission_check(made.select(F.when(k == 5, F.concat("id", F.lit("?"))).otherwise(C("id")).alias("id"), *metrics.NAMES), _test(p))
 
 
 @query(with_ctes("SELECT id, date, store_id, product_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in _QS) + " FROM baseline", "baseline"))
