@@ -33,7 +33,10 @@ def file_digest(path: str) -> str:
 
 
 def fingerprint(stage: str, inputs: list[str], code: list[str], parameters: dict) -> str:
-    told = {"version": VERSION, "stage": stage, "inputs": {p: file_digest(p) for p in sorted(inputs)}, "code": {os.path.basename(p): file_digest(p) for p in sorted(code)}, "parameters": parameters}
+    # code is named by its place below the folder that all of it shares: base names repeat
+    root = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in code]) if code else ""
+    named = {os.path.relpath(os.path.abspath(p), root): file_digest(p) for p in sorted(code)}
+    told = {"version": VERSION, "stage": stage, "inputs": {p: file_digest(p) for p in sorted(inputs)}, "code": named, "parameters": parameters}
     return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
 
 

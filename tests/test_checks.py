@@ -36,3 +36,21 @@ def test_a_strict_day_is_refused_when_it_does_not_exist(spark):
 
     with pytest.raises(Exception, match="(?i)date|parse"):
         spark.createDataFrame([("2026-13-01",)], "date string").select(files.parse_date()).collect()
+
+
+def test_fingerprint_sees_every_code_file_of_one_name(tmp_path):
+    from shelfcast.plans.cache import fingerprint
+
+    code = []
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "__init__.py").write_text(folder)
+        code.append(str(tmp_path / folder / "__init__.py"))
+    before = fingerprint("stage", [], code, {})
+    assert before == fingerprint("stage", [], code[::-1], {})
+    for path in code:
+        kept = open(path).read()
+        open(path, "w").write("changed")
+        assert fingerprint("stage", [], code, {}) != before
+        open(path, "w").write(kept)
+    assert fingerprint("stage", [], [], {}) == fingerprint("stage", [], [], {})
