@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compaction, decontaminate, itq, lm, ngram_join, packing, quality, substring, toxicity
+from . import audit, chat, compaction, decontaminate, itq, lm, ngram_join, packing, quality, substring, syncmers, toxicity, variants
 from .common import read, shared_dir
 from .learn import held_out
 
@@ -124,3 +124,56 @@ def op10_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_size_tiered_compaction"] = """
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM documents
 """
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(docs, read(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = r"""
+WITH facts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), marks AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(words) < 200 AS INTEGER)
+    + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER)
+    + 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS INTEGER)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+    + 16 * CAST(coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS INTEGER) AS bits
+  FROM facts LEFT JOIN marks USING (doc_id)
+), filters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS earlier
+  FROM orders, (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step)
+), counts AS (
+  SELECT part, bit, earlier,
+    count(*) FILTER (bits & (earlier | bit) = 0) AS kept,
+    count(*) FILTER (bits & bit > 0 AND bits & earlier = 0) AS removed,
+    count(*) FILTER (bits & bit > 0 AND bits & earlier > 0) AS redundant,
+    count(*) FILTER (bits = bit) AS unique_fails,
+    count(*) FILTER (bits & bit > 0 AND bits & earlier = 0 AND good) AS good_lost,
+    count(*) FILTER (bits & bit > 0 AND bits & earlier = 0 AND toxic) AS toxic_lost
+  FROM fails, (SELECT DISTINCT bit, earlier FROM steps) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counts JOIN steps USING (bit, earlier)
+"""
+
+
+@query
+def op13_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
