@@ -29,21 +29,25 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--log-sales", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--rounds", type=int, default=60)
     p.add_argument("--learning-rate", type=float, default=0.1)
-    p.add_argument("--depth", type=int, default=4)
+    p.add_argument("--leaves", type=int, default=16)
+    p.add_argument("--depth", type=int, default=5, help="levels of a tree, at most")
+    p.add_argument("--feature-fraction", type=float, default=1.0)
+    p.add_argument("--bagging-fraction", type=float, default=1.0)
+    p.add_argument("--bagging-freq", type=int, default=0)
     p.add_argument("--min-leaf", type=int, default=20)
     p.add_argument("--context-groups", default="promotion,calendar")
     p.add_argument("--output", default="submission")
     p.add_argument("--force", action="store_true")
     p.add_argument("--processed-data", help="a merged panel to forecast from, instead of building one")
     p.add_argument("--forecast-strategy", choices=forecasting.STRATEGIES, default="recursive")
-    p.add_argument("--eval-windows", type=int, default=0, help="rolling windows to judge before the forecast (default: none)")
+    p.add_argument("--eval-windows", type=int, default=3, help="rolling windows to judge before the forecast")
     p.add_argument("--eval-holdout-days", type=int, default=14)
     p.add_argument("--train-days", type=int, help="days before the latest window (default: all but its holdout)")
     p.add_argument("--skip-holdout", action="store_true", help="forecast only")
     p.add_argument("--shap", action="store_true", help="write explanations beside the submission")
     args = p.parse_args(argv)
     args.feature_groups = features.parse_groups(args.features)
-    args.config = BoostConfig(rounds=args.rounds, learning_rate=args.learning_rate, depth=args.depth, min_leaf=args.min_leaf, seed=args.seed, log_sales=args.log_sales)
+    args.config = BoostConfig(rounds=args.rounds, learning_rate=args.learning_rate, leaves=args.leaves, depth=args.depth, min_leaf=args.min_leaf, seed=args.seed, log_sales=args.log_sales, feature_fraction=args.feature_fraction, bagging_fraction=args.bagging_fraction, bagging_freq=args.bagging_freq)
     if args.shap and args.forecast_strategy != "recursive":
         p.error("--shap explains the recursive strategy only")
     return args

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import NAMES, QUANTILES
+from ..functions.metrics import NAMES, QUANTILES, log_pinball
 from ..sources.schemas import SERIES
-from .features import nearest_quantile
+from .features import forecaster_columns, nearest_quantile
+from .stockout import add_stockout_flag
 
 C = F.col
+#: Fixed value: days of history that a row needs.
+HISTORY = 28
 
 
 def chronological_split(df: DataFrame, holdout: int) -> tuple[DataFrame, DataFrame]:
@@ -44,13 +47,33 @@ def trailing_quantiles(df: DataFrame, n: int = 56) -> DataFrame:
     return found.select(*SERIES, *[nearest_quantile(C("_s"), q).alias(m) for m, q in zip(NAMES, QUANTILES, strict=True)])
 
 
-def direct_supervised(df: DataFrame, leads: list[int], lags: tuple[int, ...] = (1, 7, 14, 28)) -> DataFrame:
-    """Targets with the lags known ``lead`` days before: one row a target and lead."""
+def direct_supervised(df: DataFrame, leads: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Targets with the nine sales features as known ``lead`` days before: one row a target and lead.
+
+    The features of a target at lead h are those of the day h - 1 before it, which
+    look back from there, so nothing sold after the origin is seen. The columns ``keep``
+    are those of the target's day.
+    """
+    flagged = add_stockout_flag(df if "dataset_split" in df.columns else df.withColumn("dataset_split", F.lit("train")))
     w = Window.partitionBy(*SERIES).orderBy("date")
-    columns = [F.struct(F.lit(h).alias("lead"), *[F.lag("sales_count", k + h - 1).over(w).alias(f"sales_lag_{k}") for k in lags]) for h in leads]
-    first = F.row_number().over(w)
-    rows = df.select("date", *SERIES, "sales_count", first.alias("_n"), F.array(*columns).alias("_l")).select("date", *SERIES, "sales_count", "_n", F.explode("_l").alias("x"))
-    return rows.filter(C("_n") >= max(lags) + C("x.lead")).select("date", *SERIES, "sales_count", "x.*")
+    rows = flagged.select("date", *SERIES, "sales_count", *keep, F.row_number().over(w).alias("_n"), F.struct(*[c.alias(n) for n, c in forecaster_columns(w).items()]).alias("_f"))
+    told = F.array(*[F.struct(F.lit(h).alias("lead"), F.lag("_f", h - 1).over(w).alias("f")) for h in leads])
+    rows = rows.select("date", *SERIES, "sales_count", *keep, "_n", told.alias("_l")).select("date", *SERIES, "sales_count", *keep, "_n", F.explode("_l").alias("x"))
+    return rows.filter(C("_n") >= HISTORY + C("x.lead")).select("date", *SERIES, "sales_count", *keep, "x.lead", "x.f.*")
+
+
+def backtest_losses(df: DataFrame, windows: int = 3, holdout: int = 28) -> DataFrame:
+    """window, rows and mean log-pinball losses of historical quantiles, all windows in one job.
+
+    Window 0 ends on the last day. A series is forecast in a window by the
+    quantiles of its sales before the window's holdout days; one without any is left out.
+    """
+    dealt = backtest_windows(df.filter("sales_count IS NOT NULL"), windows, holdout)
+    past = dealt.filter("part = 'train'").groupBy("window", *SERIES).agg(F.percentile("sales_count", list(QUANTILES)).alias("_q"))
+    rows = dealt.filter("part = 'holdout'").join(past, ["window", *SERIES])
+    losses = {n: F.avg(log_pinball(C("sales_count"), C("_q")[i], q)) for i, (n, q) in enumerate(zip(NAMES, QUANTILES, strict=True))}
+    out = rows.groupBy("window").agg(F.count("*").alias("n_rows"), *[c.alias(f"pinball_{n}") for n, c in losses.items()])
+    return out.withColumn("mean_pinball", sum(C(f"pinball_{n}") for n in NAMES) / len(NAMES))
 
 
 def backtest_windows(df: DataFrame, windows: int, holdout: int) -> DataFrame:

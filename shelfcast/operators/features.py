@@ -228,16 +228,21 @@ def training_features(merged: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return as_float(features(train, groups, ["date", "store_id", "product_id", "id", "sales_count"]))
 
 
-def forecaster_features(df: DataFrame) -> DataFrame:
+def forecaster_columns(w: WindowSpec) -> dict[str, Column]:
     """Nine sales features as the forecaster takes them: population deviations, and
     the stockout flag of the day before, judged on the days before that."""
-    w = Window.partitionBy(*SERIES).orderBy("date")
     s = C("sales_count")
     out = {f"sales_lag_{k}": F.lag(s, k).over(w) for k in (1, 7, 14, 28)}
     for n in (7, 28):
         out |= {f"sales_mean_{n}": F.avg(s).over(_past(w, n)), f"sales_std_{n}": F.stddev_pop(s).over(_past(w, n))}
     out["likely_stockout_lag_1"] = F.lag(C("is_likely_stockout").cast("int"), 1).over(w)
-    return df.select("date", *SERIES, *[c.alias(n) for n, c in out.items()])
+    return out
+
+
+def forecaster_features(df: DataFrame) -> DataFrame:
+    """The key and the nine sales features."""
+    columns = forecaster_columns(Window.partitionBy(*SERIES).orderBy("date"))
+    return df.select("date", *SERIES, *[c.alias(n) for n, c in columns.items()])
 
 
 def unique_panel(df: DataFrame) -> DataFrame:

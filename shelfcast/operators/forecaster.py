@@ -1,8 +1,9 @@
-"""Quantile forecasts: models fitted in parallel, recursion inside each series."""
+"""Quantile forecasts: boosted models, recursion over many series at once, direct leads."""
 
 from __future__ import annotations
 
-import pickle
+import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,15 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import NAMES, QUANTILES
 from ..sources.schemas import SERIES
-from .baseline import direct_supervised, historical_quantiles
+from ..sources.shared import importable
+from .baseline import HISTORY, direct_supervised, historical_quantiles
+from .boosting import fit_models
 from .features import forecaster_features
-from .learner import MAX_ROWS, BoostConfig, Boosted, fit
+from .learner import BoostConfig, Boosted
 from .stockout import LOOKBACK, POSITIVE_DAYS, POSITIVE_RATE, TYPICAL_SALES, add_stockout_flag
 
 C = F.col
-#: The sales features in the order models take them, and the days they need.
+#: The sales features in the order models take them.
 SALES = ["sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28", "sales_mean_7", "sales_std_7", "sales_mean_28", "sales_std_28", "likely_stockout_lag_1"]
-HISTORY = 28
+#: Context columns that are names of things, not amounts.
+CATEGORICAL = ["store_id", "product_family", "product_class", "city", "department", "store_type", "store_cluster"]
+#: Rows of history and horizon in one group of the recursion, about: some thousand series.
+GROUP_ROWS = 200_000
 #: Context groups of the forecaster and their columns.
 CONTEXT = {
     "promotion": ["promotion"],
@@ -49,18 +55,25 @@ def parse_context(raw: str) -> tuple[str, ...]:
     return tuple(g for g in CONTEXT if g in asked)
 
 
-def last_day_flag(history: np.ndarray) -> bool:
-    """The stockout rule for the last value, judged on the days before it."""
-    past = history[:-1][-LOOKBACK:]
-    positive = past[past > 0]
-    return bool(len(history) and history[-1] == 0 and len(positive) >= POSITIVE_DAYS and np.median(positive) >= TYPICAL_SALES and len(positive) / len(past) >= POSITIVE_RATE)
+def last_day_flags(history: np.ndarray) -> np.ndarray:
+    """The stockout rule for the last day of each series, judged on the days before it.
+
+    A row is a series, NaN stands where it has no day yet.
+    """
+    past = history[:, -LOOKBACK - 1 : -1]
+    sold = np.where(past > 0, past, np.nan)
+    positive, days = (past > 0).sum(axis=1), (~np.isnan(past)).sum(axis=1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # series without a sale have no median
+        typical = np.nanmedian(sold, axis=1) if past.shape[1] else np.full(len(past), np.nan)
+    return (history[:, -1] == 0) & (positive >= POSITIVE_DAYS) & (typical >= TYPICAL_SALES) & (positive >= POSITIVE_RATE * days)
 
 
-def features_for_next(history: np.ndarray) -> list[float]:
-    """Sales features of the day after ``history``."""
-    h = np.asarray(history, float)
-    lag = [h[-k] for k in (1, 7, 14, 28)]
-    return [*lag, h[-7:].mean(), h[-7:].std(), h[-28:].mean(), h[-28:].std(), float(last_day_flag(h))]
+def features_for_next(history: np.ndarray) -> np.ndarray:
+    """[series, feature]: sales features of the day after ``history`` [series, day]."""
+    h = np.atleast_2d(np.asarray(history, float))
+    week, month = h[:, -7:], h[:, -28:]
+    return np.column_stack([*(h[:, -k] for k in (1, 7, 14, 28)), week.mean(axis=1), week.std(axis=1), month.mean(axis=1), month.std(axis=1), last_day_flags(h)])
 
 
 def supervised(panel: DataFrame, context: list[str]) -> DataFrame:
@@ -75,40 +88,12 @@ def supervised(panel: DataFrame, context: list[str]) -> DataFrame:
     return rows.filter("sales_count is not null").select("date", *SERIES, "sales_count", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in SALES + context])
 
 
-def _bounded(rows: DataFrame, most: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64("date", *SERIES), "date", *SERIES).limit(most)
-
+def train_models(rows: DataFrame, columns: list[str], config: BoostConfig = BoostConfig()) -> dict[int, list[Boosted]]:
+    """Models by lead, in the order of the quantiles, fitted to all rows.
 
-def train_models(rows: DataFrame, columns: list[str], config: BoostConfig = BoostConfig(), most: int | None = MAX_ROWS) -> DataFrame:
-    """(lead, quantile, rows, model): one task a model, on a bounded sample a lead.
-
-    ``rows`` may have a lead column; without one the lead is 0. With ``most`` None
-    all rows are fitted, and a task holds those of its lead.
+    ``rows`` may have a lead column; without one the lead is 0.
     """
-    if "lead" not in rows.columns:
-        rows = rows.withColumn("lead", F.lit(0))
-    sample = rows if most is None else None
-    leads = [] if most is None else [r.lead for r in rows.select("lead").distinct().orderBy("lead").collect()]
-    for lead in leads:
-        part = _bounded(rows.filter(C("lead") == lead), most)
-        sample = part if sample is None else sample.unionByName(part)
-    tasks = sample.withColumn("quantile", F.explode(F.array(*map(F.lit, QUANTILES))))
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["date", *SERIES])
-        y = part["sales_count"].to_numpy(float)
-        model = fit(part[columns].to_numpy(float), np.log1p(y) if config.log_sales else y, key[1], config)
-        return pd.DataFrame({"lead": [key[0]], "quantile": [key[1]], "n_rows": [len(part)], "model": [model.dumps()]})
-
-    return tasks.groupBy("lead", "quantile").applyInPandas(run, "lead int, quantile double, n_rows long, model binary")
-
-
-def collected(models: DataFrame) -> dict[int, list[Boosted]]:
-    """Models by lead, in the order of the quantiles; a model has a bounded size."""
-    got: dict[int, dict[float, Boosted]] = {}
-    for r in models.collect():
-        got.setdefault(r.lead, {})[r.quantile] = pickle.loads(r.model)
-    return {k: [v[q] for q in QUANTILES] for k, v in got.items()}
+    return fit_models(rows, columns, ["date", *SERIES], config, [c for c in columns if c in CATEGORICAL])
 
 
 def coherent(raw: np.ndarray, log_sales: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -121,56 +106,70 @@ def coherent(raw: np.ndarray, log_sales: bool = True) -> tuple[np.ndarray, np.nd
 _OUT = "date date, store_id int, product_id string, " + ", ".join(f"{n} double" for n in NAMES)
 
 
-def recursive_rows(panel: DataFrame, models: list[Boosted], context: list[str], log_sales: bool = True) -> DataFrame:
+def recursive_rows(panel: DataFrame, models: dict[int, list[Boosted]], context: list[str], log_sales: bool = True) -> DataFrame:
     """Forecasts of the days without sales and the features that each was made from.
 
-    Each day's median feeds the next. Series depend on their own past only, so each
-    is one group: its last days and its horizon. The dependent steps loop inside the
-    group. A feature that is a key stays the key.
+    Each day's median feeds the next. A group holds the last days and the horizon
+    of many series; one day of all of them is a matrix, so a model is called once a
+    day and group. ``panel`` may have a lead column that tells which models a row is for, as
+    windows of an evaluation have; without one the lead is 0. A feature that is a key stays the key.
     """
+    importable(panel.sparkSession)
     features = [c for c in SALES + context if c not in SERIES]
-    rows = panel.select("date", *SERIES, "sales_count", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in context])
-    last = panel.filter("sales_count is not null").agg(F.max("date").alias("_last"))
-    near = rows.crossJoin(F.broadcast(last)).filter(C("date") > F.date_sub("_last", 2 * HISTORY + 1)).drop("_last")
+    panel = panel if "lead" in panel.columns else panel.withColumn("lead", F.lit(0))
+    rows = panel.select("lead", "date", *SERIES, "sales_count", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in context])
+    last = panel.filter("sales_count is not null").groupBy("lead").agg(F.max("date").alias("_last"))
+    near = rows.join(F.broadcast(last), "lead").filter(C("date") > F.date_sub("_last", 2 * HISTORY + 1)).drop("_last")
+    groups = max(1, math.ceil(near.count() / GROUP_ROWS), int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = near.withColumn("_group", F.pmod(F.xxhash64("lead", *SERIES), groups))
+    spec = "lead int, " + _OUT + "".join(f", `{c}` double" for c in features)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date")
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        lead = key[1]
+        part = part.sort_values([*SERIES, "date"]).reset_index(drop=True)
+        series = part.groupby(SERIES, sort=False).ngroup().to_numpy()
+        n = series.max() + 1
         known = part["sales_count"].notna().to_numpy()
-        history = part["sales_count"].to_numpy(float)[known].tolist()
-        history = [0.0] * max(0, HISTORY - len(history)) + history
+        history = np.full((n, 2 * HISTORY + 1), np.nan)
+        past = part[known].groupby(series[known], sort=False)
+        back = past.cumcount(ascending=False).to_numpy()
+        take = back < history.shape[1]
+        history[series[known][take], -1 - back[take]] = part["sales_count"].to_numpy(float)[known][take]
+        history[:, -HISTORY:] = np.nan_to_num(history[:, -HISTORY:], nan=0.0)
         ahead = part[~known]
-        out, seen = [], []
-        for x in ahead[[f"x_{c}" for c in context]].to_numpy(float) if context else np.empty((len(ahead), 0)):
-            row = np.array([features_for_next(np.array(history[-2 * HISTORY - 1 :])) + list(x)])
-            values, _ = coherent(np.array([[m.predict(row)[0] for m in models]]), log_sales)
-            out.append(values[0])
-            seen.append(row[0])
-            history.append(values[0][1])
+        of, step = series[~known], ahead.groupby(series[~known], sort=False).cumcount().to_numpy()
+        x = ahead[[f"x_{c}" for c in context]].to_numpy(float) if context else np.empty((len(ahead), 0))
+        out, seen = np.zeros((len(ahead), len(NAMES))), np.zeros((len(ahead), len(SALES) + len(context)))
+        for day in range(step.max() + 1 if len(ahead) else 0):
+            at = np.flatnonzero(step == day)
+            seen[at] = np.column_stack([features_for_next(history[of[at]]), x[at]])
+            out[at], _ = coherent(np.column_stack([m.predict(seen[at]) for m in models[lead]]), log_sales)
+            history[of[at]] = np.column_stack([history[of[at], 1:], out[at, 1]])
         made = ahead[["date", *SERIES]].reset_index(drop=True)
-        told = pd.DataFrame(np.array(seen).reshape(-1, len(SALES + context)), columns=SALES + context)[features]
-        return pd.concat([made, pd.DataFrame(np.array(out).reshape(-1, len(NAMES)), columns=list(NAMES)), told], axis=1)
+        made.insert(0, "lead", lead)
+        told = pd.DataFrame(seen, columns=SALES + context)[features]
+        return pd.concat([made, pd.DataFrame(out, columns=list(NAMES)), told], axis=1)
 
-    return near.groupBy(*SERIES).applyInPandas(run, _OUT + "".join(f", `{c}` double" for c in features))
+    return near.groupBy("_group", "lead").applyInPandas(run, spec)
 
 
-def recursive_forecast(panel: DataFrame, models: list[Boosted], context: list[str], log_sales: bool = True) -> DataFrame:
+def recursive_forecast(panel: DataFrame, models: dict[int, list[Boosted]], context: list[str], log_sales: bool = True) -> DataFrame:
     """Forecast the days without sales, feeding each day's median to the next."""
     return recursive_rows(panel, models, context, log_sales).select("date", *SERIES, *NAMES)
 
 
 def direct_rows(panel: DataFrame, leads: list[int], context: list[str]) -> DataFrame:
-    """Lags as known on the origin, context of the target day, one row a target and lead."""
-    lags = direct_supervised(panel, leads)
-    return lags.join(panel.select("date", *SERIES, *context), ["date", *SERIES])
+    """Sales features as known on the origin, context of the target day, one row a target and lead."""
+    rows = direct_supervised(panel, leads, tuple(c for c in context if c not in SERIES))
+    return rows.select("date", *SERIES, "sales_count", "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in SALES + context if c not in SERIES])
 
 
 def direct_forecast(panel: DataFrame, leads: list[int], models: dict[int, list[Boosted]], columns: list[str], log_sales: bool = True) -> DataFrame:
     """Forecast each horizon day by the models of its lead, from what the last day knew."""
+    importable(panel.sparkSession)
     last = panel.filter("sales_count is not null").agg(F.max("date").alias("_last"))
-    rows = direct_supervised(panel, leads).crossJoin(F.broadcast(last)).filter(F.datediff("date", "_last") == C("lead"))
-    others = [c for c in columns if c not in rows.columns]
-    rows = rows.join(panel.select("date", *SERIES, *others), ["date", *SERIES]) if others else rows
-    rows = rows.select("date", *SERIES, "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns if c not in SERIES])
+    rows = direct_rows(panel, leads, [c for c in columns if c not in SALES])
+    rows = rows.crossJoin(F.broadcast(last)).filter(F.datediff("date", "_last") == C("lead")).drop("_last", "sales_count")
 
     def run(parts):
         for part in parts:
@@ -200,7 +199,7 @@ def _historical(train, rows, columns, config):
 
 def _boosted(train, rows, columns, config):
     filled = [F.coalesce(C(c).cast("double"), F.lit(-1.0)).alias(c) for c in columns]
-    models = collected(train_models(train.select("date", *SERIES, "sales_count", *filled), columns, config))[0]
+    models = train_models(train.select("date", *SERIES, "sales_count", *filled), columns, config)[0]
     numbers = [f"_x{k}" for k in range(len(columns))]
     wide = rows.select("*", *[F.coalesce(C(c).cast("double"), F.lit(-1.0)).alias(n) for c, n in zip(columns, numbers, strict=True)])
     schema = wide.drop(*numbers).schema
@@ -227,7 +226,7 @@ def _optional(module: str):
 
 
 #: Models by name; more can be registered.
-PREDICTORS: dict[str, Predictor] = {p.name: p for p in (Predictor("historical", _historical), Predictor("boosted", _boosted), Predictor("lightgbm", _boosted), Predictor("autogluon", _optional("autogluon")))}
+PREDICTORS: dict[str, Predictor] = {p.name: p for p in (Predictor("historical", _historical), Predictor("boosted", _boosted), *(Predictor(n, _optional(n)) for n in ("lightgbm", "autogluon")))}
 
 
 def predictor(name: str) -> Predictor:

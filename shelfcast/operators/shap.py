@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import QUANTILES
+from ..sources.shared import importable
 from .forecaster import CONTEXT, SALES, coherent
 from .learner import Boosted
 
@@ -27,6 +28,7 @@ BUCKETS = {
 def shap_long(rows: DataFrame, models: list[Boosted], columns: list[str], keys: list[str], log_sales: bool = True) -> DataFrame:
     """Four rows a key: quantile, the quantile whose model it comes from after sorting,
     that model's value, base and contribution a feature, and the value submitted."""
+    importable(rows.sparkSession)
     spec = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys).dtypes) + ", quantile double, source_quantile double, raw_model double, base_value double, submitted double, " + ", ".join(f"shap_{c} double" for c in columns)
 
     def run(parts):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import NAMES, QUANTILES, is_monotonic
+from ..functions.metrics import NAMES, QUANTILES, is_monotonic, log_pinball
 from ..operators import forecaster, shap
 from ..operators.learner import BoostConfig, Boosted
 from ..operators.validation import is_finite
@@ -16,10 +16,6 @@ from ..sources.schemas import SERIES
 
 C = F.col
 STRATEGIES = ("recursive", "direct")
-#: What the direct models know of past sales.
-DIRECT = ["sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28"]
-
-
 def horizon(panel: DataFrame) -> int:
     """Days after the last one with sales."""
     return panel.agg(F.datediff(F.max("date"), F.max(F.when(C("sales_count").isNotNull(), C("date")))).alias("n")).first().n or 0
@@ -27,31 +23,34 @@ def horizon(panel: DataFrame) -> int:
 
 def fitted(panel: DataFrame, columns: list[str], strategy: str, days: int, config: BoostConfig) -> dict[int, list[Boosted]]:
     """Models by lead: those of the next day under lead 0, or one set a lead from 1 on."""
+    return forecaster.train_models(_rows(panel, columns, strategy, days), forecaster.SALES + columns, config)
+
+
+def _rows(panel: DataFrame, columns: list[str], strategy: str, days: int) -> DataFrame:
+    """Training rows of a strategy: lead, key, target, features."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
     if strategy == "recursive":
-        return forecaster.collected(forecaster.train_models(forecaster.supervised(panel, columns), forecaster.SALES + columns, config))
-    others = [c for c in columns if c not in SERIES]
-    rows = forecaster.direct_rows(panel, list(range(1, days + 1)), others).filter("sales_count is not null")
-    rows = rows.select("date", *SERIES, "sales_count", "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in DIRECT + others])
-    return forecaster.collected(forecaster.train_models(rows, DIRECT + columns, config))
+        return forecaster.supervised(panel, columns).withColumn("lead", F.lit(0))
+    return forecaster.direct_rows(panel, list(range(1, days + 1)), columns).filter("sales_count is not null")
 
 
 def forecast(panel: DataFrame, models: dict[int, list[Boosted]], columns: list[str], strategy: str, days: int, config: BoostConfig) -> DataFrame:
     if strategy == "direct":
-        return forecaster.direct_forecast(panel, list(range(1, days + 1)), models, DIRECT + columns, config.log_sales)
-    return forecaster.recursive_forecast(panel, models[0], columns, config.log_sales)
+        return forecaster.direct_forecast(panel, list(range(1, days + 1)), models, forecaster.SALES + columns, config.log_sales)
+    return forecaster.recursive_forecast(panel, models, columns, config.log_sales)
 
 
-def _pinball(q: float, name: str) -> Column:
-    e = C("sales_count") - C(name)
-    return F.greatest(e * q, e * (q - 1))
+#: Leads of one window are numbered from the window times this.
+_WINDOW = 10_000
 
 
-def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int, holdout: int, strategy: str = "recursive", config: BoostConfig = BoostConfig(), train_days: int | None = None) -> dict:
-    """Losses of forecasts made from rolling origins, the latest after ``train_days``.
+def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int = 3, holdout: int = 28, strategy: str = "recursive", config: BoostConfig = BoostConfig(), train_days: int | None = None) -> dict:
+    """Log-pinball losses of forecasts made from rolling origins, the latest after ``train_days``.
 
-    Sales from an origin on are taken away before anything is computed, so no
+    All windows are fitted side by side and judged in one job. A training row's features
+    look back only, so a window takes those of targets before its origin; its
+    forecasts start from a panel whose sales from the origin on are taken away, so no
     feature, flag or model of a window has seen its held-out days. By default the
     last window ends on the last day with sales.
     """
@@ -64,18 +63,29 @@ def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int, holdo
     origins = [latest - k * holdout for k in reversed(range(windows))]
     if origins[0] <= forecaster.HISTORY or latest + holdout > days:
         raise ValueError("the windows do not fit within the history")
+    starts = [span.first + timedelta(days=origin) for origin in origins]
+    training = known.withColumn("dataset_split", F.lit("train"))
+    upto = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(start).alias("start")) for w, start in enumerate(starts)])
+    rows = _rows(training, columns, strategy, holdout).withColumn("_w", F.explode(upto)).filter(C("date") < C("_w.start"))
+    models = forecaster.train_models(rows.withColumn("lead", C("_w.w") * _WINDOW + C("lead")).drop("_w"), forecaster.SALES + columns, config)
+    parts = [
+        known.filter(C("date") < F.lit(start + timedelta(days=holdout))).withColumns({"dataset_split": F.when(C("date") < F.lit(start), "train").otherwise("test"), "sales_count": F.when(C("date") < F.lit(start), C("sales_count"))})
+        for start in starts
+    ]
+    if strategy == "recursive":
+        panels = reduce(DataFrame.unionByName, [p.withColumn("lead", F.lit(w * _WINDOW)) for w, p in enumerate(parts)])
+        made = forecaster.recursive_rows(panels, models, columns, config.log_sales).withColumn("window", F.floor(C("lead") / _WINDOW))
+    else:
+        mine = [{lead - w * _WINDOW: m for lead, m in models.items() if lead // _WINDOW == w} for w in range(windows)]
+        made = reduce(DataFrame.unionByName, [forecast(p, mine[w], columns, strategy, holdout, config).withColumn("window", F.lit(w)) for w, p in enumerate(parts)])
+    actual = known.select(C("date"), *[C(c).cast(t).alias(c) for c, t in (("store_id", "int"), ("product_id", "string"))], C("sales_count"))
+    losses = [F.avg(log_pinball(C("sales_count"), C(n), q)).alias(f"pinball_{n}") for n, q in zip(NAMES, QUANTILES, strict=True)]
+    found = {r.window: r.asDict() for r in made.join(actual, ["date", *SERIES]).groupBy("window").agg(F.count("*").alias("n_rows"), *losses).collect()}
     told = []
-    for origin in origins:
-        start = span.first + timedelta(days=origin)
-        past = C("date") < F.lit(start)
-        part = known.filter(C("date") < F.lit(start + timedelta(days=holdout)))
-        part = part.withColumns({"dataset_split": F.when(past, "train").otherwise("test"), "sales_count": F.when(past, C("sales_count"))})
-        made = forecast(part, fitted(part, columns, strategy, holdout, config), columns, strategy, holdout, config)
-        actual = known.select(C("date"), *[C(c).cast(t).alias(c) for c, t in (("store_id", "int"), ("product_id", "string"))], C("sales_count"))
-        got = made.join(actual, ["date", *SERIES]).agg(F.count("*").alias("n_rows"), *[F.avg(_pinball(q, n)).alias(f"pinball_{n}") for n, q in zip(NAMES, QUANTILES, strict=True)]).first().asDict()
+    for w, start in enumerate(starts):
+        got = {k: v for k, v in found[w].items() if k != "window"}
         got["mean_pinball"] = sum(got[f"pinball_{n}"] for n in NAMES) / len(NAMES)
-        got |= {"train_end": str(start - timedelta(days=1)), "holdout_start": str(start), "holdout_end": str(start + timedelta(days=holdout - 1))}
-        told.append(got)
+        told.append(got | {"train_end": str(start - timedelta(days=1)), "holdout_start": str(start), "holdout_end": str(start + timedelta(days=holdout - 1))})
     means = {k: sum(w[k] for w in told) / windows for k in (*(f"pinball_{n}" for n in NAMES), "mean_pinball")}
     return means | {
         "train_start": str(span.first),
@@ -114,6 +124,6 @@ def guarded_submission(made: DataFrame, test: DataFrame) -> DataFrame:
 def sidecar(panel: DataFrame, models: list[Boosted], columns: list[str], config: BoostConfig) -> DataFrame:
     """Explanations of each step of the recursive forecast: four rows a test id."""
     keys = ["date", *SERIES]
-    rows = forecaster.recursive_rows(panel, models, columns, config.log_sales).join(panel.select("id", *keys), keys)
+    rows = forecaster.recursive_rows(panel, {0: models}, columns, config.log_sales).join(panel.select("id", *keys), keys)
     told = shap.shap_long(rows, models, forecaster.SALES + columns, ["id", *keys], config.log_sales)
     return told.withColumn("target_transform", F.lit("log1p" if config.log_sales else "identity"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forecaster, shap
-from ..operators.learner import BoostConfig
+from ..functions.metrics import NAMES
+from ..operators import boosting, forecaster, shap
+from ..operators.learner import BoostConfig, Boosted
 from ..sources.adapter import HORIZON, panel_sources
 from .oracle import with_ctes
 from .panel_queries import DATELESS, query, tidy
@@ -23,42 +24,54 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 X = ["promotion", "day_of_week"]
 
 
-@query()
-def m10_quantile_boosting(spark, sf_dir):
-    models = forecaster.train_models(forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG, None)
-    return models.select("lead", "quantile", "n_rows", F.length("model").cast("long").alias("bytes"))
+_FITTED: dict[tuple, dict] = {}
 
 
-def _models(panel):
-    return forecaster.collected(forecaster.train_models(forecaster.supervised(panel, X), forecaster.SALES + X, CONFIG, None))[0]
+def _models(spark: SparkSession, sf_dir: str) -> dict[int, list[Boosted]]:
+    """Models of the next day, fitted once a session and folder: several queries read them."""
+    key = (spark.sparkContext.applicationId, sf_dir, CONFIG)
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = forecaster.train_models(forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG)
+    return _FITTED[key]
+
+
+@query()
+def m10_quantile_boosting(spark, sf_dir):
+    """The fitted models, one row a node."""
+    return boosting.model_table(spark, _models(spark, sf_dir), forecaster.SALES + X)
 
 
 @query()
 def m13_recursive_forecast(spark, sf_dir):
-    p = _panel(spark, sf_dir)
-    return tidy(forecaster.recursive_forecast(p, _models(p), X))
+    return tidy(forecaster.recursive_forecast(_panel(spark, sf_dir), _models(spark, sf_dir), X))
 
 
 @query()
 def m14_direct_forecast(spark, sf_dir):
     p, leads = _panel(spark, sf_dir), list(range(1, HORIZON + 1))
-    columns = ["sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28", *X]
-    rows = forecaster.direct_rows(p, leads, X).filter("sales_count is not null")
-    rows = rows.select("date", "store_id", "product_id", "sales_count", "lead", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    models = forecaster.collected(forecaster.train_models(rows, columns, CONFIG, None))
-    return tidy(forecaster.direct_forecast(p, leads, models, columns))
+    models = forecaster.train_models(forecaster.direct_rows(p, leads, X).filter("sales_count is not null"), forecaster.SALES + X, CONFIG)
+    return tidy(forecaster.direct_forecast(p, leads, models, forecaster.SALES + X))
 
 
-def _told(panel: DataFrame) -> DataFrame:
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explanations of every step of the recursive forecast: each test id and quantile."""
-    models, keys = _models(panel), ["date", "store_id", "product_id"]
+    panel, models, keys = _panel(spark, sf_dir), _models(spark, sf_dir), ["date", "store_id", "product_id"]
     rows = forecaster.recursive_rows(panel, models, X).join(panel.select("id", *keys), keys)
-    return shap.shap_long(rows, models, forecaster.SALES + X, ["id", *keys])
+    return shap.shap_long(rows, models[0], forecaster.SALES + X, ["id", *keys])
+
+
+@query()
+def m12_scores_as_columns(spark, sf_dir):
+    """Raw forecasts of the next day for every row with a history, by column expressions."""
+    rows = forecaster.supervised(_panel(spark, sf_dir), X)
+    got = boosting.scored(rows, _models(spark, sf_dir)[0], forecaster.SALES + X, [f"raw_{n}" for n in NAMES])
+    return tidy(got.select("date", "store_id", "product_id", *[f"raw_{n}" for n in NAMES]))
 
 
 @query()
 def m18_shap_long(spark, sf_dir):
-    return tidy(_told(_panel(spark, sf_dir)))
+    return tidy(_told(spark, sf_dir))
 
 
 FEATURES = [c for cols in shap.BUCKETS.values() for c in cols]
@@ -89,7 +102,7 @@ def m19_shap_buckets(spark, sf_dir):
 
 @query(with_ctes(f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS off FROM ({_ROWS})", "test_rows"))
 def v13_additivity(spark, sf_dir):
-    return shap.additivity(_told(_panel(spark, sf_dir)))
+    return shap.additivity(_told(spark, sf_dir))
 
 
 _PAIRS = "\nUNION ALL ".join(f"SELECT id, quantile, '{b}' AS factor, contrib_{b} AS value FROM b" for b in shap.BUCKETS)

@@ -245,18 +245,19 @@ def t10_sorted_quantiles(spark, sf_dir):
 LEADS = list(range(1, HORIZON + 1))
 
 
-@query(
-    with_ctes(
-        "SELECT * FROM ("
-        + "\nUNION ALL ".join(
-            f"SELECT date, store_id, product_id, sales_count, {h} AS lead, " + ", ".join(f"lag(sales_count, {k + h - 1}) OVER w AS sales_lag_{k}" for k in (1, 7, 14, 28)) + f" FROM history {oracle.WINDOWS} QUALIFY row_number() OVER w >= {28 + h}" for h in LEADS
-        )
-        + ")",
-        "history",
-    )
-)
+def _direct_sql() -> str:
+    known = {f"sales_lag_{k}": f"lag(sales_count, {k}) OVER w" for k in (1, 7, 14, 28)}
+    for n in (7, 28):
+        known |= {f"sales_mean_{n}": f"avg(sales_count) OVER {oracle.past(n)}", f"sales_std_{n}": f"stddev_pop(sales_count) OVER {oracle.past(n)}"}
+    known["likely_stockout_lag_1"] = "CAST(lag(is_likely_stockout) OVER w AS DOUBLE)"
+    told = ", ".join(f"{c} AS {n}" for n, c in known.items())
+    shifted = "\nUNION ALL ".join(f"SELECT date, store_id, product_id, sales_count, {h} AS lead, " + ", ".join(f"round(lag({n}, {h - 1}) OVER w, 6) AS {n}" for n in known) + f" FROM known {oracle.WINDOWS} QUALIFY row_number() OVER w >= {28 + h}" for h in LEADS)
+    return with_ctes(f"SELECT * FROM (WITH known AS (SELECT date, store_id, product_id, sales_count, {told} FROM stock WHERE dataset_split = 'train' {oracle.WINDOWS}) {shifted})", "stock")
+
+
+@query(_direct_sql())
 def m9_direct_supervised(spark, sf_dir):
-    return baseline.direct_supervised(_history(panel_sources(spark, sf_dir).panel), LEADS)
+    return tidy(baseline.direct_supervised(_history(panel_sources(spark, sf_dir).panel), LEADS))
 
 
 @query(
@@ -269,6 +270,29 @@ def m15_backtest_windows(spark, sf_dir):
     return baseline.backtest_windows(_history(panel_sources(spark, sf_dir).panel).drop("promotion"), 3, 28)
 
 
+def _backtest_sql() -> str:
+    loss = lambda n, q: f"avg(greatest({q} * (ln(1 + sales_count) - ln(1 + greatest({n}, 0))), ({q} - 1) * (ln(1 + sales_count) - ln(1 + greatest({n}, 0)))))"
+    each = dict(zip(metrics.NAMES, metrics.QUANTILES, strict=True))
+    told = ", ".join(f"round({loss(n, q)}, 6) AS pinball_{n}" for n, q in each.items())
+    mean = f"round(({' + '.join(loss(n, q) for n, q in each.items())}) / 4, 6) AS mean_pinball"
+    quantiles = ", ".join(f"quantile_cont(sales_count, {q}) AS {n}" for n, q in each.items())
+    return with_ctes(
+        f"""SELECT "window", count(*) AS n_rows, {told}, {mean} FROM (
+  WITH dealt AS (SELECT w AS "window", h.*, date > last - w * 28 - 28 AS held FROM history h CROSS JOIN (SELECT max(date) AS last FROM history) CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS w) WHERE date <= last - w * 28)
+  SELECT * FROM dealt JOIN (SELECT "window", store_id, product_id, {quantiles} FROM dealt WHERE NOT held GROUP BY ALL) USING ("window", store_id, product_id) WHERE held
+) GROUP BY "window\"""",
+        "history",
+    )
+
+
+DATELESS.add("m15_backtest_losses")
+
+
+@query(_backtest_sql())
+def m15_backtest_losses(spark, sf_dir):
+    return tidy(baseline.backtest_losses(_history(panel_sources(spark, sf_dir).panel)))
+
+
 @query(
     with_ctes(
         "SELECT CASE WHEN date >= last - 27 THEN 'holdout' ELSE 'train' END AS part, count(*) AS n_rows, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day, round(sum(sales_count), 6) AS sold FROM history CROSS JOIN (SELECT max(date) AS last FROM history) GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -20,6 +21,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where driver and workers share a file
+    system; a cluster gets it with ``--py-files``. Arrow batches are bounded in bytes."""
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if _HOME not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (path, _HOME) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 2**20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it again: a table that several branches read.
 
@@ -29,3 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`written` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tables/" in root:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -42,6 +42,26 @@ def test_evaluation_never_sees_the_days_held_out(spark, strategy):
     assert made[1]["mean_pinball"] > made[0]["mean_pinball"] and made[0]["train_end"] == str(D + timedelta(46))
 
 
+def test_losses_are_of_log_sales(spark):
+    """The published score of forecasts of 0 for a sale of 10, and losses of zeros that are sold."""
+    one = spark.createDataFrame([(10.0, 0.0, 0.0, 0.0, 0.0)], "sales_count double, p25 double, p50 double, p75 double, p95 double")
+    got = one.select(*[metrics.log_pinball(F.col("sales_count"), F.col(n), q).alias(n) for n, q in zip(metrics.NAMES, metrics.QUANTILES, strict=True)]).first()
+    assert sum(got) / 4 == pytest.approx(1.468710854589002)
+    # a model without trees forecasts a quantile of its training sales: losses by hand
+    p = _panel(spark)
+    told = forecasting.rolling_evaluation(p, [], 1, 5, "recursive", BoostConfig(rounds=0))["windows"][0]
+    sold = sorted((r.date, r.sales_count, r.store_id, r.product_id) for r in p.filter("sales_count IS NOT NULL").collect())
+    first = D + timedelta(28)
+    start = date.fromisoformat(told["holdout_start"])
+    y = [math.log1p(v) for d, v, *_ in sold if first <= d < start]
+    held = [math.log1p(v) for d, v, *_ in sold if d >= start]
+    for n, q in zip(metrics.NAMES, metrics.QUANTILES, strict=True):
+        at = sorted(y)
+        r = (len(at) - 1) * q
+        made = at[math.floor(r)] + (at[math.ceil(r)] - at[math.floor(r)]) * (r - math.floor(r))
+        assert told[f"pinball_{n}"] == pytest.approx(sum(max(q * (v - made), (q - 1) * (v - made)) for v in held) / len(held))
+
+
 def test_windows_must_fit(spark):
     p = _panel(spark)
     for windows, holdout, train in ((3, 14, None), (1, 14, 50), (0, 5, None)):
@@ -126,9 +146,10 @@ def test_command_line_strategies_and_explanations(spark, folder, tmp_path):  # n
     merged = str(tmp_path / "merged.parquet")
     keys = [(r.date, r.product_id, r.store_id) for r in spark.read.parquet(merged).collect()]
     assert keys == sorted(keys)
-    told = cli.main([*common, "--output", str(tmp_path / "b"), "--forecast-strategy", "direct", "--context-groups", "promotion,store", "--processed-data", merged, "--skip-holdout"], spark)
+    told = cli.main([*common, "--output", str(tmp_path / "b"), "--forecast-strategy", "direct", "--context-groups", "promotion,store", "--processed-data", merged, "--skip-holdout", "--feature-fraction", "0.8", "--bagging-fraction", "0.8", "--bagging-freq", "1"], spark)
     assert set(told) == {"forecast"} and files.read_submission(spark, str(tmp_path / "b")).count() == len(sample)
     with pytest.raises(SystemExit):
         cli.parse([*common, "--shap", "--forecast-strategy", "direct"])
     with pytest.raises(Exception, match="(?i)exists"):
-        cli.main([*common, "--output", str(tmp_path / "b"), "--processed-data", merged], spark)
+        cli.main([*common, "--output", str(tmp_path / "b"), "--processed-data", merged, "--skip-holdout"], spark)
+    assert cli.parse(common).eval_windows == 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import metrics
 from shelfcast.operators import baseline, forecaster, review, shap
-from shelfcast.operators.learner import BoostConfig, fit
+from shelfcast.operators.learner import BoostConfig
 from shelfcast.plans import cache, model_queries, review_queries, stages
 from shelfcast.sources import files
 
@@ -50,19 +50,6 @@ def test_baseline_falls_back(spark):
     assert (got[9].p50, got[9].p95) == (2.0, 4.0)
 
 
-def test_learner_and_exact_additivity():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(2000, 5))
-    y = 3 * (x[:, 0] > 0) + x[:, 1] + rng.normal(size=2000)
-    for q in (0.25, 0.95):
-        m = fit(x, y, q, BoostConfig(rounds=40, depth=3))
-        p = m.predict(x)
-        assert abs((y <= p).mean() - q) < 0.06
-        base, s = m.explain(x)
-        assert np.allclose(base + s.sum(axis=1), p)
-    assert np.abs(s[:, 0]).mean() > 5 * np.abs(s[:, 4]).mean()
-
-
 def _panel(spark, days=60, ahead=3):
     rows = [(D + timedelta(i), s, p, float((i * s + len(p)) % 9) if i < days - ahead else None, "train" if i < days - ahead else "test", i % 5 == 0) for i in range(days) for s in (1, 2) for p in ("a", "bb")]
     return spark.createDataFrame(rows, "date date, store_id int, product_id string, sales_count double, dataset_split string, promotion boolean")
@@ -71,15 +58,14 @@ def _panel(spark, days=60, ahead=3):
 def test_recursive_and_direct_forecasts(spark):
     p = _panel(spark)
     config = BoostConfig(rounds=8, depth=2, min_leaf=2)
-    models = forecaster.collected(forecaster.train_models(forecaster.supervised(p, ["promotion"]), [*forecaster.SALES, "promotion"], config))[0]
+    models = forecaster.train_models(forecaster.supervised(p, ["promotion"]), [*forecaster.SALES, "promotion"], config)
     got = forecaster.recursive_forecast(p, models, ["promotion"]).collect()
     assert len(got) == 12 and all(0 <= r.p25 <= r.p50 <= r.p75 <= r.p95 for r in got)
-    columns = ["sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28"]
     rows = forecaster.direct_rows(p, [1, 2, 3], []).filter("sales_count is not null")
-    by_lead = forecaster.collected(forecaster.train_models(rows, columns, config))
-    made = forecaster.direct_forecast(p, [1, 2, 3], by_lead, columns).collect()
+    by_lead = forecaster.train_models(rows, forecaster.SALES, config)
+    made = forecaster.direct_forecast(p, [1, 2, 3], by_lead, forecaster.SALES).collect()
     assert len(made) == 12 and sorted(by_lead) == [1, 2, 3]
-    told = shap.shap_long(forecaster.supervised(p, ["promotion"]).limit(2), models, [*forecaster.SALES, "promotion"], ["date", "store_id", "product_id"])
+    told = shap.shap_long(forecaster.supervised(p, ["promotion"]).limit(2), models[0], [*forecaster.SALES, "promotion"], ["date", "store_id", "product_id"])
     assert told.count() == 8 and shap.additivity(told).first().off == 0
     with pytest.raises(ValueError, match="no contribution"):
         shap.buckets(told, ["date"])
@@ -92,6 +78,7 @@ def month(spark, monkeypatch):
     p = p.persist()
     monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: p)
     monkeypatch.setattr(model_queries, "CONFIG", BoostConfig(rounds=4, depth=2, min_leaf=2))
+    monkeypatch.setattr(model_queries, "_FITTED", {})
     monkeypatch.setattr(review_queries, "panel_sources", lambda spark, sf_dir: SimpleNamespace(panel=p))
     yield p
     p.unpersist()
@@ -107,6 +94,7 @@ def test_every_lead_of_the_horizon_is_forecast(spark, month):
 def test_registered_models_are_fitted_on_all_rows_as_the_learner_does(spark, monkeypatch):
     assert model_queries.CONFIG == BoostConfig()
     monkeypatch.setattr(model_queries, "CONFIG", BoostConfig(rounds=1, depth=1))
+    monkeypatch.setattr(model_queries, "_FITTED", {})
     # 5,500 days of four series: 22,000 rows, less the first 28 days of each
     p = _panel(spark, 5_500, 0).withColumn("day_of_week", F.weekday("date") + 1)
     monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: p)
@@ -118,11 +106,10 @@ def test_checks_find_faults(spark, month, monkeypatch):
     assert review_queries.j16_ordered_ids(spark, "").first().asDict() == {"n_rows": 4 * 28, "misplaced": 0}
     monkeypatch.setattr(review_queries, "derived_submission", lambda p: real(p).filter("NOT id LIKE '%|1|a'"))
     assert review_queries.j16_ordered_ids(spark, "").first().misplaced > 0
-    models = model_queries._models(month)
     assert model_queries.v13_additivity(spark, "").first().asDict() == {"n_rows": 4 * 4 * 28, "off": 0}
-    models[0].trees[0].base += 1
-    monkeypatch.setattr(model_queries, "_models", lambda p: models)
-    assert model_queries.v13_additivity(spark, "").first().off > 0
+    told = model_queries._told(spark, "")
+    monkeypatch.setattr(model_queries, "_told", lambda spark, sf_dir: told.withColumn("base_value", F.col("base_value") + 1))
+    assert model_queries.v13_additivity(spark, "").first().off == 4 * 4 * 28
 
 
 def test_every_forecast_is_explained(spark, month):
@@ -135,18 +122,10 @@ def test_every_forecast_is_explained(spark, month):
     assert shap.additivity(told).first().off == 0
 
 
-def test_the_source_of_a_crossed_quantile_is_told(spark):
-    x = np.arange(80.0)[:, None]
-    models = [fit(x, x[:, 0] / 40 + b, 0.5, BoostConfig(rounds=3, depth=2, min_leaf=2)) for b in (0.0, 2.0, 1.0, 3.0)]
-    told = shap.shap_long(spark.createDataFrame([(1, 10.0), (2, 70.0)], "id int, x double"), models, ["x"], ["id"])
-    assert {(r.quantile, r.source_quantile) for r in told.collect()} == {(0.25, 0.25), (0.5, 0.75), (0.75, 0.5), (0.95, 0.95)}
-    assert shap.additivity(told).first().off == 0
-
-
 def test_features_for_next():
     h = np.arange(40.0)
-    assert forecaster.features_for_next(h)[:4] == [39, 33, 26, 12]
-    assert forecaster.last_day_flag(np.array([100, 100, 100, 0.0]))
+    assert forecaster.features_for_next(h)[0, :4].tolist() == [39, 33, 26, 12]
+    assert forecaster.last_day_flags(np.array([[100, 100, 100, 0.0]])).tolist() == [True]
     with pytest.raises(ValueError):
         forecaster.predictor("nothing")
     assert forecaster.parse_context("product,promotion,sales") == ("promotion", "product")
