@@ -54,6 +54,11 @@ ROUNDS, L2 = 40, 1.0
 _WORD = re.compile(r"[^\W_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Words of a text in lower case: split first, so each has its place in the text."""
+    return [w.lower() for w in _WORD.findall(text or "")]
+
+
 def features(word: str) -> list[str]:
     """Identity and prefixes of 4 to 6 letters of a lower-case word."""
     return [f"={word}", *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k)]
@@ -71,7 +76,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = {f for w in set(_WORD.findall((text or "").lower())) for f in features(w)}
+            found = {f for w in set(words_of(text)) for f in features(w)}
             counts[int(label > 0)].update(found)
         if len(counts[0]) + len(counts[1]) > CACHE_WORDS:
             yield rows()
@@ -91,7 +96,11 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> list[str]:
 
 
 class Emissions(dict):
-    """word -> what it adds to the log-potential of the toxic state; 0: neutral."""
+    """word as it stands -> what it adds to the log-potential of the toxic state; 0: neutral.
+
+    Lower case is that of the word alone, as in :func:`words_of`: scores and spans then
+    come from the same words, also where a letter has two in lower case.
+    """
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
@@ -99,7 +108,7 @@ class Emissions(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        got = [self.weights[f] for f in features(word) if f in self.weights]
+        got = [self.weights[f] for f in features(word.lower()) if f in self.weights]
         value = (sum(got) or 1e-9) if got else 0.0
         if len(word) <= 64:
             self[word] = value
@@ -213,7 +222,7 @@ def _events(names: set[str]):
         for batch in batches:
             rows = []
             for text, label in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                words = _WORD.findall((text or "").lower())
+                words = words_of(text)
                 places = [t for t, e in enumerate(map(known.__getitem__, words)) if e]
                 rows.append((int(label > 0), len(words), places, [words[t] for t in places]))
             if rows:
@@ -463,7 +472,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Chain:
 def tag(text: str | None, model: Chain, known: Emissions, threshold: float = 0.5) -> list[dict]:
     """Maximal runs of tokens whose marginal reaches ``threshold``, with offsets."""
     found = list(_WORD.finditer(text or ""))
-    e = np.array([known[m[0].lower()] for m in found])
+    e = np.array([known[m[0]] for m in found])
     at = np.flatnonzero(e)
     if len(at):
         e[at] = model.in_context(at, e[at])
@@ -490,7 +499,7 @@ def score(docs: DataFrame, model: Chain, threshold: float = THRESHOLD, spans: bo
         known, power = held["words"], held["power"]
         out: dict[str, list] = {"score": [], "predicted": [], "spans": []}
         for text in texts:
-            words = _WORD.findall(text.lower()) if text else []
+            words = _WORD.findall(text or "")
             e = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
             places = np.flatnonzero(e)
             p = model.marginals_at(places.tolist(), model.in_context(places, e[places]), len(words), power)
