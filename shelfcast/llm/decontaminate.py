@@ -381,10 +381,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], _LEAKS)
-    # rows that repeat an id are reported together
+    # rows that repeat an id are reported together: by the best passage, the first of equal ones
     rest = [c for c in out.columns if c not in ("doc_id", "item_id")]
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("question_overlap") + F.col("answer_overlap"), *rest)).alias("m"))
-    return best.select("doc_id", "item_id", *[F.col(f"m.{c}") for c in rest])
+    order = [-(F.col("question_overlap") + F.col("answer_overlap")), -F.col("question_overlap"), "first_word", "end_word"]
+    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct(*order, -F.col("bm25"), F.struct(*rest).alias("told"))).alias("m"))
+    return best.select("doc_id", "item_id", *[F.col(f"m.told.{c}") for c in rest])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

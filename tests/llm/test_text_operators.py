@@ -421,3 +421,12 @@ def test_a_benchmark_of_20000_items_is_one_pass(spark):
     docs += [(100 + k, " ".join(r.choice(words) for _ in range(500))) for k in range(20)]
     got = {(x[0], y[0]) for x in docs for y in decontaminate.leaks_in(built, x[1])}
     assert got == {(k, k * 400) for k in range(40)}
+
+
+def test_of_equal_passages_the_first_is_told(spark):
+    item = "which river of the northern plain has the most islands in spring and where does it end: in the lake of seven stones"
+    filler = " ".join(f"f{i}" for i in range(90))
+    rows = [(1, f"{item} {filler}"), (1, f"{filler} {item}"), (2, f"{filler} {item} {filler} {item}"), (None, f"{filler} {item}")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, DOC), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    firsts = {r.doc_id: r.first_word for r in got}
+    assert firsts[1] == 0 and firsts[2] <= 90 and len(got) == len(firsts)
