@@ -32,9 +32,7 @@ Defined results
   repeat an id are scored as one document, however long. Rows with a null id are
   left out; columns besides doc_id and text are ignored, so names can't clash. A
   null target flag is false. An empty table gives no rows. An empty target leaves the smoothed prior. |V| counts
-  the distinct words and the end sign. Only where VOCABULARY is set to a number,
-  words at or below the lowest count that leaves at most that many are one unknown
-  word; by default there is no such bound.
+  the distinct words and the end sign; every word is one of them.
 """
 
 from __future__ import annotations
@@ -46,14 +44,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, dealt, mixed, prepare, reducers, runs_of, stored
 from .substring import pack, unpack
 
-#: None: all words.
-VOCABULARY: int | None = None
 #: Words whose counts all executors hold; the others' are counted in their tasks.
 HELD = 65_000
 HOT, MU = 256, 20.0
@@ -71,15 +67,15 @@ END = _code("\n")
 
 
 class _Ids(dict):
-    """word -> its number, else 0 or its code; misses are kept, up to a bound."""
+    """word -> its number, else its code; misses are kept, up to a bound."""
 
-    def __init__(self, held: dict[int, int], bounded: bool):
+    def __init__(self, held: dict[int, int]):
         super().__init__()
-        self.held, self.bounded = held, bounded
+        self.held = held
 
     def __missing__(self, word: str) -> int:
         code = _code(word)
-        value = self.held.get(code, 0 if self.bounded else code)
+        value = self.held.get(code, code)
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -111,21 +107,20 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Unigrams:
-    """Counts by word number: 0 is the unknown word, 1 the end sign.
+    """Counts by word number: 0 is no word, 1 the end sign.
 
-    ``rows`` are the words with a number; ``distinct`` is the number of all words,
-    or None if those without a number are the unknown word.
+    ``rows`` are the words with a number; ``distinct`` is the number of all words.
     """
 
-    def __init__(self, rows: list, ends: tuple[int, int], totals: tuple[int, int], distinct: int | None):
-        self.ids = _Ids({r.word: k for k, r in enumerate(rows, 2)} | {END: 1}, distinct is None)
+    def __init__(self, rows: list, ends: tuple[int, int], totals: tuple[int, int], distinct: int):
+        self.ids = _Ids({r.word: k for k, r in enumerate(rows, 2)} | {END: 1})
         # the end sign has its own number; its row stands for nothing
         known = np.array([[0, 0], list(ends), *[[0, 0] if r.word == END else [r.target, r.every] for r in rows]], np.float64)
-        if distinct is None:
-            known[0] = np.maximum(np.array(totals) - known.sum(axis=0), 0)
         self.counts = known
         #: What is added up under a prior.
-        self.mass = (known.sum(axis=0) if distinct is None else np.array(totals, np.float64)) + (len(known) if distinct is None else max(distinct, 1))
+        self.mass = np.array(totals, np.float64) + max(distinct, 1)
+        #: Bytes of the number of a pair of numbered words.
+        self.width = max(5, (len(known) ** 2 - 1).bit_length() + 7 >> 3)
         self.prior = (known + 1) / self.mass
         share = known[:, 1] / max(totals[1], 1)
         self.hot = np.flatnonzero(share >= 1 / HOT)
@@ -279,7 +274,7 @@ def _sender(u: Unigrams, hot: np.ndarray, tasks: int):
                     ks.append(at)
                     fs.append(flag)
                     rs.append(route)
-                    bs.append(pack(d[lo:hi], key[lo:hi], 5 if route == NUMBERED else 8))
+                    bs.append(pack(d[lo:hi], key[lo:hi], u.width if route == NUMBERED else 8))
                     os.append(None if route == NUMBERED else _squeeze(other[lo:hi]))
                     ss.append(None)
         yield pa.record_batch(
@@ -332,7 +327,7 @@ def _judge(u: Unigrams, tasks: int):
                     if len(made) >= 256:
                         made = [_merged(made)]
                     continue
-                d, k = unpack(data, 5 if route == NUMBERED else 8)
+                d, k = unpack(data, u.width if route == NUMBERED else 8)
                 docs, keys, others, flags = held[route]
                 docs.append(d)
                 keys.append(k.astype(np.int64))
@@ -383,6 +378,27 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
+def held_above(words: DataFrame, most: int) -> int:
+    """The lowest count such that at most ``most`` words have a higher one.
+
+    Counts are grouped in 1,024 ranges, then those in the range where the words
+    become too many, until it is a single count: no task or driver sees more than that.
+    """
+    lo, hi = 0, 1 + words.agg(F.coalesce(F.max("every"), F.lit(0))).first()[0]
+    above = 0  # words with a count of hi or more
+    while hi - lo > 1:
+        step = -(-(hi - lo) // 1024)
+        part = words.filter((F.col("every") >= lo) & (F.col("every") < hi)).groupBy(F.floor((F.col("every") - lo) / step).alias("r")).agg(F.count("*").alias("n"))
+        for r in sorted(part.collect(), key=lambda r: -r.r):
+            if above + r.n > most:
+                lo, hi = lo + r.r * step, min(hi, lo + (r.r + 1) * step)
+                break
+            above += r.n
+        else:
+            return 0
+    return lo
+
+
 def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document.
 
@@ -395,13 +411,10 @@ def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(target, F.lit(False)).alias("flag"))
     words = stored(source.mapInArrow(_unigrams, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "unigrams")
     *totals, distinct = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0)), F.count("*")).first()
-    # the lowest count that leaves the held words within their bound; only words above it are collected
-    by_count = words.groupBy("every").agg(F.count("*").alias("n"))
-    upto = by_count.select("every", F.sum("n").over(Window.orderBy(F.desc("every"))).alias("upto"))
-    least = upto.filter(F.col("upto") > (VOCABULARY or HELD)).agg(F.coalesce(F.max("every"), F.lit(0))).first()[0]
+    least = held_above(words, HELD)
     known = words.filter((F.col("every") > least) | (F.col("word") == END)).collect()
     ends = next(((r.target, r.every) for r in known if r.word == END), (0, 0))
-    u = Unigrams(sorted((r for r in known if r.every > least), key=lambda r: (-r.every, r.word)), ends, tuple(totals), distinct if VOCABULARY is None else None)
+    u = Unigrams(sorted((r for r in known if r.every > least), key=lambda r: (-r.every, r.word)), ends, tuple(totals), distinct)
     hot = np.zeros((len(u.hot) ** 2, 2))
     for r in source.mapInArrow(_hot_pairs(u), "pair long, target long, every long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).collect():
         hot[r.pair] = r.target, r.every

@@ -237,7 +237,7 @@ def test_rotation_is_orthogonal_and_balanced():
 
 
 def test_language_models_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "VOCABULARY", 12)
+    monkeypatch.setattr(lm, "HELD", 12)
     monkeypatch.setattr(lm, "HOT", 8)
     r = random.Random(0)
     words = [f"w{i}" for i in range(20)]
@@ -246,22 +246,14 @@ def test_language_models_match_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (None, "w1", True)], DOC + ", flag boolean").repartition(3)
     got = {x.doc_id: x for x in lm.cross_entropy_difference(df, F.col("flag")).collect()}
     seq = [(i, [*(t or "").lower().split()], bool(f)) for i, t, f in rows]
-    count = Counter(w for _, w, _ in seq for w in w if len(w) <= 64)
-    for _ in seq:
-        count["\n"] += 1
-    low = 0
-    for c in sorted(set(count.values()), reverse=True):
-        if sum(v >= c for v in count.values()) > 12:
-            low = c
-            break
-    known = {w for w, c in count.items() if c > low} | {"\n"}
-    enc = [(i, ["\n", *[w if w in known else "?" for w in ws], "\n"], f) for i, ws, f in seq]
+    count = Counter(w for _, ws, _ in seq for w in [*ws, "\n"])
+    enc = [(i, ["\n", *ws, "\n"], f) for i, ws, f in seq]
     uni, bi = (Counter(), Counter()), (Counter(), Counter())
     for _, w, f in enc:
         for k in (0, 1) if f else (1,):
             uni[k].update(w[1:])
             bi[k].update(zip(w, w[1:], strict=False))
-    size = len(known - {"\n"}) + 2 + ("\n" in {w for w, c in count.items() if c > low})
+    size = len(count)
     own = {}
     for i, w, f in enc:
         for pair in zip(w, w[1:], strict=False):
@@ -283,6 +275,23 @@ def test_language_models_match_brute_force(spark, monkeypatch):
     assert lm.cross_entropy_difference(df.limit(0), F.col("flag")).count() == 0
 
 
+def test_held_words_have_the_highest_counts(spark):
+    r = random.Random(2)
+    counts = [min(10**12, int(1 / (r.random() ** 4 + 1e-13))) for _ in range(700)] + [5] * 100
+    words = spark.createDataFrame([(i, 0, c) for i, c in enumerate(counts)], "word long, target long, every long")
+    for most in (0, 1, 30, 400, 799, 800, 5000):
+        want = next((c for c in sorted(set(counts), reverse=True) if sum(x >= c for x in counts) > most), 0)
+        assert lm.held_above(words, most) == want
+    assert lm.held_above(words.limit(0), 5) == 0
+
+
+def test_scores_and_spans_have_the_same_words():
+    text = "x İblis y ΣΑΣ İ"
+    assert toxicity.words_of(text) == ["x", "i̇blis", "y", "σας", "i̇"]
+    known = toxicity.Emissions({f: 3.0 for f in toxicity.features("i̇blis")})
+    assert [bool(known[w]) for w in toxicity._WORD.findall(text)][:3] == [False, True, False]
+
+
 @pytest.mark.parametrize("held", [4, None])
 def test_language_models_cover_every_word(spark, monkeypatch, held):
     monkeypatch.setattr(lm, "HOT", 8)
