@@ -245,15 +245,17 @@ class Fit:
         self.config, self.columns = config, columns
         self.categorical = frozenset(k for k, c in enumerate(columns) if c in categorical)
         importable(rows.sparkSession)
-        self.sizes = {r.lead: r.n for r in rows.groupBy("lead").agg(F.count("*").alias("n")).collect()}
+        filled = rows.select("lead", "sales_count", *keys, *[F.nanvl(F.coalesce(C(c).cast("double"), F.lit(-1.0)), F.lit(-1.0)).alias(c) for c in columns if c not in keys])
+        filled = written(filled, "training")  # read three times: counts, edges, blocks
+        self.sizes = {r.lead: r.n for r in filled.groupBy("lead").agg(F.count("*").alias("n")).collect()}
         if not self.sizes:
             self.models: dict[int, list[Boosted]] = {}
             return
-        filled = rows.select("lead", "sales_count", *keys, *[F.nanvl(F.coalesce(C(c).cast("double"), F.lit(-1.0)), F.lit(-1.0)).alias(c) for c in columns if c not in keys])
         self.edges = bin_edges(filled, columns, list(categorical), config.bins)
         self.width = max(len(e) for e in self.edges) + 1
         self.used = [len(e) + (k not in self.categorical) for k, e in enumerate(self.edges)]
         self.blocks = written(_blocks(filled, columns, keys, self.edges, self.categorical, self.sizes, config.log_sales), "blocks")
+        discard(filled)
         self.since: dict[int, list[list[Tree]]] = {lead: [[] for _ in QUANTILES] for lead in self.sizes}
         self.starts = {lead: [0.0] * len(QUANTILES) for lead in self.sizes}
         first = self._quantiles({lead: [{0: n} for _ in QUANTILES] for lead, n in self.sizes.items()}, {lead: [None for _ in QUANTILES] for lead in self.sizes}, None)
@@ -316,20 +318,18 @@ class Fit:
             bag = bagged(block.h, number, config)
             if bag is not None:
                 take &= bag
-            slot, x = slot[take], block.x[take]
-            above = (block.y[take] > block.now[k][take]).astype(np.float64)
+            slot, x, above = slot[take], block.x[take], block.y[take] > block.now[k][take]
             n = len(place)
+            at = 2 * width * slot + above
             out = np.zeros((n, len(features), width, 2), np.int64)
             for i, f in enumerate(features):
-                cell = slot * width + x[:, f]
-                out[:, i, :, 0] = np.bincount(cell, minlength=n * width).reshape(n, width)
-                out[:, i, :, 1] = np.bincount(cell, above, n * width).reshape(n, width)
-            return {node: out[i] for node, i in place.items() if out[i, 0, :, 0].any()}
+                out[:, i] = np.bincount(at + 2 * x[:, f].astype(np.int64), minlength=2 * n * width).reshape(n, width, 2)
+            return {node: out[i] for node, i in place.items() if out[i, 0].any()}
 
         def best(key: tuple, hist: np.ndarray) -> tuple:
             hist = hist.reshape(len(features), width, 2)
-            n, above = int(hist[0, :, 0].sum()), int(hist[0, :, 1].sum())
-            s = best_split(hist[:, :, 0], hist[:, :, 1], n, above, QUANTILES[key[1]], config, features, categorical, used)
+            counts, above = hist.sum(axis=2), hist[:, :, 1]
+            s = best_split(counts, above, int(counts[0].sum()), int(above[0].sum()), QUANTILES[key[1]], config, features, categorical, used)
             return (s.gain, s.feature, s.cut, None if s.cats is None else list(s.cats), s.n_left) if s else (None,) * 5
 
         out = {(lead, k, node): None for (lead, k), w in wanted.items() for node in w}

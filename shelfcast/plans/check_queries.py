@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import baseline, features, forecaster, review, shap, validation
+from ..operators import baseline, dataset, features, forecaster, review, shap, validation
 from ..operators.joins import unique_by
 from ..sources import files
 from ..sources.adapter import panel_sources
 from ..sources.schemas import SOURCES
 from ..sources.shared import shared_folder, written
 from .model_queries import _BUCKETS, _ROWS, derived_contributions
+from . import oracle
 from .oracle import _QS, with_ctes
 from .panel_queries import DATELESS, query, tidy
 from .review_queries import FLAG, _history, _test, derived_review, derived_submission
@@ -28,7 +29,7 @@ from .review_queries import FLAG, _history, _test, derived_review, derived_submi
 C = F.col
 DATELESS |= {
     "s2_source_folder", "s6_parquet_sink", "s10_shap_sink", "s15_exceptions_export", "s16_shap_csv", "f21_csv_cells", "f22_axis_maximum", "f25_signed_segments", "j23_shap_lookup", "a15_facet_values", "a25_one_transform",
-    "v3_context_check", "v5_oil_check", "v6_traffic_check", "v9_split_check", "v10_forecast_panel_check", "v12_submission_check", "v14_bucket_cover", "c6_group_names", "c7_context_names",
+    "v3_context_check", "v5_oil_check", "v6_traffic_check", "v9_split_check", "v10_forecast_panel_check", "v12_submission_check", "v14_bucket_cover", "c7_context_names",
 }
 
 
@@ -380,11 +381,21 @@ def v12_submission_check(spark, sf_dir):
 _LOST = shap.BUCKETS["oil_price"][0]
 
 
-@query(_verdict_sql({"whole": "'ok'", "lost": f"'no contribution for {_LOST}'", "unknown": "'no bucket for moon'"}))
+@query(_verdict_sql({"whole": f"(SELECT count(*) || ' rows covered' FROM ({_ROWS}))", "lost": f"'no contribution for {_LOST}'", "unknown": "'no bucket for moon'"}, "test_rows"))
 def v14_bucket_cover(spark, sf_dir):
-    told = derived_contributions(spark, sf_dir)
+    """All contributions of every row are in its buckets; a contribution too few or too many is told."""
+    told = written(derived_contributions(spark, sf_dir), "contributions")
+
+    def covered(rows: DataFrame) -> str:
+        summed = shap.buckets(rows, ["id", shap.total(shap.contributions(rows)).alias("_all")], 9)
+        apart = F.abs(sum(C(f"contrib_{b}") for b in shap.BUCKETS) - C("_all")) > 1e-6
+        n = summed.agg(F.count_if(~apart).alias("n"), F.count_if(F.coalesce(apart, F.lit(True))).alias("off")).first()
+        if n.off:
+            raise ValueError(f"{n.off} rows whose buckets miss contributions")
+        return f"{n.n} rows covered"
+
     cases = {"whole": told, "lost": told.drop(f"shap_{_LOST}"), "unknown": told.withColumn("shap_moon", F.lit(0.0))}
-    return _verdicts(spark, {k: _said(shap.buckets, v, ["id"]) for k, v in cases.items()})
+    return _verdicts(spark, {k: _said(covered, v) for k, v in cases.items()})
 
 
 @query(_verdict_sql({"one": "'log1p'", "two": "'target_transform is not one value: [''log1p'', ''none'']'", "unknown": "'unknown target_transform ''sqrt'''"}))
@@ -394,19 +405,24 @@ def a25_one_transform(spark, sf_dir):
     return _verdicts(spark, {k: _said(shap.transform_of, told.withColumn("target_transform", v)) for k, v in kinds.items()})
 
 
-@query(
-    _verdict_sql(
-        {
-            "payday,identity,payday": "'payday,identity'",
-            "calendar, best": "'calendar,promotion,product,store,external,sales_history,promotion_regime,seasonal_history,intermittency,payday,holiday_regime,behavioral_profile'",
-            " , ": "'no feature group is chosen'",
-        }
-    )
-)
+@query(oracle.feature_sql("payday", "identity"))
 def c6_group_names(spark, sf_dir):
-    return _verdicts(spark, {k: _said(lambda raw: ",".join(features.parse_groups(raw)), k) for k in ("payday,identity,payday", "calendar, best", " , ")})
+    """Features of the groups that a list of names asks for, each once, of every training row."""
+    groups = features.parse_groups("payday, identity,payday")
+    train = dataset.panel_for(panel_sources(spark, sf_dir), groups).filter("dataset_split = 'train'")
+    return tidy(features.features(train, groups, ["date", "store_id", "product_id"]))
+
+
+_ASKED = [c for g in ("promotion", "store", "calendar", "event", "oil") for c in forecaster.CONTEXT[g]]
 
 
-@query(_verdict_sql({"oil,sales,promotion": "'promotion,oil'", "sales": "''", "moon": "'unknown context groups: moon'"}))
+@query(with_ctes("\nUNION ALL ".join(f"SELECT '{c}' AS name, {k} AS place, count(*) AS n_rows, count({c}) AS n_known FROM merged" for k, c in enumerate(_ASKED)), "merged"))
 def c7_context_names(spark, sf_dir):
-    return _verdicts(spark, {k: _said(lambda raw: ",".join(sorted(forecaster.parse_context(raw), key=list(forecaster.CONTEXT).index)), k) for k in ("oil,sales,promotion", "sales", "moon")})
+    """Columns of the context groups that a list of names asks for, in the groups' own order, with
+    the rows of the merged panel that know them."""
+    groups = forecaster.parse_context("oil, event,calendar,sales,store,promotion")
+    columns = [c for g in groups for c in forecaster.CONTEXT[g]]
+    merged = dataset.merged_panel(panel_sources(spark, sf_dir))
+    known = merged.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in columns])
+    told = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("place"), C("n").alias("n_rows"), C(c).alias("n_known")) for k, c in enumerate(columns)])
+    return known.select(F.explode(told).alias("x")).select("x.*")

@@ -204,8 +204,8 @@ FEATURES: dict[str, dict[str, str]] = {
 }
 
 
-def feature_sql(group: str) -> str:
-    columns = ", ".join(f"{e} AS feature_{n}" for n, e in FEATURES[group].items())
+def feature_sql(*groups: str) -> str:
+    columns = ", ".join(f"{e} AS feature_{n}" for group in groups for n, e in FEATURES[group].items())
     return with_ctes(f"SELECT date, store_id, product_id, {columns} FROM train {WINDOWS}", "train")
 
 
@@ -222,7 +222,7 @@ CTE["seen"] = ("SELECT * REPLACE (CASE WHEN promotion AND (day(date) + store_id
 CTE["submission"] = (
     """SELECT id, p25, CASE k WHEN 0 THEN 0 WHEN 3 THEN p50 * 2.5 ELSE p50 END AS p50,
     CASE k WHEN 2 THEN p50 - 1 WHEN 3 THEN p75 * 2.5 ELSE p75 END AS p75, CASE k WHEN 1 THEN p95 * 4 WHEN 3 THEN p95 * 2.5 ELSE p95 END AS p95
-  FROM (SELECT id, p25, p50, p75, p95, (day(date) + t.store_id * 3 + length(t.product_id)) % 11 AS k FROM test_rows t JOIN trail USING (store_id, product_id))""",
+  FROM (SELECT id, p25, p50, p75, p95, CASE WHEN t.store_id = 1 AND (day(date) + t.store_id * 3 + length(t.product_id)) % 11 IN (0, 3) THEN 10 ELSE (day(date) + t.store_id * 3 + length(t.product_id)) % 11 END AS k FROM test_rows t JOIN trail USING (store_id, product_id))""",
     ["test_rows", "trail"],
 )
 CTE["baseline"] = (
@@ -235,7 +235,7 @@ CTE["baseline"] = (
     + " FROM (SELECT list_sort(list(sales_count)) AS s FROM history)) g",
     ["test_rows", "history"],
 )
-CTE["holiday_days"] = ("SELECT DISTINCT store_id, date FROM (SELECT store_id, date FROM reached WHERE NOT is_transferred UNION ALL SELECT store_id, date - 1 FROM reached WHERE NOT is_transferred)", ["reached"])
+CTE["holiday_days"] = ("SELECT DISTINCT store_id, date FROM (SELECT store_id, date FROM reached WHERE NOT is_transferred AND isodow(date) >= 6 UNION ALL SELECT store_id, date - 1 FROM reached WHERE NOT is_transferred AND isodow(date) >= 6)", ["reached"])
 CTE["stats"] = (
     """SELECT t.store_id, t.product_id, avg(CASE WHEN NOT promotion THEN p50 END) AS non_promo_avg, avg(CASE WHEN h.date IS NULL THEN p50 END) AS non_holiday_avg
   FROM submission JOIN test_rows t USING (id) LEFT JOIN holiday_days h ON h.store_id = t.store_id AND h.date = t.date GROUP BY 1, 2""",

@@ -27,8 +27,12 @@ def _history(panel: DataFrame) -> DataFrame:
 
 
 def derived_submission(panel: DataFrame) -> DataFrame:
-    """Trailing quantiles with faults put in on fixed days, so every rule has work."""
+    """Trailing quantiles with faults put in on fixed days, so every rule has work.
+
+    Store 1 has none that move its typical forecast: its holidays are as flat as rule 4 looks for.
+    """
     k = (F.dayofmonth("date") + C("store_id") * 3 + F.length("product_id")) % 11
+    k = F.when((C("store_id") == 1) & k.isin(0, 3), 10).otherwise(k)
     p25, p50, p75, p95 = (C(n) for n in metrics.NAMES)
     rows = _test(panel).join(baseline.trailing_quantiles(_history(panel)), ["store_id", "product_id"])
     return rows.select(
@@ -48,12 +52,13 @@ def derived_history(panel: DataFrame) -> DataFrame:
 
 def derived_review(spark: SparkSession, sf_dir: str) -> review.Review:
     """Inputs of a review. Panel, submission and baseline are files, as in practice:
-    a review reads each of them under several roles."""
+    a review reads each of them under several roles. Events of working days count as
+    moved, so that the horizon has days with a holiday and days without."""
     s = panel_sources(spark, sf_dir)
     panel = written(s.panel, "panel")
     submission = written(derived_submission(panel), "submission")
     base = written(baseline.historical_quantiles(_history(panel), _test(panel)).select("id", *metrics.NAMES), "baseline")
-    return review.Review(submission, _test(panel), s.items, s.stores, s.events, base, derived_history(panel), STAPLES)
+    return review.Review(submission, _test(panel), s.items, s.stores, s.events.withColumn("is_transferred", C("is_transferred") | (F.weekday("date") < 5)), base, derived_history(panel), STAPLES)
 
 
 FLAG = "id, store_id, product_id, date, promotion, type, severity"
@@ -168,7 +173,7 @@ def u2_chart_rows(spark, sf_dir):
 
 @query(
     with_ctes(
-        "SELECT r.store_id, r.date, m.event_type, m.scope, m.location FROM (SELECT store_id, date, max({'event_type': event_type, 'scope': scope, 'location': location}) AS m FROM reached WHERE NOT is_transferred GROUP BY 1, 2) r WHERE (r.store_id, r.date) IN (SELECT (store_id, date) FROM chart)",
+        "SELECT r.store_id, r.date, m.event_type, m.scope, m.location FROM (SELECT store_id, date, max({'event_type': event_type, 'scope': scope, 'location': location}) AS m FROM reached WHERE NOT is_transferred AND isodow(date) >= 6 GROUP BY 1, 2) r WHERE (r.store_id, r.date) IN (SELECT (store_id, date) FROM chart)",
         "reached",
         "chart",
     )
