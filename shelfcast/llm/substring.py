@@ -22,8 +22,10 @@ Layout for scale
     be set as for any shuffle of the input.
 
 Hashes
-  A window is known by two independent polynomial hashes: the task, 56 bits of
-  the first one and 16 of the second, 72 + log2(R) bits. Among n windows
+  A window is known by two polynomial hashes: the task, 56 bits of the first one
+  and 16 of the second, 72 + log2(R) bits. Both start from one 64-bit hash of each word,
+  so different words with the same one (n * n / 2**65 pairs expected among n different
+  words, 0.03 for a billion) are not told apart by either. Among n windows
   n * n / 2**(73 + log2 R) chance pairs are expected: 0.5 at 100 TB (2e13 windows,
   R = 100,000). The answer to a document names its own windows by 64 of these bits.
 
