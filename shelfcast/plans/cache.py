@@ -1,4 +1,9 @@
-"""Content-addressed stages: run one only if what it depends on has changed."""
+"""Content-addressed stages: run one only if what it depends on has changed.
+
+``run_stage`` keeps local files. ``run_table_stage`` keeps tables in any file system
+that Spark reaches: files are digested by tasks, each build is a version of its own,
+and a pointer file, replaced in one step, says which version holds.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,9 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from ..sources.files import write_json
 
 VERSION = 1
@@ -44,6 +52,8 @@ def fingerprint(stage: str, inputs: list[str], code: list[str], parameters: dict
 class Outcome:
     hit: bool
     metadata: dict
+    #: Where the table is (``run_table_stage``).
+    path: str | None = None
 
 
 def run_stage(stage: str, output: str, manifest: str, inputs: list[str], code: list[str], parameters: dict, build: Callable[[str], dict], force: bool = False) -> Outcome:
@@ -74,3 +84,73 @@ def run_stage(stage: str, output: str, manifest: str, inputs: list[str], code: l
             os.unlink(draft)
     write_json({"fingerprint": mark, "output_digest": file_digest(output), "stage": stage, "metadata": metadata}, manifest)
     return Outcome(False, metadata)
+
+
+def table_digests(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of each data file below ``path`` by its place there; each is read by a task.
+
+    Empty if there is nothing. A file is one value of a row, so it has 2 GB at most.
+    """
+    folder = _place(spark, path)[1]
+    if not folder:
+        return {}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    base = _place(spark, path)[0].toUri().getPath()
+    place = F.substring_index(F.col("path"), base, -1)
+    return {r.place: r.digest for r in files.select(place.alias("place"), F.sha2("content", 256).alias("digest")).collect()}
+
+
+def _place(spark: SparkSession, path: str):
+    """A path as the file system names it, and whether it is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    return fs.makeQualified(p), fs.exists(p)
+
+
+def _text(spark: SparkSession, path: str) -> str | None:
+    if not _place(spark, path)[1]:
+        return None
+    return "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+
+
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` beside ``path`` and rename it over it: readers see the old or the new."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = _place(spark, path)[0]
+    draft = jvm.org.apache.hadoop.fs.Path(there.getParent(), f".{there.getName()}-{uuid.uuid4().hex}")
+    out = draft.getFileSystem(conf).create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), conf).rename(draft, there, options)
+
+
+def run_table_stage(spark: SparkSession, stage: str, root: str, inputs: list[str], code: list[str], parameters: dict, build: Callable[[str], dict], force: bool = False) -> Outcome:
+    """Build a table below ``root`` unless the pointer there vouches for one.
+
+    ``build`` writes the table to the path it is given and returns facts about it. A hit
+    needs the same inputs, code and parameters, and the files that were written. A run that
+    ends before the pointer is replaced leaves the version that held; what it
+    wrote is never read. The version before goes after the pointer is replaced, so a reader of it has to start anew.
+    """
+    own = {os.path.relpath(p, os.path.commonpath(code)) if len(code) > 1 else os.path.basename(p): file_digest(p) for p in sorted(code)}
+    told = {"version": VERSION, "stage": stage, "inputs": {p: table_digests(spark, p) for p in sorted(inputs)}, "code": own, "parameters": parameters}
+    mark = hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
+    pointer = f"{root}/current.json"
+    known = json.loads(_text(spark, pointer) or "{}")
+    if not force and known.get("fingerprint") == mark and known["digests"] == table_digests(spark, known["path"]) != {}:
+        return Outcome(True, known["metadata"], known["path"])
+    path = f"{root}/{stage}-{uuid.uuid4().hex}"
+    metadata = build(path) or {}
+    digests = table_digests(spark, path)
+    if not digests:
+        raise RuntimeError(f"stage {stage} produced nothing")
+    _replace(spark, pointer, json.dumps({"fingerprint": mark, "path": path, "digests": digests, "stage": stage, "metadata": metadata}, sort_keys=True, default=str))
+    if known:
+        old = _place(spark, known["path"])[0]
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return Outcome(False, metadata, path)

@@ -214,6 +214,46 @@ def test_cache_hits_and_rebuilds(tmp_path):
         cache.run_stage("t", out + "2", str(tmp_path / "m2.json"), [], [], {}, lambda path: {})
 
 
+def test_table_cache_survives_a_crash(spark, tmp_path, monkeypatch):
+    root, source, code = "file://" + str(tmp_path / "cache"), "file://" + str(tmp_path / "in"), tmp_path / "c.py"
+    code.write_text("1")
+    spark.range(20).repartition(3).write.parquet(source)
+    built = []
+
+    def build(path):
+        built.append(path)
+        spark.read.parquet(source).selectExpr("id + 1 AS id").write.parquet(path)
+        return {"n": len(built)}
+
+    def run(**more):
+        return cache.run_table_stage(spark, "s", root, [source], [str(code)], {"a": 1} | more, build)
+
+    first, again = run(), run()
+    assert (first.hit, again.hit, again.path, again.metadata) == (False, True, first.path, {"n": 1})
+    assert len(cache.table_digests(spark, source)) == 3 and spark.read.parquet(first.path).count() == 20
+    # a run that ends between the table and the pointer leaves the version that held
+    code.write_text("2")
+    with monkeypatch.context() as m:
+        m.setattr(cache, "_replace", lambda *x: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            run()
+    assert spark.read.parquet(first.path).count() == 20 and len(built) == 2
+    code.write_text("1")
+    assert run().hit
+    code.write_text("2")
+    third = run()
+    assert not third.hit and third.path != first.path and not (tmp_path / "cache" / first.path.rsplit("/", 1)[1]).exists()
+    assert not run(a=2).hit and len(built) == 4
+    spark.range(5).write.mode("append").parquet(source)
+    changed = run(a=2)
+    assert not changed.hit and spark.read.parquet(changed.path).count() == 25
+    # a table that was changed behind the pointer is built anew
+    spark.range(1).write.mode("append").parquet(changed.path)
+    assert not run(a=2).hit
+    with pytest.raises(RuntimeError, match="nothing"):
+        cache.run_table_stage(spark, "t", root + "2", [], [], {}, lambda path: {})
+
+
 def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="items.csv"):
         files.scan_sources(spark, str(tmp_path))
