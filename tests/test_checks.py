@@ -14,7 +14,8 @@ def verdicts(spark, name):
 @pytest.mark.parametrize("name", ["v3_context_check", "v5_oil_check", "v6_traffic_check", "v10_forecast_panel_check", "v12_submission_check", "v14_bucket_cover"])
 def test_check_passes_whole_tables_and_names_each_fault(spark, name):
     said = verdicts(spark, name)
-    assert said.pop("whole") == "ok"
+    # 840 test rows, four quantiles each
+    assert said.pop("whole") == ("3360 rows covered" if name == "v14_bucket_cover" else "ok")
     assert said and "ok" not in said.values()
 
 
