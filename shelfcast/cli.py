@@ -50,6 +50,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     args.config = BoostConfig(rounds=args.rounds, learning_rate=args.learning_rate, leaves=args.leaves, depth=args.depth, min_leaf=args.min_leaf, seed=args.seed, log_sales=args.log_sales, feature_fraction=args.feature_fraction, bagging_fraction=args.bagging_fraction, bagging_freq=args.bagging_freq)
     if args.shap and args.forecast_strategy != "recursive":
         p.error("--shap explains the recursive strategy only")
+    if args.stage == "forecast" and args.model not in forecaster.TRAINERS:
+        p.error(f"forecasts are made by {' or '.join(forecaster.TRAINERS)}")
     return args
 
 
@@ -64,9 +66,9 @@ def forecast(args: argparse.Namespace, panel: DataFrame) -> dict:
     panel = panel.withColumns({c: panel[f"code_{c}"] for c in coded & set(columns)}).withColumn("product_id", panel["product_id"].cast("string"))
     strategy, days, told = args.forecast_strategy, forecasting.horizon(panel), {}
     if args.eval_windows and not args.skip_holdout:
-        told["evaluation"] = forecasting.rolling_evaluation(panel, columns, args.eval_windows, args.eval_holdout_days, strategy, args.config, args.train_days)
+        told["evaluation"] = forecasting.rolling_evaluation(panel, columns, args.eval_windows, args.eval_holdout_days, strategy, args.config, args.train_days, args.model)
         files.write_json(told["evaluation"], os.path.join(args.cache_dir, "holdout_metrics.json"))
-    models = forecasting.fitted(panel, columns, strategy, days, args.config)
+    models = forecasting.fitted(panel, columns, strategy, days, args.config, args.model)
     made = forecasting.forecast(panel, models, columns, strategy, days, args.config).persist()
     try:
         test = panel.filter("dataset_split = 'test'").select("id", "date", "store_id", "product_id")

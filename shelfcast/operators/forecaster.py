@@ -6,6 +6,7 @@ import math
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from ..sources.schemas import SERIES
 from ..sources.shared import importable
 from .baseline import HISTORY, direct_supervised, historical_quantiles
 from .boosting import fit_models
+from .ensemble import Blend, default_members, train_ensemble
 from .features import forecaster_features
 from .learner import BoostConfig, Boosted
 from .stockout import LOOKBACK, POSITIVE_DAYS, POSITIVE_RATE, TYPICAL_SALES, add_stockout_flag
@@ -96,6 +98,15 @@ def train_models(rows: DataFrame, columns: list[str], config: BoostConfig = Boos
     return fit_models(rows, columns, ["date", *SERIES], config, [c for c in columns if c in CATEGORICAL])
 
 
+def train_blends(rows: DataFrame, columns: list[str], config: BoostConfig = BoostConfig()) -> dict[int, list[Blend]]:
+    """Ensembles by lead around the booster of ``config``; they stand wherever models do."""
+    return train_ensemble(rows, columns, ["date", *SERIES], default_members(config), [c for c in columns if c in CATEGORICAL])
+
+
+#: Fits by name of what recursion, direct leads and explanations take as models.
+TRAINERS = {"boosted": train_models, "ensemble": train_blends}
+
+
 def coherent(raw: np.ndarray, log_sales: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Back-transformed, clipped and sorted quantiles of each row, and where each came from."""
     values = np.maximum(np.expm1(raw) if log_sales else raw, 0)
@@ -197,9 +208,9 @@ def _historical(train, rows, columns, config):
     return historical_quantiles(train, rows)
 
 
-def _boosted(train, rows, columns, config):
+def _fitted(fit: Callable, train, rows, columns, config):
     filled = [F.coalesce(C(c).cast("double"), F.lit(-1.0)).alias(c) for c in columns]
-    models = train_models(train.select("date", *SERIES, "sales_count", *filled), columns, config)[0]
+    models = fit(train.select("date", *SERIES, "sales_count", *filled), columns, config)[0]
     numbers = [f"_x{k}" for k in range(len(columns))]
     wide = rows.select("*", *[F.coalesce(C(c).cast("double"), F.lit(-1.0)).alias(n) for c, n in zip(columns, numbers, strict=True)])
     schema = wide.drop(*numbers).schema
@@ -226,7 +237,7 @@ def _optional(module: str):
 
 
 #: Models by name; more can be registered.
-PREDICTORS: dict[str, Predictor] = {p.name: p for p in (Predictor("historical", _historical), Predictor("boosted", _boosted), *(Predictor(n, _optional(n)) for n in ("lightgbm", "autogluon")))}
+PREDICTORS: dict[str, Predictor] = {p.name: p for p in (Predictor("historical", _historical), *(Predictor(n, partial(_fitted, fit)) for n, fit in TRAINERS.items()), *(Predictor(n, _optional(n)) for n in ("lightgbm", "autogluon")))}
 
 
 def predictor(name: str) -> Predictor:

@@ -21,9 +21,9 @@ def horizon(panel: DataFrame) -> int:
     return panel.agg(F.datediff(F.max("date"), F.max(F.when(C("sales_count").isNotNull(), C("date")))).alias("n")).first().n or 0
 
 
-def fitted(panel: DataFrame, columns: list[str], strategy: str, days: int, config: BoostConfig) -> dict[int, list[Boosted]]:
+def fitted(panel: DataFrame, columns: list[str], strategy: str, days: int, config: BoostConfig, model: str = "boosted") -> dict[int, list[Boosted]]:
     """Models by lead: those of the next day under lead 0, or one set a lead from 1 on."""
-    return forecaster.train_models(_rows(panel, columns, strategy, days), forecaster.SALES + columns, config)
+    return forecaster.TRAINERS[model](_rows(panel, columns, strategy, days), forecaster.SALES + columns, config)
 
 
 def _rows(panel: DataFrame, columns: list[str], strategy: str, days: int) -> DataFrame:
@@ -45,7 +45,7 @@ def forecast(panel: DataFrame, models: dict[int, list[Boosted]], columns: list[s
 _WINDOW = 10_000
 
 
-def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int = 3, holdout: int = 28, strategy: str = "recursive", config: BoostConfig = BoostConfig(), train_days: int | None = None) -> dict:
+def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int = 3, holdout: int = 28, strategy: str = "recursive", config: BoostConfig = BoostConfig(), train_days: int | None = None, model: str = "boosted") -> dict:
     """Log-pinball losses of forecasts made from rolling origins, the latest after ``train_days``.
 
     All windows are fitted side by side and judged in one job. A training row's features
@@ -67,7 +67,7 @@ def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int = 3, h
     training = known.withColumn("dataset_split", F.lit("train"))
     upto = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(start).alias("start")) for w, start in enumerate(starts)])
     rows = _rows(training, columns, strategy, holdout).withColumn("_w", F.explode(upto)).filter(C("date") < C("_w.start"))
-    models = forecaster.train_models(rows.withColumn("lead", C("_w.w") * _WINDOW + C("lead")).drop("_w"), forecaster.SALES + columns, config)
+    models = forecaster.TRAINERS[model](rows.withColumn("lead", C("_w.w") * _WINDOW + C("lead")).drop("_w"), forecaster.SALES + columns, config)
     parts = [
         known.filter(C("date") < F.lit(start + timedelta(days=holdout))).withColumns({"dataset_split": F.when(C("date") < F.lit(start), "train").otherwise("test"), "sales_count": F.when(C("date") < F.lit(start), C("sales_count"))})
         for start in starts
@@ -92,6 +92,7 @@ def rolling_evaluation(panel: DataFrame, columns: list[str], windows: int = 3, h
         "train_end": told[-1]["train_end"],
         "holdout_start": told[0]["holdout_start"],
         "holdout_end": told[-1]["holdout_end"],
+        "model": model,
         "forecast_strategy": strategy,
         "target_transform": "log1p" if config.log_sales else "identity",
         "eval_windows": windows,

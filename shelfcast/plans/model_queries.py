@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import NAMES
-from ..operators import boosting, forecaster, shap
+from ..operators import boosting, ensemble, forecaster, shap
 from ..operators.learner import BoostConfig, Boosted
 from ..sources.adapter import HORIZON, panel_sources
 from .oracle import with_ctes
@@ -24,16 +24,15 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 X = ["promotion", "day_of_week"]
 
 
-_FITTED: dict[tuple, dict] = {}
+_FITTED: dict[str, tuple[tuple, dict]] = {}
 
 
-def _models(spark: SparkSession, sf_dir: str) -> dict[int, list[Boosted]]:
+def _models(spark: SparkSession, sf_dir: str, model: str = "boosted") -> dict[int, list[Boosted]]:
     """Models of the next day, fitted once a session and folder: several queries read them."""
     key = (spark.sparkContext.applicationId, sf_dir, CONFIG)
-    if key not in _FITTED:
-        _FITTED.clear()
-        _FITTED[key] = forecaster.train_models(forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG)
-    return _FITTED[key]
+    if _FITTED.get(model, (None,))[0] != key:
+        _FITTED[model] = key, forecaster.TRAINERS[model](forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG)
+    return _FITTED[model][1]
 
 
 @query()
@@ -47,6 +46,17 @@ def m13_recursive_forecast(spark, sf_dir):
     return tidy(forecaster.recursive_forecast(_panel(spark, sf_dir), _models(spark, sf_dir), X))
 
 
+@query()
+def m3_ensemble_weights(spark, sf_dir):
+    """Members, weights and losses out of fold of the ensemble of the next day."""
+    return tidy(ensemble.weight_table(spark, _models(spark, sf_dir, "ensemble")))
+
+
+@query()
+def m20_ensemble_recursion(spark, sf_dir):
+    return tidy(forecaster.recursive_forecast(_panel(spark, sf_dir), _models(spark, sf_dir, "ensemble"), X))
+
+
 @query()
 def m14_direct_forecast(spark, sf_dir):
     p, leads = _panel(spark, sf_dir), list(range(1, HORIZON + 1))
@@ -92,7 +102,7 @@ def _k(k: int) -> str:
 
 _ROWS = "SELECT id, day(date) AS d, store_id AS s, CAST(unnest([0.25, 0.5, 0.75, 0.95]) AS DOUBLE) AS quantile FROM test_rows"
 _BUCKETS = ", ".join(f"round({' + '.join(_k(FEATURES.index(c)) for c in cols)}, 2) AS contrib_{b}" for b, cols in shap.BUCKETS.items())
-DATELESS |= {"m19_shap_buckets", "v13_additivity", "t9_top_factors", "m10_quantile_boosting"}
+DATELESS |= {"m19_shap_buckets", "v13_additivity", "t9_top_factors", "m10_quantile_boosting", "m3_ensemble_weights"}
 
 
 @query(with_ctes(f"SELECT id, quantile, round(exp(d / 10.0) - 1, 2) AS base_units, {_BUCKETS} FROM ({_ROWS})", "test_rows"))
