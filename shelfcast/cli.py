@@ -73,9 +73,9 @@ def forecast(args: argparse.Namespace, panel: DataFrame) -> dict:
     try:
         test = panel.filter("dataset_split = 'test'").select("id", "date", "store_id", "product_id")
         whole = forecasting.guarded_submission(made, test)
-        sample = panel.sparkSession.read.option("header", True).csv(f"{args.data_dir}/sample_submission.csv")
-        order = sample.select(F.col("id").cast(dict(test.dtypes)["id"]).alias("id")).withColumn("position", F.monotonically_increasing_id())
-        files.write_submission(whole.join(order, "id").orderBy("position"), args.output)
+        sample = files.in_file_order(panel.sparkSession.read.option("header", True).csv(f"{args.data_dir}/sample_submission.csv"))
+        order = sample.select(F.col("id").cast(dict(test.dtypes)["id"]).alias("id"), *files.LINE)
+        files.write_submission(whole.join(order, "id").orderBy(*files.LINE), args.output)
     finally:
         made.unpersist()
     told["forecast"] = args.output

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import NAMES, QUANTILES, log_pinball
 from ..sources.schemas import SERIES
 from .features import forecaster_columns, nearest_quantile
+from .ranks import at_ranks
 from .stockout import add_stockout_flag
 
 C = F.col
@@ -27,17 +30,13 @@ def chronological_split(df: DataFrame, holdout: int) -> tuple[DataFrame, DataFra
 def historical_quantiles(train: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with the quantiles of their series' past sales, interpolated.
 
-    A series without a past gets those of all sales, by the nearest rank, from
-    counts of distinct values, so nothing is collected.
+    A series without a past gets those of all sales, by the nearest rank, found
+    when this is called.
     """
     own = train.groupBy(*SERIES).agg(F.percentile("sales_count", list(QUANTILES)).alias("_q"))
-    every = train.filter("sales_count is not null").groupBy("sales_count").agg(F.count("*").alias("n"))
-    upto = every.crossJoin(F.broadcast(every.agg(F.sum("n").alias("total"))))
-    w = Window.orderBy("sales_count").rowsBetween(Window.unboundedPreceding, 0)
-    upto = upto.withColumn("upto", F.sum("n").over(w))
-    world = upto.agg(*[F.min(F.when(C("upto") > F.floor((C("total") - 1) * q + 0.5), C("sales_count"))).alias(f"_g{i}") for i, q in enumerate(QUANTILES)])
-    out = rows.join(own, SERIES, "left").crossJoin(F.broadcast(world))
-    return out.withColumns({n: F.coalesce(C("_q")[i], C(f"_g{i}")) for i, n in enumerate(NAMES)}).drop("_q", *[f"_g{i}" for i in range(len(NAMES))])
+    world = at_ranks(train, C("sales_count"), lambda n: [math.floor((n - 1) * q + 0.5) for q in QUANTILES])
+    out = rows.join(own, SERIES, "left")
+    return out.withColumns({n: F.coalesce(C("_q")[i], F.lit(world[i]).cast("double")) for i, n in enumerate(NAMES)}).drop("_q")
 
 
 def trailing_quantiles(df: DataFrame, n: int = 56) -> DataFrame:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import NAMES, element_at_share, is_monotonic, round_half_up
+from ..functions.metrics import NAMES, is_monotonic, round_half_up
 from .context import expand_events
+from .ranks import element_at_share
 
 C = F.col
 #: Families of everyday goods, severities, labels and actions of the rules.

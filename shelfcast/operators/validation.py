@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import KEY
+from ..sources.shared import written
 
 C = F.col
 
@@ -118,9 +119,11 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds position, from 0, in the given order.
 
     Rows are range-partitioned and numbered inside their partition; partitions
-    are offset by the counts before them, so no single task sorts all rows.
+    are offset by the counts before them, so no single task sorts all rows. They are written
+    once: counts and numbers must come of the same bounds.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = written(parts, "positions")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return parts.join(F.broadcast(before), "_p").withColumn("position", C("_b") + C("_k")).drop("_p", "_k", "_b")

@@ -11,7 +11,7 @@ from ..operators.context import unmatched_events
 from ..operators.forecaster import predictor
 from ..operators.learner import BoostConfig
 from ..sources.adapter import Sources
-from ..sources.files import scan_sources, write_json, write_parquet
+from ..sources.files import LINE, in_file_order, scan_sources, write_json, write_parquet
 from ..sources.schemas import KEY
 
 C = F.col
@@ -30,8 +30,7 @@ def sources_from_files(spark: SparkSession, data_dir: str, context_dir: str | No
     if traffic is None:
         traffic = spark.createDataFrame([], "date date, store_id short, transaction_count int")
     validation.validate_traffic(traffic)
-    # order is the line order of single files; files split into parts keep it by position
-    ordered = [df.select("id").withColumn("position", F.monotonically_increasing_id()) for df in (t["test"].coalesce(1), t["sample"].coalesce(1))]
+    ordered = [validation.positions(in_file_order(t[n]).select("id", *LINE), LINE) for n in ("test", "sample")]
     validation.validate_sample_ids(*ordered)
     panel = dataset.union_splits(t["history"], t["test"])
     span = panel.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))

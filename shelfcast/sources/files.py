@@ -34,6 +34,19 @@ def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("escape", '"').option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
+#: Columns of :func:`in_file_order`: their order is that of lines.
+LINE = ["_file", "_start", "_line"]
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows of a scan of text files with what tells their place: file, block and rank inside it.
+
+    Files are in the order of their paths, as parts of one table are written. A block is read by
+    one task in its order, so no task reads it all to keep lines in order. Must be next to the scan.
+    """
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+
+
 def parse_date(column: str = "date"):
     """A strict ISO day; anything else raises."""
     return F.to_date(F.col(column), "yyyy-MM-dd")

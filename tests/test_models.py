@@ -183,12 +183,6 @@ def test_small_functions(spark):
     assert (r.m, r.h, r.c, r.d) == (50.0, 3, '"a""b"', "Jul 4")
 
 
-def test_cutoff_is_the_element_at_the_share(spark):
-    for n in (1, 7, 100, 1000):
-        df = spark.range(n).select((F.col("id") * 11 % n).cast("double").alias("v"))
-        assert metrics.element_at_share(df, F.col("v"), 0.95).first().cutoff == min(n - 1, math.floor(n * 0.95))
-
-
 def test_cache_hits_and_rebuilds(tmp_path):
     code, source, out = tmp_path / "c.py", tmp_path / "in.txt", str(tmp_path / "out.txt")
     code.write_text("1")
