@@ -142,29 +142,35 @@ def validate_sample_ids(test: DataFrame, sample: DataFrame) -> None:
         raise ValueError(f"{got.misplaced} sample ids are not those of the test rows in order")
 
 
+def audit_figures() -> dict[str, Column]:
+    """Figures of the merged panel that a write can observe on its way, without keys."""
+    train = C("dataset_split") == "train"
+    return {
+        "n_rows": F.count("*"),
+        "train_rows": F.count_if(train),
+        "test_rows": F.count_if(~train),
+        "matched_products": F.count_if(C("product_family").isNotNull()),
+        "matched_stores": F.count_if(C("city").isNotNull()),
+        "null_oil": F.count_if(C("oil_price").isNull()),
+        "missing_traffic": F.count_if(C("traffic_source_missing").isNull()),
+        "null_train_sales": F.count_if(C("sales_count").isNull() & train),
+        "known_test_sales": F.count_if(C("sales_count").isNotNull() & ~train),
+        "first_day": F.min("date"),
+        "last_day": F.max("date"),
+    }
+
+
 def audit(df: DataFrame) -> DataFrame:
     """Twelve figures of the merged panel in one row."""
-    train = C("dataset_split") == "train"
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct(F.struct(*KEY)).alias("unique_keys"),
-        F.count_if(train).alias("train_rows"),
-        F.count_if(~train).alias("test_rows"),
-        F.count_if(C("product_family").isNotNull()).alias("matched_products"),
-        F.count_if(C("city").isNotNull()).alias("matched_stores"),
-        F.count_if(C("oil_price").isNull()).alias("null_oil"),
-        F.count_if(C("traffic_source_missing").isNull()).alias("missing_traffic"),
-        F.count_if(C("sales_count").isNull() & train).alias("null_train_sales"),
-        F.count_if(C("sales_count").isNotNull() & ~train).alias("known_test_sales"),
-        F.min("date").alias("first_day"),
-        F.max("date").alias("last_day"),
-    )
+    keys = F.count_distinct(F.struct(*KEY)).alias("unique_keys")
+    return df.agg(keys, *[c.alias(n) for n, c in audit_figures().items()])
 
 
-def validate_audit(df: DataFrame, expected: dict[str, object]):
-    got = audit(df).first()
-    _judge("merged panel", got, expected)
-    return got
+def validate_audit(told: dict, back: DataFrame, expected: dict[str, object]) -> dict:
+    """Judge what the write observed and, by a scan of the keys alone, that none repeats."""
+    keys = back.agg(F.count_distinct(F.struct(*KEY)).alias("n")).first().n
+    _judge("merged panel", told | {"unique_keys": keys}, expected)
+    return told | {"unique_keys": keys}
 
 
 def validate_submission(submission: DataFrame, test: DataFrame) -> None:

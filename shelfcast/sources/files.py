@@ -7,8 +7,9 @@ import os
 import tempfile
 import time
 import uuid
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import NAMES
@@ -72,18 +73,24 @@ def scan_sources(spark: SparkSession, data_dir: str, context_dir: str | None = N
     return out
 
 
-def write_parquet(df: DataFrame, path: str, expected_rows: int | None = None, compression: str = "zstd") -> dict:
-    """Write once and verify what was written; returns rows and first and last day."""
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+def write_parquet(df: DataFrame, path: str, expected_rows: int | None = None, compression: str = "zstd", figures: dict[str, Column] | None = None) -> dict:
+    """Write once and verify what was written; returns rows, first and last day, and ``figures``.
+
+    Figures are aggregates without distinct that the write observes as rows pass. The files are
+    not scanned again: their columns and numbers of rows come from their footers.
+    """
+    aggs = {n: c for n, c in (figures or {}).items() if n not in ("n_rows", "first_day", "last_day")}
+    if "date" in df.columns:  # as numbers of days: the driver gets plain values
+        aggs |= {n: F.unix_date(c("date").cast("date")) for n, c in (("first_day", F.min), ("last_day", F.max))}
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n_rows"), *[c.alias(n) for n, c in aggs.items()]).write.mode("overwrite").option("compression", compression).parquet(path)
     back = df.sparkSession.read.parquet(path)
     if back.columns != df.columns:
         raise ValueError("written columns differ from those asked for")
-    aggs = [F.count("*").alias("n_rows")]
-    if "date" in back.columns:
-        aggs += [F.min("date").alias("first_day"), F.max("date").alias("last_day")]
-    got = back.agg(*aggs).first().asDict()
-    if expected_rows is not None and got["n_rows"] != expected_rows:
-        raise ValueError(f"written {got['n_rows']} rows, not {expected_rows}")
+    got = {n: date(1970, 1, 1) + timedelta(v) if n in ("first_day", "last_day") and v is not None else v for n, v in seen.get.items()}
+    there = back.count()
+    if there != got["n_rows"] or there != (there if expected_rows is None else expected_rows):
+        raise ValueError(f"written {there} rows, not {got['n_rows'] if expected_rows is None else expected_rows}")
     return got
 
 

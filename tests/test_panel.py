@@ -156,3 +156,23 @@ def test_all_events_are_mapped(spark, tmp_path, kind):
     spark.range(200).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
     events = panel_sources(spark, str(tmp_path), kind).events
     assert events.count() == 200 and events.filter("is_transferred").count() == 100
+
+
+def test_the_write_observes_what_a_scan_would_count(spark, tmp_path):
+    from shelfcast.sources import files
+
+    day = date(2026, 3, 1)
+    rows = [(day + timedelta(i % 7), i, f"p{i % 3}", "train" if i % 5 else "test", "f" if i % 4 else None, "c", None if i % 6 else 1.0, i % 2 == 0, float(i) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "date date, store_id int, product_id string, dataset_split string, product_family string, city string, oil_price double, traffic_source_missing boolean, sales_count double").repartition(6)
+    got = files.write_parquet(df, str(tmp_path / "t"), 400, figures=validation.audit_figures())
+    want = validation.audit(spark.read.parquet(str(tmp_path / "t"))).first().asDict()
+    assert want.pop("unique_keys") == 400 and got == want
+    with pytest.raises(ValueError, match="matched_products is 300, not 400"):
+        validation.validate_audit(got, df, {"matched_products": 400})
+    with pytest.raises(ValueError, match="unique_keys is 400, not 800"):
+        validation.validate_audit(got, df.union(df), {"unique_keys": 800})
+    with pytest.raises(ValueError, match="written 400 rows, not 399"):
+        files.write_parquet(df, str(tmp_path / "u"), 399)
+    # nothing written: no days, and tables without days have none to tell
+    assert files.write_parquet(df.limit(0), str(tmp_path / "v")) == {"n_rows": 0, "first_day": None, "last_day": None}
+    assert files.write_parquet(df.select("city"), str(tmp_path / "w")) == {"n_rows": 400}
