@@ -48,8 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tables/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            removed(df.sparkSession, root)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

@@ -1,4 +1,4 @@
-"""The command line over a small folder of CSV files, and the stream."""
+"""The command line over a small folder of CSV files."""
 
 import csv
 import os
@@ -64,18 +64,3 @@ def test_sample_order_is_checked(spark, folder, tmp_path):
     (tmp_path / "sample_submission.csv").write_text("\n".join(lines) + "\n")
     with pytest.raises(ValueError, match="sample ids"):
         sources_from_files(spark, str(tmp_path))
-
-
-def test_stream_features(spark, tmp_path):
-    from shelfcast.streaming.rolling import rolling_features
-
-    schema = "date date, store_id int, product_id string, sales_count double"
-    rows = [(D + timedelta(i), 1, "a", float(i)) for i in range(10)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = rolling_features(stream).writeStream.format("memory").queryName("rolled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("rolled").orderBy("date").collect()
-    assert [r.sales_lag_1 for r in got] == [None, *map(float, range(9))]
-    assert got[9].sales_mean_7 == sum(range(2, 9)) / 7
