@@ -1,8 +1,8 @@
 """Content-addressed stages: run one only if what it depends on has changed.
 
-``run_stage`` keeps local files. ``run_table_stage`` keeps tables in any file system
-that Spark reaches: files are digested by tasks, each build is a version of its own,
-and a pointer file, replaced in one step, says which version holds.
+Stages keep tables or reports in any file system that Spark reaches: files are digested
+by tasks, each build is a version of its own, and a pointer file, replaced in
+one step, says which version holds.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,130 +17,64 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import write_json
+from ..sources.shared import place, removed, replace_text, text_of
 
-VERSION = 1
+VERSION = 2
+#: Bytes of a file up to which it is one value of a task; larger ones are split.
+LARGE = 256 * 2**20
 
 
 def file_digest(path: str) -> str:
-    """SHA-256 of a file, or of a folder's data files by path."""
-    h = hashlib.sha256()
-    if os.path.isdir(path):
-        for root, dirs, names in sorted(os.walk(path)):
-            dirs.sort()
-            for n in sorted(x for x in names if not x.startswith((".", "_"))):
-                full = os.path.join(root, n)
-                h.update(os.path.relpath(full, path).encode())
-                h.update(file_digest(full).encode())
-        return h.hexdigest()
+    """SHA-256 of a file of code."""
     with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
-
-
-def fingerprint(stage: str, inputs: list[str], code: list[str], parameters: dict) -> str:
-    # code is named by its place below the folder that all of it shares: base names repeat
-    root = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in code]) if code else ""
-    named = {os.path.relpath(os.path.abspath(p), root): file_digest(p) for p in sorted(code)}
-    told = {"version": VERSION, "stage": stage, "inputs": {p: file_digest(p) for p in sorted(inputs)}, "code": named, "parameters": parameters}
-    return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
+        return hashlib.sha256(f.read()).hexdigest()
 
 
 @dataclass(frozen=True)
 class Outcome:
     hit: bool
     metadata: dict
-    #: Where the table is (``run_table_stage``).
-    path: str | None = None
-
-
-def run_stage(stage: str, output: str, manifest: str, inputs: list[str], code: list[str], parameters: dict, build: Callable[[str], dict], force: bool = False) -> Outcome:
-    """Build ``output`` unless a manifest vouches for it.
-
-    A hit needs the same fingerprint and the output's own digest. ``build``
-    writes to a draft beside the output, which then takes its place.
-    """
-    mark = fingerprint(stage, inputs, code, parameters)
-    if not force and os.path.exists(manifest) and os.path.exists(output):
-        with open(manifest) as f:
-            known = json.load(f)
-        if known.get("fingerprint") == mark and known.get("output_digest") == file_digest(output):
-            return Outcome(True, known.get("metadata", {}))
-    draft = f"{output}.draft-{uuid.uuid4().hex[:8]}"
-    os.makedirs(os.path.dirname(os.path.abspath(output)), exist_ok=True)
-    try:
-        metadata = build(draft) or {}
-        if not os.path.exists(draft):
-            raise RuntimeError(f"stage {stage} produced nothing")
-        if os.path.isdir(output):
-            shutil.rmtree(output)
-        os.replace(draft, output)
-    finally:
-        if os.path.isdir(draft):
-            shutil.rmtree(draft, ignore_errors=True)
-        elif os.path.exists(draft):
-            os.unlink(draft)
-    write_json({"fingerprint": mark, "output_digest": file_digest(output), "stage": stage, "metadata": metadata}, manifest)
-    return Outcome(False, metadata)
+    #: The version that holds.
+    path: str
 
 
 def table_digests(spark: SparkSession, path: str) -> dict[str, str]:
-    """SHA-256 of each data file below ``path`` by its place there; each is read by a task.
+    """A digest of each data file below ``path`` by its place there, made by tasks.
 
-    Empty if there is nothing. A file is one value of a row, so it has 2 GB at most.
+    SHA-256; of a file over LARGE, which many tasks share, its length and the sum of a
+    hash of each line with its place (its block and its rank there). Empty if there is nothing.
     """
-    folder = _place(spark, path)[1]
-    if not folder:
+    fs, p = place(spark, path)
+    if not fs.exists(p):
         return {}
+    base = p.toUri().getPath()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    base = _place(spark, path)[0].toUri().getPath()
-    place = F.substring_index(F.col("path"), base, -1)
-    return {r.place: r.digest for r in files.select(place.alias("place"), F.sha2("content", 256).alias("digest")).collect()}
-
-
-def _place(spark: SparkSession, path: str):
-    """A path as the file system names it, and whether it is there."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return fs.makeQualified(p), fs.exists(p)
-
-
-def _text(spark: SparkSession, path: str) -> str | None:
-    if not _place(spark, path)[1]:
-        return None
-    return "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
-
-
-def _replace(spark: SparkSession, path: str, text: str) -> None:
-    """Write ``text`` beside ``path`` and rename it over it: readers see the old or the new."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    there = _place(spark, path)[0]
-    draft = jvm.org.apache.hadoop.fs.Path(there.getParent(), f".{there.getName()}-{uuid.uuid4().hex}")
-    out = draft.getFileSystem(conf).create(draft, False)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), conf).rename(draft, there, options)
-
-
-def run_table_stage(spark: SparkSession, stage: str, root: str, inputs: list[str], code: list[str], parameters: dict, build: Callable[[str], dict], force: bool = False) -> Outcome:
+    at = F.substring_index("path", base, -1).alias("place")
+    out = {r.place: r.digest for r in files.filter(F.col("length") <= LARGE).select(at, F.sha2("content", 256).alias("digest")).collect()}
+    large = {r.place: (r.path, r.length) for r in files.filter(F.col("length") > LARGE).select(at, "path", "length").collect()}
+    for name, (full, length) in large.items():
+        lines = spark.read.option("lineSep", "\n").text(full)
+        rank = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+        total = lines.select(F.xxhash64("value", "_metadata.file_block_start", rank).cast("decimal(38,0)").alias("h")).agg(F.sum("h")).first()[0]
+        out[name] = f"{length}-{total}"
+    return out
+
+
+def run_stage(spark: SparkSession, stage: str, root: str, inputs: list[str], code: list[str], parameters: dict, build: Callable[[str], dict], force: bool = False) -> Outcome:
     """Build a table below ``root`` unless the pointer there vouches for one.
 
-    ``build`` writes the table to the path it is given and returns facts about it. A hit
+    ``build`` writes to the path it is given and returns facts about it. A hit
     needs the same inputs, code and parameters, and the files that were written. A run that
     ends before the pointer is replaced leaves the version that held; what it
     wrote is never read. The version before goes after the pointer is replaced, so a reader of it has to start anew.
     """
-    own = {os.path.relpath(p, os.path.commonpath(code)) if len(code) > 1 else os.path.basename(p): file_digest(p) for p in sorted(code)}
+    # code is named by its place below the folder that all of it shares: base names repeat
+    shared = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in code]) if code else ""
+    own = {os.path.relpath(os.path.abspath(p), shared): file_digest(p) for p in sorted(code)}
     told = {"version": VERSION, "stage": stage, "inputs": {p: table_digests(spark, p) for p in sorted(inputs)}, "code": own, "parameters": parameters}
     mark = hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
     pointer = f"{root}/current.json"
-    known = json.loads(_text(spark, pointer) or "{}")
+    known = json.loads(text_of(spark, pointer) or "{}")
     if not force and known.get("fingerprint") == mark and known["digests"] == table_digests(spark, known["path"]) != {}:
         return Outcome(True, known["metadata"], known["path"])
     path = f"{root}/{stage}-{uuid.uuid4().hex}"
@@ -149,8 +82,15 @@ def run_table_stage(spark: SparkSession, stage: str, root: str, inputs: list[str
     digests = table_digests(spark, path)
     if not digests:
         raise RuntimeError(f"stage {stage} produced nothing")
-    _replace(spark, pointer, json.dumps({"fingerprint": mark, "path": path, "digests": digests, "stage": stage, "metadata": metadata}, sort_keys=True, default=str))
+    replace_text(spark, pointer, json.dumps({"fingerprint": mark, "path": path, "digests": digests, "stage": stage, "metadata": metadata}, sort_keys=True, default=str))
     if known:
-        old = _place(spark, known["path"])[0]
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        removed(spark, known["path"])
     return Outcome(False, metadata, path)
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """Where the version below ``root`` is that holds."""
+    found = text_of(spark, f"{root}/current.json")
+    if found is None:
+        raise FileNotFoundError(f"{root} has not been built")
+    return json.loads(found)["path"]

@@ -74,7 +74,7 @@ def train_and_evaluate(table: DataFrame, report: str | None, model: str, holdout
         "features": columns,
     }
     if report:
-        write_json(out, report)
+        write_json(table.sparkSession, out, report)
     return out
 
 

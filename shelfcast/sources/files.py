@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import time
 import uuid
 from datetime import date, timedelta
@@ -14,19 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import NAMES
 from .schemas import SOURCES
+from .shared import names_in, place, replace_text
 
 #: File of each source; traffic is optional and lies in the context folder.
 FILES = {"history": "sales_history.csv", "test": "test.csv", "items": "items.csv", "stores": "stores.csv", "events": "events.csv", "oil": "oil_prices.csv"}
 TRAFFIC = "store_traffic.csv"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = place(spark, path)
     return fs.exists(p)
 
 
@@ -129,32 +123,23 @@ def write_display(told: DataFrame, path: str) -> None:
     told.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
-def write_json(report: dict, path: str) -> None:
-    """Sorted keys, two spaces; replaces the file in one step."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, draft = tempfile.mkstemp(dir=folder, suffix=".json")
-    try:
-        with os.fdopen(handle, "w") as f:
-            json.dump(report, f, indent=2, sort_keys=True, default=str)
-            f.write("\n")
-        os.replace(draft, path)
-    except BaseException:
-        os.unlink(draft)
-        raise
+def write_json(spark: SparkSession, report: dict, path: str) -> None:
+    """Sorted keys, two spaces; replaces the file in one step, in whatever file system it is."""
+    replace_text(spark, path, json.dumps(report, indent=2, sort_keys=True, default=str) + "\n")
 
 
-def newest(folder: str, suffix: str) -> str:
-    found = sorted(x for x in os.listdir(folder) if x.endswith(suffix))
+def newest(spark: SparkSession, folder: str, suffix: str) -> str:
+    """The last by name of what ends with ``suffix``: names begin alike and go on with a time."""
+    found = [n for n in names_in(spark, folder) if n.endswith(suffix)]
     if not found:
         raise FileNotFoundError(f"no {suffix} in {folder}")
-    return os.path.join(folder, found[-1])
+    return f"{folder}/{found[-1]}"
 
 
-def unique_path(folder: str, stem: str, suffix: str) -> str:
-    return os.path.join(folder, f"{stem}_{time.strftime('%Y%m%dT%H%M%S')}_{uuid.uuid4().hex[:6]}{suffix}")
+def unique_path(folder: str, stem: str, suffix: str = "") -> str:
+    return f"{folder}/{stem}_{time.strftime('%Y%m%dT%H%M%S')}_{uuid.uuid4().hex[:6]}{suffix}"
 
 
-def write_model(models: DataFrame, path: str) -> None:
-    """Fitted models as a table: lead, quantile, rows, bytes."""
-    models.write.mode("errorifexists").parquet(path)
+def write_model(nodes: DataFrame, path: str) -> None:
+    """Fitted models as a table of their nodes (``boosting.model_table``)."""
+    nodes.write.mode("errorifexists").option("compression", "zstd").parquet(path)

@@ -57,3 +57,39 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it is."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def place(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it is named there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder, in order."""
+    fs, p = place(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def text_of(spark: SparkSession, path: str) -> str | None:
+    """What a small text file holds; None if it is not there."""
+    fs, p = place(spark, path)
+    if not fs.exists(p):
+        return None
+    return "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` beside ``path`` and rename it over it: readers see the old or the new."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, there = place(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(there.getParent(), f".{there.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), conf).rename(draft, there, options)

@@ -50,6 +50,8 @@ def test_stages_and_forecast(spark, folder, tmp_path):
     out = str(tmp_path / "submission")
     cli.main(["forecast", *common, "--output", out, "--context-groups", "promotion,product", "--skip-holdout"], spark)
     got = files.read_submission(spark, out)
+    assert spark.read.parquet(f"{out}.models.parquet").filter("tree = -1").count() == 4
+    assert (tmp_path / "train" / os.path.basename(again["train"].path) / "report.json").exists()
     assert got.count() == 18 and got.filter("p25 <= p50 AND p50 <= p75 AND p75 <= p95").count() == 18
 
 
@@ -64,3 +66,14 @@ def test_sample_order_is_checked(spark, folder, tmp_path):
     (tmp_path / "sample_submission.csv").write_text("\n".join(lines) + "\n")
     with pytest.raises(ValueError, match="sample ids"):
         sources_from_files(spark, str(tmp_path))
+
+
+def test_newest_explanations_are_displayed(spark, folder, tmp_path):
+    common = ["--data-dir", str(folder), "--context-dir", str(folder / "context"), "--cache-dir", f"file://{tmp_path}/cache", "--rounds", "2", "--depth", "2", "--min-leaf", "2", "--output-dir", f"file://{tmp_path}/made"]
+    groups = ",".join(cli.forecaster.CONTEXT)
+    told = cli.main(["forecast", *common, "--skip-holdout", "--shap", "--context-groups", groups], spark)
+    assert told["forecast"].startswith(f"file://{tmp_path}/made/forecast_")
+    shown = cli.main(["display", "--output-dir", f"file://{tmp_path}/made"], spark)
+    assert shown["shap"] == told["shap"] and spark.read.option("header", True).csv(shown["display"]).count() == 18 * 4
+    with pytest.raises(SystemExit):
+        cli.parse(["data"])

@@ -12,7 +12,7 @@ from shelfcast.functions import metrics
 from shelfcast.operators import baseline, forecaster, review, shap
 from shelfcast.operators.learner import BoostConfig
 from shelfcast.plans import cache, model_queries, review_queries, stages
-from shelfcast.sources import files
+from shelfcast.sources import files, shared
 
 D = date(2026, 1, 1)
 Q = "p25 double, p50 double, p75 double, p95 double"
@@ -183,29 +183,34 @@ def test_small_functions(spark):
     assert (r.m, r.h, r.c, r.d) == (50.0, 3, '"a""b"', "Jul 4")
 
 
-def test_cache_hits_and_rebuilds(tmp_path):
-    code, source, out = tmp_path / "c.py", tmp_path / "in.txt", str(tmp_path / "out.txt")
+def test_cache_hits_and_rebuilds(spark, tmp_path, monkeypatch):
+    code, source, root = tmp_path / "c.py", tmp_path / "in.txt", "file://" + str(tmp_path / "out")
     code.write_text("1")
-    source.write_text("x")
+    source.write_text("x\ny\nlonger\n")
     built = []
 
     def build(path):
         built.append(path)
-        with open(path, "w") as f:
-            f.write("made")
+        shared.replace_text(spark, path, "made")
         return {"n": len(built)}
 
     def run():
-        return cache.run_stage("s", out, str(tmp_path / "m.json"), [str(source)], [str(code)], {"a": 1}, build)
+        return cache.run_stage(spark, "s", root, [f"file://{source}"], [str(code)], {"a": 1}, build)
 
-    assert not run().hit and run().hit
+    with pytest.raises(FileNotFoundError):
+        cache.current(spark, root)
+    assert not run().hit and run().hit and cache.current(spark, root) == built[-1]
     code.write_text("2")
     assert not run().hit and len(built) == 2
-    with open(out, "w") as f:
-        f.write("other")
+    shared.replace_text(spark, built[-1], "other")
     assert not run().hit
-    with pytest.raises(RuntimeError):
-        cache.run_stage("t", out + "2", str(tmp_path / "m2.json"), [], [], {}, lambda path: {})
+    # files that many tasks share: the order and ends of lines count
+    monkeypatch.setattr(cache, "LARGE", 4)
+    told = [cache.table_digests(spark, f"file://{source}")]
+    for text in ("x\ny\nlonger\n", "y\nx\nlonger\n", "x\ny\nlonges\n", "x\ny\nlonger\r\n"):
+        source.write_bytes(text.encode())
+        told.append(cache.table_digests(spark, f"file://{source}"))
+    assert told[0] == told[1] and len({str(x) for x in told}) == 4 and all(len(x) == 1 for x in told)
 
 
 def test_table_cache_survives_a_crash(spark, tmp_path, monkeypatch):
@@ -220,7 +225,7 @@ def test_table_cache_survives_a_crash(spark, tmp_path, monkeypatch):
         return {"n": len(built)}
 
     def run(**more):
-        return cache.run_table_stage(spark, "s", root, [source], [str(code)], {"a": 1} | more, build)
+        return cache.run_stage(spark, "s", root, [source], [str(code)], {"a": 1} | more, build)
 
     first, again = run(), run()
     assert (first.hit, again.hit, again.path, again.metadata) == (False, True, first.path, {"n": 1})
@@ -228,7 +233,7 @@ def test_table_cache_survives_a_crash(spark, tmp_path, monkeypatch):
     # a run that ends between the table and the pointer leaves the version that held
     code.write_text("2")
     with monkeypatch.context() as m:
-        m.setattr(cache, "_replace", lambda *x: (_ for _ in ()).throw(OSError("lost")))
+        m.setattr(cache, "replace_text", lambda *x: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError):
             run()
     assert spark.read.parquet(first.path).count() == 20 and len(built) == 2
@@ -245,7 +250,7 @@ def test_table_cache_survives_a_crash(spark, tmp_path, monkeypatch):
     spark.range(1).write.mode("append").parquet(changed.path)
     assert not run(a=2).hit
     with pytest.raises(RuntimeError, match="nothing"):
-        cache.run_table_stage(spark, "t", root + "2", [], [], {}, lambda path: {})
+        cache.run_stage(spark, "t", root + "2", [], [], {}, lambda path: {})
 
 
 def test_files(spark, tmp_path):
@@ -259,8 +264,13 @@ def test_files(spark, tmp_path):
         files.write_submission(df, path)
     (tmp_path / "q.csv").write_text('id,quantile,base_units,contrib_a\n"LIQUOR,WINE,BEER",0.5,1,2\n')
     assert files.read_shap_csv(spark, str(tmp_path / "q.csv")).first().id == "LIQUOR,WINE,BEER"
-    files.write_json({"b": 1, "a": 2}, str(tmp_path / "r.json"))
+    files.write_json(spark, {"b": 1, "a": 2}, str(tmp_path / "r.json"))
     assert (tmp_path / "r.json").read_text().index('"a"') < (tmp_path / "r.json").read_text().index('"b"')
+    for name in ("a_1.x", "a_2.x", "a_3.y"):
+        (tmp_path / name).write_text("")
+    assert files.newest(spark, str(tmp_path), ".x") == f"{tmp_path}/a_2.x"
+    with pytest.raises(FileNotFoundError):
+        files.newest(spark, str(tmp_path / "none"), ".x")
 
 
 def test_train_and_evaluate(spark):
