@@ -81,10 +81,10 @@ CTE: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def _panel(sold: str) -> str:
+def _panel(sold: str, sales: str = "CASE WHEN d.date > last_day - 28 THEN NULL ELSE coalesce(sold, 0) END") -> str:
     return f"""SELECT d.date, k.store_id, k.product_id, strftime(d.date, '%Y-%m-%d') || '|' || k.store_id || '|' || k.product_id AS id,
     CASE WHEN d.date > last_day - 28 THEN 'test' ELSE 'train' END AS dataset_split,
-    CASE WHEN d.date > last_day - 28 THEN NULL ELSE coalesce(sold, 0) END AS sales_count, coalesce(promoted, false) AS promotion
+    {sales} AS sales_count, coalesce(promoted, false) AS promotion
   FROM (SELECT DISTINCT store_id, product_id FROM {sold}) k CROSS JOIN days d LEFT JOIN {sold} s ON s.date = d.date AND s.store_id = k.store_id AND s.product_id = k.product_id"""
 
 
@@ -96,6 +96,7 @@ def _flagged(source: str) -> str:
 
 
 CTE["panel"] = (_panel("sold"), ["sold", "days"])
+CTE["panel_truth"] = (_panel("sold", "coalesce(sold, 0)"), ["sold", "days"])
 CTE["panel_sparse"] = (_panel("sold_sparse"), ["sold_sparse", "days"])
 CTE["stock"] = (_flagged("panel"), ["panel"])
 CTE["merged"] = (_flagged("enriched"), ["enriched"])
