@@ -366,7 +366,10 @@ class Fit:
                 at, rest = residuals(block, lead, k)
                 out: dict[int, np.ndarray] = {}
                 for node in np.unique(at).tolist():
-                    for i, (_, bits, known, _) in enumerate(open_.get((lead, k, node), ())):
+                    ts = open_.get((lead, k, node), ())
+                    for i, (_, bits, known, _) in enumerate(ts):
+                        if i and ts[0][1:3] == [bits, known]:
+                            continue  # both statistics are among the same values
                         v = _sortable(rest[at == node])
                         v = v if not known else v[v >> np.uint64(64 - known) == np.uint64(bits)]
                         if gather:
@@ -381,20 +384,25 @@ class Fit:
 
         while wide := {m: ts for m, ts in targets.items() if any(x[3] > GATHER and x[2] < 64 for x in ts)}:
             for r in _met(self._run(narrow(wide, False), _added), 2 * len(wide), np.int64, _added, lambda key, v: (v.tobytes(),), _SENT):
-                x = targets[r.lead, r.k, r.node // 2][r.node % 2]
+                ts = targets[r.lead, r.k, r.node // 2]
                 upto = np.cumsum(np.frombuffer(r.data, np.int64))
-                digit = min(DIGIT, 64 - x[2])
-                at = int(np.searchsorted(upto, x[0], "right"))
-                below = int(upto[at - 1]) if at else 0
-                x[:] = [x[0] - below, x[1] << digit | at, x[2] + digit, int(upto[at]) - below]
-        ranks = {(lead, k, 2 * node + i): x[0] for (lead, k, node), ts in targets.items() for i, x in enumerate(ts)}
+                told = ts[r.node % 2][1:3]
+                for x in ts[r.node % 2 :]:
+                    if x[1:3] == told:
+                        digit = min(DIGIT, 64 - x[2])
+                        at = int(np.searchsorted(upto, x[0], "right"))
+                        below = int(upto[at - 1]) if at else 0
+                        x[:] = [x[0] - below, x[1] << digit | at, x[2] + digit, int(upto[at]) - below]
+        ranks: dict[tuple[int, int, int], list[int]] = {}  # by what is sent: one or both statistics
+        for (lead, k, node), ts in targets.items():
+            for i, x in enumerate(ts):
+                ranks.setdefault((lead, k, 2 * node + (i if x[1:3] != ts[0][1:3] else 0)), []).append(x[0])
 
         def pick(key: tuple, v: np.ndarray) -> tuple:
-            r = ranks[key]
-            return (float(_doubles(np.partition(v, r)[r : r + 1])[0]),)
+            return (_doubles(np.partition(v, ranks[key])[ranks[key]]).tolist(),)
 
-        found = _met(self._run(narrow(targets, True), _joined), 2 * len(targets), np.uint64, _joined, pick, "lead int, k int, node int, value double")
-        got = {(r.lead, r.k, r.node): r.value for r in found}
+        found = _met(self._run(narrow(targets, True), _joined), len(ranks), np.uint64, _joined, pick, "lead int, k int, node int, values array<double>")
+        got = {(r.lead, r.k, r.node + i): v for r in found for i, v in enumerate(r["values"])}
         out = {}
         for (lead, k, node), ts in targets.items():
             low = got[lead, k, 2 * node]
