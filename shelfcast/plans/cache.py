@@ -60,6 +60,15 @@ def table_digests(spark: SparkSession, path: str) -> dict[str, str]:
     return out
 
 
+def fingerprint(stage: str, inputs: list[tuple[str, dict]], code: list[str], parameters: dict) -> str:
+    """``inputs`` are paths with the digests of their files; ``code`` is local files."""
+    # code is named by its place below the folder that all of it shares: base names repeat
+    root = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in code]) if code else ""
+    named = {os.path.relpath(os.path.abspath(p), root): file_digest(p) for p in sorted(code)}
+    told = {"version": VERSION, "stage": stage, "inputs": dict(inputs), "code": named, "parameters": parameters}
+    return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
+
+
 def run_stage(spark: SparkSession, stage: str, root: str, inputs: list[str], code: list[str], parameters: dict, build: Callable[[str], dict], force: bool = False) -> Outcome:
     """Build a table below ``root`` unless the pointer there vouches for one.
 
@@ -68,11 +77,7 @@ def run_stage(spark: SparkSession, stage: str, root: str, inputs: list[str], cod
     ends before the pointer is replaced leaves the version that held; what it
     wrote is never read. The version before goes after the pointer is replaced, so a reader of it has to start anew.
     """
-    # code is named by its place below the folder that all of it shares: base names repeat
-    shared = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in code]) if code else ""
-    own = {os.path.relpath(os.path.abspath(p), shared): file_digest(p) for p in sorted(code)}
-    told = {"version": VERSION, "stage": stage, "inputs": {p: table_digests(spark, p) for p in sorted(inputs)}, "code": own, "parameters": parameters}
-    mark = hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
+    mark = fingerprint(stage, [(p, table_digests(spark, p)) for p in sorted(inputs)], code, parameters)
     pointer = f"{root}/current.json"
     known = json.loads(text_of(spark, pointer) or "{}")
     if not force and known.get("fingerprint") == mark and known["digests"] == table_digests(spark, known["path"]) != {}:
