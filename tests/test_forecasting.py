@@ -143,11 +143,11 @@ def test_command_line_strategies_and_explanations(spark, folder, tmp_path):  # n
     side = spark.read.parquet(told["shap"])
     assert side.count() == 4 * len(sample) and shap.additivity(side.drop("target_transform")).first().off == 0
     assert files.read_shap_csv(spark, told["display"]).count() == 4 * len(sample)
-    merged = str(tmp_path / "merged.parquet")
+    merged = told["data"].path
     keys = [(r.date, r.product_id, r.store_id) for r in spark.read.parquet(merged).collect()]
     assert keys == sorted(keys)
     told = cli.main([*common, "--output", str(tmp_path / "b"), "--forecast-strategy", "direct", "--context-groups", "promotion,store", "--processed-data", merged, "--skip-holdout", "--feature-fraction", "0.8", "--bagging-fraction", "0.8", "--bagging-freq", "1"], spark)
-    assert set(told) == {"forecast"} and files.read_submission(spark, str(tmp_path / "b")).count() == len(sample)
+    assert set(told) == {"forecast", "models"} and files.read_submission(spark, str(tmp_path / "b")).count() == len(sample)
     with pytest.raises(SystemExit):
         cli.parse([*common, "--shap", "--forecast-strategy", "direct"])
     with pytest.raises(Exception, match="(?i)exists"):
