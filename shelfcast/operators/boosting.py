@@ -7,7 +7,9 @@ and passes on one histogram a leaf it has seen; these are added up and the best
 where they meet. The driver gets one row a leaf. When the trees are grown, their
 leaves take the exact quantile of what is left of the targets in them.
 
-No task holds the rows of a model: blocks have BLOCK rows at most, spread by a hash
+A model of NEAR rows at most is grown by one task from its blocks, one task a lead and quantile,
+by the same steps; so many small models cost one job, not one a level.
+No task holds the rows of a larger model: blocks have BLOCK rows at most, spread by a hash
 of the key. Residuals of a leaf meet only where it has GATHER at most; larger
 leaves are first narrowed down by counting the bits of the value looked for.
 Every STATE_EVERY rounds the forecasts are written beside the rows, so that a pass walks few
@@ -17,11 +19,12 @@ trees and a lost executor costs one pass of its blocks.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.metrics import QUANTILES
@@ -31,6 +34,8 @@ from .learner import BoostConfig, Boosted, Growing, Split, Tree, best_split
 C = F.col
 #: Rows of a block; residuals of a leaf that may meet in one task.
 BLOCK, GATHER = 16_384, 65_536
+#: Rows of a model that one task grows by itself, as a multiple of GATHER; larger ones take passes.
+NEAR = 2
 #: Bits that one narrowing pass tells of a value.
 DIGIT = 12
 #: Rounds between two writes of the forecasts; bytes of histograms or residuals a task holds.
@@ -238,70 +243,63 @@ def _doubles(v: np.ndarray) -> np.ndarray:
     return np.where(v >> np.uint64(63), v ^ np.uint64(1 << 63), ~v).view(np.float64)
 
 
-class Fit:
-    """The models of one table while they are fitted. See the module."""
+class _Growth:
+    """Rounds of models by (lead, quantile), wherever their blocks are: ``_meet`` asks them."""
 
-    def __init__(self, rows: DataFrame, columns: list[str], keys: list[str], config: BoostConfig, categorical: list[str] = ()):
-        self.config, self.columns = config, columns
-        self.categorical = frozenset(k for k, c in enumerate(columns) if c in categorical)
-        importable(rows.sparkSession)
-        filled = rows.select("lead", "sales_count", *keys, *[F.nanvl(F.coalesce(C(c).cast("double"), F.lit(-1.0)), F.lit(-1.0)).alias(c) for c in columns if c not in keys])
-        filled = written(filled, "training")  # read three times: counts, edges, blocks
-        self.sizes = {r.lead: r.n for r in filled.groupBy("lead").agg(F.count("*").alias("n")).collect()}
-        if not self.sizes:
-            self.models: dict[int, list[Boosted]] = {}
-            return
-        self.edges = bin_edges(filled, columns, list(categorical), config.bins)
-        self.width = max(len(e) for e in self.edges) + 1
-        self.used = [len(e) + (k not in self.categorical) for k, e in enumerate(self.edges)]
-        self.blocks = written(_blocks(filled, columns, keys, self.edges, self.categorical, self.sizes, config.log_sales), "blocks")
-        discard(filled)
-        self.since: dict[int, list[list[Tree]]] = {lead: [[] for _ in QUANTILES] for lead in self.sizes}
-        self.starts = {lead: [0.0] * len(QUANTILES) for lead in self.sizes}
-        first = self._quantiles({lead: [{0: n} for _ in QUANTILES] for lead, n in self.sizes.items()}, {lead: [None for _ in QUANTILES] for lead in self.sizes}, None)
-        self.starts = {lead: [first[lead, k, 0] for k in range(len(QUANTILES))] for lead in self.sizes}
-        self.models = {lead: [Boosted(q, self.starts[lead][k], n) for k, q in enumerate(QUANTILES)] for lead, n in self.sizes.items()}
-        for number in range(config.rounds):
+    def __init__(self, config: BoostConfig, columns: list[str], edges: list[np.ndarray], categorical: frozenset[int], sizes: dict[int, int], ks: list[int]):
+        self.config, self.columns, self.edges, self.categorical, self.sizes = config, columns, edges, categorical, sizes
+        self.wanted = [(lead, k) for lead in sizes for k in ks]
+        self.width = max(len(e) for e in edges) + 1
+        self.used = [len(e) + (k not in categorical) for k, e in enumerate(edges)]
+        self.since: dict[int, list[list[Tree]]] = {lead: [[] for _ in QUANTILES] for lead in sizes}
+        self.starts = {lead: [0.0] * len(QUANTILES) for lead in sizes}
+
+    def grow(self) -> dict[tuple[int, int], Boosted]:
+        first = self._quantiles({m: {0: self.sizes[m[0]]} for m in self.wanted}, {}, None)
+        for lead, k in self.wanted:
+            self.starts[lead][k] = first[lead, k, 0]
+        self.models = {(lead, k): Boosted(QUANTILES[k], self.starts[lead][k], self.sizes[lead]) for lead, k in self.wanted}
+        for number in range(self.config.rounds):
             if not self._round(number):
                 break
-        discard(self.blocks)
+        return self.models
 
-    def _run(self, work, join) -> DataFrame:
-        return _pass(self.blocks, len(self.columns), self.starts, self.since, (work, join), _SENT)
+    def _meet(self, work, join, nodes: int, kind, told, spec: str) -> list:
+        """Rows of ``told(key, data)`` for each (lead, k, node) that ``work`` gives data of."""
+        raise NotImplementedError
+
+    def _grown(self, number: int, trees: dict) -> None:
+        """Count the trees of a round in."""
+        raise NotImplementedError
 
     def _round(self, number: int) -> bool:
         config, columns = self.config, tree_features(number, len(self.columns), self.config)
         sizes = self.sizes
         if config.bagging_freq > 0 and config.bagging_fraction < 1:
             sizes = self._counted(number)
-        growing = {(lead, k): Growing(sizes.get(lead, 0), config) for lead in self.sizes for k in range(len(QUANTILES))}
+        growing = {(lead, k): Growing(sizes.get(lead, 0), config) for lead, k in self.wanted}
         while wanted := {m: w for m, g in growing.items() if (w := g.wanted())}:
             for (lead, k, node), split in self._splits(number, columns, growing, wanted).items():
                 growing[lead, k].splits[node] = split
         trees = {m: g.tree(self.edges) for m, g in growing.items() if g.chosen()}
         if not trees:
             return False
-        leaves = {lead: [{int(at): int(t.cover[at]) for at in np.flatnonzero(t.feature < 0)} if (t := trees.get((lead, k))) else {} for k in range(len(QUANTILES))] for lead in self.sizes}
-        values = self._quantiles(leaves, {lead: [trees.get((lead, k)) for k in range(len(QUANTILES))] for lead in self.sizes}, number)
-        for (lead, k), t in trees.items():
-            for at in leaves[lead][k]:
-                t.value[at] = config.learning_rate * values[lead, k, at]
-            self.models[lead][k].trees.append(t)
-            self.since[lead][k].append(t)
-        if (number + 1) % STATE_EVERY == 0 and number + 1 < config.rounds:
-            self._write()
+        leaves = {m: {int(at): int(t.cover[at]) for at in np.flatnonzero(t.feature < 0)} for m, t in trees.items()}
+        values = self._quantiles(leaves, trees, number)
+        for m, t in trees.items():
+            for at in leaves[m]:
+                t.value[at] = config.learning_rate * values[*m, at]
+            self.models[m].trees.append(t)
+        self._grown(number, trees)
         return True
 
     def _counted(self, number: int) -> dict[int, int]:
-        config = self.config
+        config, first = self.config, self.wanted[0][1]
 
         def work(block: _Block, lead: int, k: int) -> dict[int, np.ndarray]:
-            return {0: np.array([bagged(block.h, number, config).sum()], np.int64)} if k == 0 else {}
+            return {0: np.array([bagged(block.h, number, config).sum()], np.int64)} if k == first else {}
 
-        out: dict[int, int] = {}
-        for r in self._run(work, _added).collect():
-            out[r.lead] = out.get(r.lead, 0) + int(np.frombuffer(r.data, np.int64)[0])
-        return out
+        return {r.lead: r.n for r in self._meet(work, _added, len(self.sizes), np.int64, lambda key, n: (int(n[0]),), "lead int, k int, node int, n long")}
 
     def _splits(self, number: int, features: list[int], growing: dict, wanted: dict) -> dict:
         """Best split of each wanted node, or None."""
@@ -334,7 +332,7 @@ class Fit:
 
         out = {(lead, k, node): None for (lead, k), w in wanted.items() for node in w}
         spec = "lead int, k int, node int, gain double, feature int, cut int, cats array<int>, n_left long"
-        for r in _met(self._run(work, _added), len(out), np.int64, _added, best, spec):
+        for r in self._meet(work, _added, len(out), np.int64, best, spec):
             if r.gain is not None:
                 out[r.lead, r.k, r.node] = Split(r.gain, r.feature, r.cut, None if r.cats is None else tuple(r.cats), r.n_left)
         return out
@@ -348,14 +346,13 @@ class Fit:
         """
         config = self.config
         targets: dict[tuple[int, int, int], list[list[int]]] = {}  # (rank among those that share the bits, bits, number of bits, how many share them)
-        for lead, by in leaves.items():
-            for k, sizes in enumerate(by):
-                for node, n in sizes.items():
-                    r = (n - 1) * QUANTILES[k]
-                    targets[lead, k, node] = [[x, 0, 0, n] for x in sorted({math.floor(r), math.ceil(r)})]
+        for (lead, k), sizes in leaves.items():
+            for node, n in sizes.items():
+                r = (n - 1) * QUANTILES[k]
+                targets[lead, k, node] = [[x, 0, 0, n] for x in sorted({math.floor(r), math.ceil(r)})]
 
         def residuals(block: _Block, lead: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-            t = trees[lead][k]
+            t = trees.get((lead, k))
             at = np.zeros(len(block.y), np.int32) if t is None else t.leaf(block.x, True)
             rest = block.y - block.now[k]
             bag = bagged(block.h, number, config) if number is not None else None
@@ -363,6 +360,8 @@ class Fit:
 
         def narrow(open_: dict, gather: bool):
             def work(block: _Block, lead: int, k: int) -> dict[int, np.ndarray]:
+                if (lead, k) not in leaves:
+                    return {}
                 at, rest = residuals(block, lead, k)
                 out: dict[int, np.ndarray] = {}
                 for node in np.unique(at).tolist():
@@ -383,7 +382,7 @@ class Fit:
             return work
 
         while wide := {m: ts for m, ts in targets.items() if any(x[3] > GATHER and x[2] < 64 for x in ts)}:
-            for r in _met(self._run(narrow(wide, False), _added), 2 * len(wide), np.int64, _added, lambda key, v: (v.tobytes(),), _SENT):
+            for r in self._meet(narrow(wide, False), _added, 2 * len(wide), np.int64, lambda key, v: (v.tobytes(),), _SENT):
                 ts = targets[r.lead, r.k, r.node // 2]
                 upto = np.cumsum(np.frombuffer(r.data, np.int64))
                 told = ts[r.node % 2][1:3]
@@ -401,16 +400,101 @@ class Fit:
         def pick(key: tuple, v: np.ndarray) -> tuple:
             return (_doubles(np.partition(v, ranks[key])[ranks[key]]).tolist(),)
 
-        found = _met(self._run(narrow(targets, True), _joined), len(ranks), np.uint64, _joined, pick, "lead int, k int, node int, values array<double>")
+        found = self._meet(narrow(targets, True), _joined, len(ranks), np.uint64, pick, "lead int, k int, node int, values array<double>")
         got = {(r.lead, r.k, r.node + i): v for r in found for i, v in enumerate(r["values"])}
         out = {}
         for (lead, k, node), ts in targets.items():
             low = got[lead, k, 2 * node]
             high = got.get((lead, k, 2 * node + 1), low)
-            r = (leaves[lead][k][node] - 1) * QUANTILES[k]
+            r = (leaves[lead, k][node] - 1) * QUANTILES[k]
             out[lead, k, node] = low + (high - low) * (r - math.floor(r))
         return out
 
+
+class _Near(_Growth):
+    """A model that one task grows from its blocks."""
+
+    def __init__(self, rows: list[dict], lead: int, k: int, size: int, config: BoostConfig, columns: list[str], edges: list[np.ndarray], categorical: frozenset[int]):
+        super().__init__(config, columns, edges, categorical, {lead: size}, [k])
+        self.whole = {c: b"".join(r[c] for r in rows) for c in ("x", "y", "h")} | {"now": b""}
+        self.block: _Block | None = None
+
+    def _meet(self, work, join, nodes, kind, told, spec):
+        lead, k = self.wanted[0]
+        block = self.block or _Block(self.whole, len(self.columns), self.starts[lead], ())
+        row = Row(*(c.split()[0] for c in spec.split(", ")))
+        return [row(lead, k, node, *told((lead, k, node), data)) for node, data in work(block, lead, k).items()]
+
+    def _grown(self, number, trees):
+        lead, k = self.wanted[0]
+        if self.block is None:
+            self.block = _Block(self.whole, len(self.columns), self.starts[lead], ())
+        t = trees[lead, k]
+        self.block.now[k] += t.value[t.leaf(self.block.x, True)]
+
+
+class Fit(_Growth):
+    """The models of one table while they are fitted. See the module."""
+
+    def __init__(self, rows: DataFrame, columns: list[str], keys: list[str], config: BoostConfig, categorical: list[str] = ()):
+        at = frozenset(k for k, c in enumerate(columns) if c in categorical)
+        importable(rows.sparkSession)
+        filled = rows.select("lead", "sales_count", *keys, *[F.nanvl(F.coalesce(C(c).cast("double"), F.lit(-1.0)), F.lit(-1.0)).alias(c) for c in columns if c not in keys])
+        filled = written(filled, "training")  # read three times: counts, edges, blocks
+        sizes = {r.lead: r.n for r in filled.groupBy("lead").agg(F.count("*").alias("n")).collect()}
+        self.fitted: dict[int, list[Boosted]] = {}
+        if not sizes:
+            return
+        edges = bin_edges(filled, columns, list(categorical), config.bins)
+        self.blocks = written(_blocks(filled, columns, keys, edges, at, sizes, config.log_sales), "blocks")
+        discard(filled)
+        near = {lead: n for lead, n in sizes.items() if n <= NEAR * GATHER}
+        super().__init__(config, columns, edges, at, {lead: n for lead, n in sizes.items() if lead not in near}, list(range(len(QUANTILES))))
+        made = self._near(near) if near else {}
+        if self.sizes:
+            made |= self.grow()
+        discard(self.blocks)
+        self.fitted = {lead: [made[lead, k] for k in range(len(QUANTILES))] for lead in sizes}
+
+    def _near(self, sizes: dict[int, int]) -> dict[tuple[int, int], Boosted]:
+        """Models that are grown by one task each."""
+        config, columns, edges, categorical = self.config, self.columns, self.edges, self.categorical
+        places = {lead: i for i, lead in enumerate(sizes)}
+        number = F.element_at(F.create_map(*[F.lit(x) for pair in places.items() for x in pair]), C("lead")) * len(QUANTILES) + C("k")
+        spec = "lead int, k int, model binary"
+        schema = _arrow(spec)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held = None, []
+
+            def model() -> pa.RecordBatch:
+                grown = _Near(held, *key, sizes[key[0]], config, columns, edges, categorical).grow()[key]
+                return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*key, pickle.dumps(grown)), schema, strict=True)], schema=schema)
+
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if (row["lead"], row["k"]) != key:
+                        if held:
+                            yield model()
+                        key, held = (row["lead"], row["k"]), []
+                    held.append(row)
+            if held:
+                yield model()
+
+        rows = self.blocks.filter(C("lead").isin(list(sizes))).select("lead", "x", "y", "h", F.explode(F.array(*[F.lit(k) for k in range(len(QUANTILES))])).alias("k"))
+        spread = rows.repartitionById(len(sizes) * len(QUANTILES), number).sortWithinPartitions("lead", "k")
+        return {(r.lead, r.k): pickle.loads(r.model) for r in spread.mapInArrow(run, spec).collect()}
+
+    def _meet(self, work, join, nodes, kind, told, spec):
+        blocks = self.blocks.filter(C("lead").isin(list(self.sizes)))
+        return _met(_pass(blocks, len(self.columns), self.starts, self.since, (work, join), _SENT), nodes, kind, join, told, spec)
+
+    def _grown(self, number, trees):
+        for (lead, k), t in trees.items():
+            self.since[lead][k].append(t)
+        if (number + 1) % STATE_EVERY == 0 and number + 1 < self.config.rounds:
+            self._write()
+
     def _write(self) -> None:
         """Put the forecasts so far beside the rows."""
         width, starts, since = len(self.columns), self.starts, self.since
@@ -423,7 +507,7 @@ class Fit:
                     yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
         before = self.blocks
-        self.blocks = written(before.mapInArrow(run, _BLOCKS), "blocks")
+        self.blocks = written(before.filter(C("lead").isin(list(self.sizes))).mapInArrow(run, _BLOCKS), "blocks")
         discard(before)
         self.since = {lead: [[] for _ in QUANTILES] for lead in self.sizes}
 
@@ -435,7 +519,7 @@ def fit_models(rows: DataFrame, columns: list[str], keys: list[str], config: Boo
     """
     if "lead" not in rows.columns:
         rows = rows.withColumn("lead", F.lit(0))
-    return Fit(rows.filter("sales_count IS NOT NULL").withColumn("lead", C("lead").cast("int")), columns, keys, config, list(categorical)).models
+    return Fit(rows.filter("sales_count IS NOT NULL").withColumn("lead", C("lead").cast("int")), columns, keys, config, list(categorical)).fitted
 
 
 NODES = "lead int, quantile double, n_rows long, tree int, node int, feature string, threshold double, categories array<double>, left int, right int, value double, cover long"

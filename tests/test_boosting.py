@@ -93,6 +93,26 @@ def test_fit_equals_an_exhaustive_search(spark, monkeypatch, small):
     assert any(c is not None for m in models[0] for t in m.trees for c in t.cats)
 
 
+@pytest.mark.parametrize("sampled", [False, True])
+def test_small_models_are_grown_by_one_task_as_by_passes(spark, monkeypatch, sampled):
+    rows = _rows(300, (0, 2)) + _rows(900, (5,), seed=2)
+    config = BoostConfig(rounds=3, leaves=6, depth=4, min_leaf=15, **({"bagging_fraction": 0.7, "bagging_freq": 1, "feature_fraction": 0.7} if sampled else {}))
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = []
+    met = boosting._met
+    monkeypatch.setattr(boosting, "_met", lambda *a: asked.append(1) or met(*a))
+
+    def told(gather):
+        monkeypatch.setattr(boosting, "GATHER", gather)
+        asked.clear()
+        models = boosting.fit_models(df, ["a", "b", "c"], KEYS, config, ["c"])
+        return sorted(models), sorted(boosting.model_table(spark, models, ["a", "b", "c"]).collect(), key=repr), len(asked)
+
+    near, mixed, passes = told(65_536), told(150), told(20)
+    assert near[:2] == mixed[:2] == passes[:2] and near[0] == [0, 2, 5]
+    assert near[2] == 0 and mixed[2] > 0 and passes[2] > 0
+
+
 def test_no_task_holds_the_rows_of_a_model(spark, monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK", 64)
     df = spark.createDataFrame(_rows(1000), SCHEMA)
