@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,13 +175,14 @@ def u2_chart_rows(spark, sf_dir):
 
 @query(
     with_ctes(
-        "SELECT r.store_id, r.date, m.event_type, m.scope, m.location FROM (SELECT store_id, date, max({'event_type': event_type, 'scope': scope, 'location': location}) AS m FROM reached WHERE NOT is_transferred AND isodow(date) >= 6 GROUP BY 1, 2) r WHERE (r.store_id, r.date) IN (SELECT (store_id, date) FROM chart)",
+        "SELECT r.store_id, r.date, m.event_type, m.scope, m.location FROM (SELECT store_id, date, max({'event_type': event_type, 'scope': scope, 'location': location}) AS m FROM reached WHERE NOT is_transferred GROUP BY 1, 2) r WHERE (r.store_id, r.date) IN (SELECT (store_id, date) FROM chart)",
         "reached",
         "chart",
     )
 )
 def j21_calendar_overlay(spark, sf_dir):
-    return review.calendar_overlay(derived_review(spark, sf_dir))
+    # all events of charted days, those of working days too
+    return review.calendar_overlay(replace(derived_review(spark, sf_dir), events=panel_sources(spark, sf_dir).events))
 
 
 @query(with_ctes("SELECT f.id, f.date, f.store_id, f.product_id, f.type, CAST(t.transaction_count AS DOUBLE) AS transaction_count FROM flags f LEFT JOIN traffic t ON t.store_id = f.store_id AND t.date = f.date", "flags", "traffic"))

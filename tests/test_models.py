@@ -281,3 +281,11 @@ def test_train_and_evaluate(spark):
         assert (got["train_rows"], got["holdout_rows"], got["target_transform"]) == (37, 3, "log1p")
         assert got["train_end"] < got["holdout_start"] and got["configuration"]["rounds"] == 5
     assert stages.rolling_backtest(df, 2, 3).count() == 8
+
+
+def test_the_overlay_has_events_of_working_days(spark):
+    import __spark_entry__ as entry
+
+    assert "isodow" not in entry.oracle_sql()["j21_calendar_overlay"].split("SELECT r.store_id")[1]
+    got = {r.day for r in entry.queries()["j21_calendar_overlay"](spark, "/root/testdata/sf0.001").select(F.weekday(F.col("date").cast("date")).alias("day")).distinct().collect()}
+    assert got == set(range(7))
