@@ -176,3 +176,19 @@ def test_the_write_observes_what_a_scan_would_count(spark, tmp_path):
     # nothing written: no days, and tables without days have none to tell
     assert files.write_parquet(df.limit(0), str(tmp_path / "v")) == {"n_rows": 0, "first_day": None, "last_day": None}
     assert files.write_parquet(df.select("city"), str(tmp_path / "w")) == {"n_rows": 400}
+
+
+def test_sale_lines_are_read_once(spark, monkeypatch):
+    from shelfcast.sources import adapter
+
+    made = []
+    write = adapter.written
+    monkeypatch.setattr(adapter, "written", lambda df, name: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    rows = [r for r in panel_sources(spark, "/root/testdata/sf0.001").panel.orderBy("id").collect()]
+    assert [name for name, _ in made] == ["sold", "panel"]
+    s = panel_sources(spark, "/root/testdata/sf0.001")
+    assert s.panel is s.panel and not any("lineitem" in f for f in s.panel.inputFiles())
+    # a dimension with many rows is shuffled, with the same panel
+    monkeypatch.setattr(adapter, "BROADCAST_ROWS", 10)
+    assert panel_sources(spark, "/root/testdata/sf0.001").panel.orderBy("id").collect() == rows
+    assert "shuffle_hash" not in made[0][1] and "shuffle_hash" in made[-2][1]
