@@ -17,12 +17,11 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -68,9 +67,10 @@ class _Series(StatefulProcessor):
         self.kept = handle.getValueState("kept", "days array<int>, sales array<double>, closed int, timer long")
 
     def _load(self) -> tuple[dict[int, float], int | None, int | None]:
-        if not self.kept.exists():
+        found = self.kept.get()
+        if found is None:
             return {}, None, None
-        days, sales, closed, timer = self.kept.get()
+        days, sales, closed, timer = found
         return dict(zip(days, sales, strict=True)), closed, timer
 
     def _save(self, sales: dict[int, float], closed: int | None, timer: int | None) -> None:
@@ -88,44 +88,33 @@ class _Series(StatefulProcessor):
         if next_ not in (None, timer):
             self.handle.registerTimer(next_)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sales, closed, timer = self._load()
-        for part in rows:
-            for day, value in part.groupby("day")["sales_count"].sum().items():
-                if closed is None or day > closed:  # the watermark lets no other through
-                    sales[int(day)] = sales.get(int(day), 0.0) + float(value)
+        for row in rows:
+            if closed is None or row.day > closed:  # the watermark lets no other through
+                sales[row.day] = sales.get(row.day, 0.0) + row.sales_count
         self._save(sales, closed, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         sales, closed, timer = self._load()
         if expiredTimerInfo.getExpiryTimeInMs() == timer:
             timer = None  # it is gone already
         last = int(timerValues.getCurrentWatermarkInMs()) // DAY_MS - 1
-        told = sorted(d for d in sales if d <= last and (closed is None or d > closed))
-        if told:
-            out = _features(sales, told)
-            out["store_id"], out["product_id"] = [key[0]] * len(told), [key[1]] * len(told)
-            yield out[["day", *_SERIES, "sales_count", *FEATURES]]
+        for day in sorted(d for d in sales if d <= last and (closed is None or d > closed)):
+            yield Row(day=day, store_id=key[0], product_id=key[1], sales_count=sales[day], **_features(sales, day))
         closed = last if closed is None else max(closed, last)
         self._save({d: v for d, v in sales.items() if d > closed - RING}, closed, timer)
 
 
-def _features(sales: dict[int, float], told: list[int]) -> pd.DataFrame:
-    low = told[0] - RING
-    line = np.full(told[-1] - low + 1, np.nan)
-    for d, v in sales.items():
-        if low <= d <= told[-1]:
-            line[d - low] = v
-    at = np.array(told) - low
-    out: dict[str, object] = {"day": told, "sales_count": line[at]}
-    for k in LAGS:
-        out[f"sales_lag_{k}"] = line[at - k]
+def _features(sales: dict[int, float], day: int) -> dict[str, float | None]:
+    out = {f"sales_lag_{k}": sales.get(day - k) for k in LAGS}
     for n in SPANS:
-        past = [x[~np.isnan(x)] for x in (line[i - n : i] for i in at.tolist())]
-        out[f"sales_mean_{n}"] = [float(x.mean()) if len(x) else np.nan for x in past]
-        out[f"sales_std_{n}"] = [float(x.std(ddof=1)) if len(x) > 1 else np.nan for x in past]
-    return pd.DataFrame(out)
+        past = [sales[d] for d in range(day - n, day) if d in sales]
+        mean = sum(past) / len(past) if past else None
+        out[f"sales_mean_{n}"] = mean
+        out[f"sales_std_{n}"] = math.sqrt(sum((x - mean) ** 2 for x in past) / (len(past) - 1)) if len(past) > 1 else None
+    return out
 
 
 def rolling_features(daily: DataFrame) -> DataFrame:
@@ -137,9 +126,8 @@ def rolling_features(daily: DataFrame) -> DataFrame:
     rows = daily.filter("ts IS NOT NULL AND sales_count IS NOT NULL").select("ts", *_SERIES, F.col("sales_count").cast("double").alias("sales_count"), F.floor(F.unix_millis("ts") / DAY_MS).cast("int").alias("day"))
     kinds = dict(rows.dtypes)
     spec = ", ".join(["day int", *(f"{c} {kinds[c]}" for c in _SERIES), "sales_count double", *(f"{c} double" for c in FEATURES)])
-    told = rows.groupBy(*_SERIES).transformWithStateInPandas(_Series(), spec, "append", "eventTime")
-    # pandas has NaN where nothing was sold
-    return told.select(F.date_from_unix_date("day").alias("date"), *_SERIES, "sales_count", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in FEATURES])
+    told = rows.groupBy(*_SERIES).transformWithState(_Series(), spec, "append", "eventTime")
+    return told.select(F.date_from_unix_date("day").alias("date"), *_SERIES, "sales_count", *FEATURES)
 
 
 def table_features(sales: DataFrame) -> DataFrame:

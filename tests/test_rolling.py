@@ -107,3 +107,16 @@ def test_an_empty_stream(spark, tmp_path):
     features = rolling.rolling_features(rolling.daily_sales(_stream(spark, str(tmp_path / "in"))))
     rolling.drained(spark, features, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     assert spark.read.schema(features.schema).parquet(f"file://{tmp_path}/out").count() == 0
+
+
+def test_no_frame_is_built_for_a_series(spark, tmp_path, monkeypatch):
+    """Series are many and short: state and results pass as rows."""
+    _land(spark, [], str(tmp_path / "in"), 0)
+    features = rolling.rolling_features(rolling.daily_sales(_stream(spark, str(tmp_path / "in"))))
+    plan = features._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "Pandas" not in plan
+    sales = {3: 1.0, 9: 4.0, 10: 2.0}
+    got = rolling._features(sales, 10)
+    assert (got["sales_lag_1"], got["sales_lag_7"], got["sales_lag_14"]) == (4.0, 1.0, None)
+    assert (got["sales_mean_7"], round(got["sales_std_7"], 9)) == (2.5, round(math.sqrt(4.5), 9))
+    assert rolling._features(sales, 3)["sales_mean_28"] is None
