@@ -82,11 +82,13 @@ def _arrow(spec: str) -> pa.Schema:
 
 def _blocks(rows: DataFrame, columns: list[str], keys: list[str], edges: list[np.ndarray], categorical: frozenset[int], sizes: dict[int, int], log_sales: bool) -> DataFrame:
     """Binned rows in blocks; a row's block follows from its key alone."""
-    many = F.create_map(*[x for lead, n in sizes.items() for x in (F.lit(lead), F.lit(math.ceil(n / (BLOCK * 0.9))))])
+    counts = {lead: math.ceil(n / (BLOCK * 0.9)) for lead, n in sizes.items()}
+    many = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    tasks = min(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), max(1, sum(counts.values())))
     row = F.xxhash64("lead", *keys)
     rows = rows.select("lead", *keys, *[C(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)], C("sales_count").cast("double").alias("_y"), row.alias("_h"))
     rows = rows.withColumn("_block", F.pmod(F.shiftrightunsigned("_h", 20), F.element_at(many, C("lead"))))
-    spread = rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "lead", "_block").sortWithinPartitions("lead", "_block", *keys)
+    spread = rows.repartition(tasks, "lead", "_block").sortWithinPartitions("lead", "_block", *keys)
     schema = _arrow(_BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,7 +131,8 @@ def recursive_rows(panel: DataFrame, models: dict[int, list[Boosted]], context:
     rows = panel.select("lead", "date", *SERIES, "sales_count", *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in context])
     last = panel.filter("sales_count is not null").groupBy("lead").agg(F.max("date").alias("_last"))
     near = rows.join(F.broadcast(last), "lead").filter(C("date") > F.date_sub("_last", 2 * HISTORY + 1)).drop("_last")
-    groups = max(1, math.ceil(near.count() / GROUP_ROWS), int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a group costs its calls of the models, however few series it has
+    groups = max(1, math.ceil(near.count() / GROUP_ROWS))
     near = near.withColumn("_group", F.pmod(F.xxhash64("lead", *SERIES), groups))
     spec = "lead int, " + _OUT + "".join(f", `{c}` double" for c in features)
 

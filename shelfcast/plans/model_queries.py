@@ -27,11 +27,15 @@ X = ["promotion", "day_of_week"]
 _FITTED: dict[str, tuple[tuple, dict]] = {}
 
 
-def _models(spark: SparkSession, sf_dir: str, model: str = "boosted") -> dict[int, list[Boosted]]:
-    """Models of the next day, fitted once a session and folder: several queries read them."""
+def _models(spark: SparkSession, sf_dir: str, model: str = "boosted", panel: DataFrame | None = None) -> dict[int, list[Boosted]]:
+    """Models of the next day, fitted once a session and folder: several queries read them.
+
+    A query that reads the panel too gives it, since making it reads all sale lines.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, CONFIG)
     if _FITTED.get(model, (None,))[0] != key:
-        _FITTED[model] = key, forecaster.TRAINERS[model](forecaster.supervised(_panel(spark, sf_dir), X), forecaster.SALES + X, CONFIG)
+        panel = _panel(spark, sf_dir) if panel is None else panel
+        _FITTED[model] = key, forecaster.TRAINERS[model](forecaster.supervised(panel, X), forecaster.SALES + X, CONFIG)
     return _FITTED[model][1]
 
 
@@ -43,7 +47,8 @@ def m10_quantile_boosting(spark, sf_dir):
 
 @query()
 def m13_recursive_forecast(spark, sf_dir):
-    return tidy(forecaster.recursive_forecast(_panel(spark, sf_dir), _models(spark, sf_dir), X))
+    panel = _panel(spark, sf_dir)
+    return tidy(forecaster.recursive_forecast(panel, _models(spark, sf_dir, panel=panel), X))
 
 
 @query()
@@ -66,7 +71,8 @@ def m14_direct_forecast(spark, sf_dir):
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explanations of every step of the recursive forecast: each test id and quantile."""
-    panel, models, keys = _panel(spark, sf_dir), _models(spark, sf_dir), ["date", "store_id", "product_id"]
+    panel, keys = _panel(spark, sf_dir), ["date", "store_id", "product_id"]
+    models = _models(spark, sf_dir, panel=panel)
     rows = forecaster.recursive_rows(panel, models, X).join(panel.select("id", *keys), keys)
     return shap.shap_long(rows, models[0], forecaster.SALES + X, ["id", *keys])
 

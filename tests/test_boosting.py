@@ -122,6 +122,19 @@ def test_no_task_holds_the_rows_of_a_model(spark, monkeypatch):
     assert len({x for b in blocks for x in np.frombuffer(b.h, np.int64).tolist()}) == 1000
 
 
+def test_blocks_take_no_more_tasks_than_there_are(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK", 256)
+    df = spark.createDataFrame(_rows(600), SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        blocks = boosting._blocks(df, ["a"], KEYS, [np.array([3.0])], frozenset(), {0: 600}, True)
+        assert blocks.rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(len(b.y) // 8 for b in blocks.collect()) == 600
+
+
 def test_a_category_split_is_the_best_of_all_subsets():
     rng = np.random.default_rng(4)
     for _ in range(20):

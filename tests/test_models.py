@@ -91,6 +91,29 @@ def test_every_lead_of_the_horizon_is_forecast(spark, month):
     assert {r.lead for r in review_queries.m9_direct_supervised(spark, "").select("lead").distinct().collect()} == set(range(1, 29))
 
 
+def test_the_panel_is_made_once_a_query(spark, month, monkeypatch):
+    made = []
+    monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: made.append(1) or month)
+    assert model_queries.m13_recursive_forecast(spark, "").count() == 4 * 28 and len(made) == 1
+
+
+def test_shuffle_partitions_do_not_multiply_the_calls_of_a_model(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def predict(self, x):
+            calls.add(1)
+            return np.ones(len(x))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = forecaster.recursive_forecast(_panel(spark), {0: [Counted()] * 4}, ["promotion"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 12 and calls.value == 3 * 4
+
+
 def test_registered_models_are_fitted_on_all_rows_as_the_learner_does(spark, monkeypatch):
     assert model_queries.CONFIG == BoostConfig()
     monkeypatch.setattr(model_queries, "CONFIG", BoostConfig(rounds=1, depth=1))
