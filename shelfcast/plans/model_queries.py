@@ -80,8 +80,9 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m12_scores_as_columns(spark, sf_dir):
     """Raw forecasts of the next day for every row with a history, by column expressions."""
-    rows = forecaster.supervised(_panel(spark, sf_dir), X)
-    got = boosting.scored(rows, _models(spark, sf_dir)[0], forecaster.SALES + X, [f"raw_{n}" for n in NAMES])
+    panel = _panel(spark, sf_dir)
+    rows = forecaster.supervised(panel, X)
+    got = boosting.scored(rows, _models(spark, sf_dir, panel=panel)[0], forecaster.SALES + X, [f"raw_{n}" for n in NAMES])
     return tidy(got.select("date", "store_id", "product_id", *[f"raw_{n}" for n in NAMES]))
 
 

@@ -91,10 +91,11 @@ def test_every_lead_of_the_horizon_is_forecast(spark, month):
     assert {r.lead for r in review_queries.m9_direct_supervised(spark, "").select("lead").distinct().collect()} == set(range(1, 29))
 
 
-def test_the_panel_is_made_once_a_query(spark, month, monkeypatch):
+@pytest.mark.parametrize("query, rows", [("m13_recursive_forecast", 4 * 28), ("m12_scores_as_columns", 4 * 44)])
+def test_the_panel_is_made_once_a_query(spark, month, monkeypatch, query, rows):
     made = []
     monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: made.append(1) or month)
-    assert model_queries.m13_recursive_forecast(spark, "").count() == 4 * 28 and len(made) == 1
+    assert getattr(model_queries, query)(spark, "").count() == rows and len(made) == 1
 
 
 def test_shuffle_partitions_do_not_multiply_the_calls_of_a_model(spark):
