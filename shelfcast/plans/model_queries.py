@@ -59,7 +59,8 @@ def m3_ensemble_weights(spark, sf_dir):
 
 @query()
 def m20_ensemble_recursion(spark, sf_dir):
-    return tidy(forecaster.recursive_forecast(_panel(spark, sf_dir), _models(spark, sf_dir, "ensemble"), X))
+    panel = _panel(spark, sf_dir)
+    return tidy(forecaster.recursive_forecast(panel, _models(spark, sf_dir, "ensemble", panel), X))
 
 
 @query()

@@ -91,7 +91,7 @@ def test_every_lead_of_the_horizon_is_forecast(spark, month):
     assert {r.lead for r in review_queries.m9_direct_supervised(spark, "").select("lead").distinct().collect()} == set(range(1, 29))
 
 
-@pytest.mark.parametrize("query, rows", [("m13_recursive_forecast", 4 * 28), ("m12_scores_as_columns", 4 * 44)])
+@pytest.mark.parametrize("query, rows", [("m13_recursive_forecast", 4 * 28), ("m12_scores_as_columns", 4 * 44), ("m20_ensemble_recursion", 4 * 28)])
 def test_the_panel_is_made_once_a_query(spark, month, monkeypatch, query, rows):
     made = []
     monkeypatch.setattr(model_queries, "_panel", lambda spark, sf_dir: made.append(1) or month)
